@@ -30,9 +30,57 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op07_language_id import fit_languages, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = fit_languages(docs, ~held_out)
+    return predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op08_licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    starts, labels = F.col("phrases.start"), lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*c))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        labels(F.col("phrases.label")).alias("base_labels"),
+        labels(F.col("phrases.label"), F.col("templates.label")).alias("labels"),
+        "score",
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op09_secrets import KINDS, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.depth == 0)
+    count = lambda kind: F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), "unfinished")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op10_lm_scoring import score_documents
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    scored = score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
+    "op8_licenses": op8_licenses,
+    "op9_secrets": op9_secrets,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE: dict[str, str] = {}
