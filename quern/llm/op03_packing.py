@@ -13,6 +13,7 @@ than the id and the text are neither needed nor kept.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import raw, slices
+from quern.llm.words import byte_set, raw, slices
 
-#: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct chunks whose ids a worker remembers, in each of two generations.
+REMEMBERED = 200_000
 #: First bytes of the characters beyond ASCII that can be white space.
 SPACE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
+LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A))
+MARKS = byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 
 
 @lru_cache(maxsize=2)
@@ -39,13 +42,16 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def chunk_starts(data: np.ndarray, at: np.ndarray, marks: np.ndarray = MARKS) -> np.ndarray:
     """Where a text may be cut without changing its pre-tokens.
 
     A byte-level pre-token holds white space only at its front or holds nothing
     else, so a cut is safe before a space that something else than white space
-    follows, and before a line feed that follows something else.  Where a byte
-    beyond ASCII might be white space, there is no cut.
+    follows, and before a line feed that follows something else.  Neither does
+    a pre-token hold a letter with a mark after it, so a cut between them is
+    safe, too (letters here: ASCII and those of the block after it; marks must
+    not occur in special tokens).  Where a byte beyond ASCII might be white
+    space, there is no cut.
     """
     n = len(data)
     start = np.zeros(n + 1, bool)
@@ -54,39 +60,66 @@ def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         solid &= ~np.isin(data, SPACE_LEADS) & (data != 0x7F)
         start[:-2] |= (data[:-1] == 0x20) & solid[1:]
         start[1:-1] |= (data[1:] == 0x0A) & solid[:-1] & (data[:-1] < 0x80)
+        letter = LETTERS[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        start[1:-1] |= letter[:-1] & marks[data[1:]]
     start[at] = True
     return np.flatnonzero(start[:n])
 
 
-def encode(texts: pa.Array, path: str, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows in order and the offsets of the rows' ids.
+class Encoder:
+    """Ids by the library, each distinct chunk encoded once while it is remembered.
 
-    Each distinct chunk is encoded once; known keeps chunks' ids.
+    Chunks that come again move to the young generation, so frequent ones stay.
     """
-    data, at = raw(texts)
-    begins = chunk_starts(data, at)
-    offsets = np.append(begins, len(data)).astype(np.int64)
-    chunks = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-    distinct = chunks.dictionary.to_pylist()
-    new = [c for c in distinct if c not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = distinct
-    model = tokenizer(path)
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        for chunk, found in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
-    ids = [known[c] for c in distinct]
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    firsts = np.cumsum(sizes) - sizes
-    codes = chunks.indices.to_numpy(zero_copy_only=False)
-    each = sizes[codes]
-    ends = np.cumsum(each)
-    out = flat[np.repeat(firsts[codes] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    before = np.append(0, ends)
-    return out, before[np.searchsorted(begins, at)]
+
+    def __init__(self, path: str):
+        self.model = tokenizer(path)
+        self.marks = MARKS.copy()
+        for token in self.model.get_added_tokens_decoder().values():
+            self.marks[list(token.content.encode())] = False
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        new = []
+        for c in chunks:
+            if c not in young:
+                if c in old:
+                    young[c] = old[c]
+                else:
+                    new.append(c)
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            for c, found in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                young[c] = array("I", found.ids).tobytes()
+        out = [young[c] for c in chunks]
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, {}
+        return out
+
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in order and the offsets of the rows' ids."""
+        data, at = raw(texts)
+        begins = chunk_starts(data, at, self.marks)
+        offsets = np.append(begins, len(data)).astype(np.int64)
+        chunks = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        ids = self.of(chunks.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), "=u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        codes = chunks.indices.to_numpy(zero_copy_only=False)
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(firsts[codes] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return out.astype("<u4", copy=False), np.append(0, ends)[np.searchsorted(begins, at)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 def pieces(n: int, longest: int) -> list[int]:
@@ -105,10 +138,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence_length: int =
         raise ValueError("sequence_length has to be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
         end = np.array([end_id], "<u4").tobytes()
         for part in slices(batches, "text", 4_000_000):
-            ids, at = encode(part.column("text"), tokenizer_path, known)
+            ids, at = encoder(tokenizer_path).rows(part.column("text"))
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, first, last in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 whole, start = ids[first:last].tobytes() + end, 0
