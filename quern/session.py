@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -49,3 +50,9 @@ def unstash(*frames: DataFrame | None) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` for a broadcast join if it has ``most`` rows or fewer, which is
+    counted first; else as it is, for a shuffle join.  For narrow rows only."""
+    return F.broadcast(df) if df.count() <= most else df
