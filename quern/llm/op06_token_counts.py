@@ -3,7 +3,8 @@
 The library's own normaliser and pre-tokenizer split texts into pre-tokens,
 pieces are counted once per distinct pre-token of the whole corpus, and a
 document's count is the sum of frequency * pieces over its pre-tokens, found
-by joining postings with that table (see postings.py).  No ids are built.
+by joining its frequencies with that table: the most frequent pre-tokens by
+broadcast, all others as postings (see postings.py).  No ids are built.
 
 Null text counts as empty.  Every row is counted by itself, repeated ids and
 null ids included; an empty table gives an empty result.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.op03_packing import tokenizer
-from quern.llm.postings import Sums, document_key, posting_batch, slice_numbers
+from quern.llm.postings import Head, Sums, document_key, posting_batch, slice_numbers
 from quern.llm.words import BLANKS, raw, row_of, slices
+from quern.session import stash
 
-#: Distinct chunks and pre-tokens that a worker remembers.
-REMEMBERED = 400_000
+#: Distinct chunks that a worker remembers, in each of two generations.
+REMEMBERED = 250_000
 #: A special token of the vocabulary; no pre-token can hold a space.
 SPECIAL = " special"
 
@@ -57,6 +60,7 @@ class PreTokens:
         special = sorted((t.content for t in self.model.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, list[str]] = {}
+        self.old: dict[str, list[str]] = {}
 
     def plain(self, text: str) -> list[tuple[str, tuple[int, int]]]:
         if self.model.normalizer is not None:
@@ -71,14 +75,17 @@ class PreTokens:
         return parts + [t for t, _ in self.plain(chunk[last:])]
 
     def all(self, chunks: list[str]) -> list[list[str]]:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = chunks
+        known, old, new = self.known, self.old, []
+        for c in chunks:
+            if c not in known:
+                if c in old:
+                    known[c] = old[c]
+                else:
+                    new.append(c)
         odd = [c for c in new if not c.isascii() and any(x.isspace() for x in c) or self.special and self.special.search(c)]
         for c in odd:
-            self.known[c] = self.of(c)
-        even = [c for c in new if c not in self.known] if odd else new
+            known[c] = self.of(c)
+        even = [c for c in new if c not in known] if odd else new
         for k in range(0, len(even), 2000):
             # Pre-tokens cover a chunk without gaps, so a gap in the offsets ends it.
             part, groups, end = even[k : k + 2000], [], -1
@@ -89,61 +96,73 @@ class PreTokens:
                 end = last
             if len(groups) != len(part):
                 groups = [self.of(c) for c in part]
-            self.known.update(zip(part, groups, strict=True))
-        return [self.known[c] for c in chunks]
+            known.update(zip(part, groups, strict=True))
+        out = [known[c] for c in chunks]
+        if len(known) > REMEMBERED:
+            self.old, self.known = known, {}
+        return out
+
+
+@lru_cache(maxsize=1)
+def pre_tokens(path: str) -> PreTokens:
+    """One for all tasks of a worker."""
+    return PreTokens(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, told = PreTokens(tokenizer_path), set()
+    def occurrences(split: PreTokens, part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens of a slice, and of each pre-token and row that
+        meet: the pre-token's number, the row and how often (in parts)."""
+        chunks, offsets = ascii_chunks(part.column("text"))
+        tokens = split.all(chunks.dictionary.to_pylist())
+        # chunks are counted by row first, then spread to their pre-tokens
+        codes = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pair, n = np.unique(codes * part.num_rows + row_of(offsets), return_counts=True)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = pa.array([t for x in tokens for t in x], pa.large_string()).dictionary_encode()
+        code, row = pair // max(part.num_rows, 1), pair % max(part.num_rows, 1)
+        each = sizes[code]
+        ends = np.cumsum(each)
+        firsts = np.cumsum(sizes) - sizes
+        place = np.repeat(firsts[code] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False)[place], np.repeat(row, each), np.repeat(n, each)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            chunks, _ = ascii_chunks(part.column("text"))
-            new = {t for tokens in split.all(chunks.dictionary.to_pylist()) for t in tokens} - told
-            if len(told) + len(new) > REMEMBERED:
-                told.clear()
-            told |= new
-            words = pa.array(sorted(new), pa.string())
-            for k in range(0, len(words), 10_000):
-                yield pa.RecordBatch.from_arrays([words[k : k + 10_000]], ["word"])
+            words, code, _, n = occurrences(pre_tokens(tokenizer_path), part)
+            total, words = np.bincount(code, n, len(words)).astype(np.int64), words.cast(pa.string())
+            for k in range(0, len(words), 20_000):
+                yield pa.RecordBatch.from_arrays([words[k : k + 20_000], pa.array(total[k : k + 20_000])], ["word", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(tokenizer_path).model
         for batch in batches:
             words = batch.column("word")
             n = [1 if w == SPECIAL else len(model.tokenize(w)) for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int32())], ["word", "pieces"])
+            yield pa.RecordBatch.from_arrays([words, batch.column("n"), pa.array(n, pa.int32())], ["word", "n", "pieces"])
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, numbers = PreTokens(tokenizer_path), slice_numbers()
-        names = ["word", "slice", "entries", "key", "doc_id", "n_bytes"]
+        numbers = slice_numbers()
+        names = ["word", "slice", "entries", "key", "doc_id", "n_bytes", "n_tokens"]
         for part in slices(batches, "text"):
             slice_no = next(numbers)
-            chunks, offsets = ascii_chunks(part.column("text"))
-            tokens = split.all(chunks.dictionary.to_pylist())
-            # occurrences of chunks, summed by row first, then spread to their pre-tokens
-            codes = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            pair, n = np.unique(codes * part.num_rows + row_of(offsets), return_counts=True)
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            flat = pa.array([t for x in tokens for t in x], pa.large_string()).dictionary_encode()
-            numbers_of = flat.indices.to_numpy(zero_copy_only=False)
-            code, row = pair // max(part.num_rows, 1), pair % max(part.num_rows, 1)
-            each = sizes[code]
-            ends = np.cumsum(each)
-            firsts = np.cumsum(sizes) - sizes
-            place = np.repeat(firsts[code] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)
-            words, slice_col, blob = posting_batch(flat.dictionary, numbers_of[place], np.repeat(row, each), np.repeat(n, each), slice_no)
+            words, code, row, n = occurrences(pre_tokens(tokenizer_path), part)
+            known, pieces = head.value.of(words)
+            own = np.bincount(row, pieces[code] * n, part.num_rows).astype(np.int64)
+            rest = ~known[code]
+            words, slice_col, blob = posting_batch(words, code[rest], row[rest], n[rest], slice_no)
             for k in range(0, len(words), 20_000):
                 w = words[k : k + 20_000]
                 none = pa.nulls(len(w), pa.int64())
-                yield pa.RecordBatch.from_arrays([w, slice_col[k : k + 20_000], blob[k : k + 20_000], none, none, none], names)
+                yield pa.RecordBatch.from_arrays([w, slice_col[k : k + 20_000], blob[k : k + 20_000], none, none, none, none], names)
             _, at = raw(part.column("text"))
             keys = document_key(slice_no, part.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f" {k}" for k in keys.tolist()], pa.string()), pa.array(np.full(len(keys), slice_no)), pa.nulls(len(keys), pa.binary()), pa.array(keys), part.column("doc_id"), pa.array(np.diff(at))], names
-            )
+            # a key with a space is no pre-token
+            label = pa.array([f" {k}" for k in keys.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([label, pa.array(np.full(len(keys), slice_no)), pa.nulls(len(keys), pa.binary()), pa.array(keys), part.column("doc_id"), pa.array(np.diff(at)), pa.array(own)], names)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = ["key", "doc_id", "n_bytes", "n_tokens"], Sums(["n_tokens"])
@@ -157,13 +176,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             about = batch.column("key").is_valid()
             own, rest = batch.filter(about), batch.filter(pc.invert(about))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("doc_id"), own.column("n_bytes"), pa.array(np.zeros(own.num_rows, np.int64))], names)
+                yield own.select(names)
             if rest.num_rows:
                 yield from out(held.add(rest, [rest.column("pieces").to_numpy(zero_copy_only=False)]))
         yield from out(held.parts())
 
-    pieces = texts.select("text").mapInArrow(distinct, "word string").distinct().mapInArrow(counted, "word string, pieces int")
-    rows = texts.mapInArrow(postings, "word string, slice long, entries binary, key long, doc_id long, n_bytes long")
-    joined = rows.join(pieces, "word", "left").select("slice", "entries", "pieces", "key", "doc_id", "n_bytes")
+    words = stash(texts.select("text").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(counted, "word string, n long, pieces int"), "pieces")
+    head = texts.sparkSession.sparkContext.broadcast(Head(words, "pieces"))
+    rows = texts.mapInArrow(postings, "word string, slice long, entries binary, key long, doc_id long, n_bytes long, n_tokens long")
+    joined = rows.join(words.drop("n"), "word", "left").select("slice", "entries", "pieces", "key", "doc_id", "n_bytes", "n_tokens")
     per_key = joined.mapInArrow(sums, "key long, doc_id long, n_bytes long, n_tokens long")
     return per_key.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("key")

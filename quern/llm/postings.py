@@ -1,13 +1,14 @@
 """Per-document sums over a corpus-wide table of values by word.
 
 A document's sum of f(word) * frequency needs values that only the whole
-corpus knows, for a vocabulary without a size bound.  Neither the vocabulary
-is broadcast nor a row made for each word of each document: each slice of
+corpus knows, for a vocabulary without a size bound.  The join is done in two
+parts.  The HEAD most frequent words, a fixed number, are broadcast with their
+values, and their sums are made where the documents are read; so no frequent
+word is ever a join key.  All other words are shuffled: each slice of
 documents becomes one row per distinct word (its *posting*: which documents of
 the slice hold it, how often), postings meet the value table in one join on
 the word, and the joined rows collapse to partial sums per document within the
-task.  A very frequent word has one row per slice, and these rows can be
-divided among tasks by the skew join of adaptive execution.
+task.
 """
 
 from __future__ import annotations
@@ -16,16 +17,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quern.llm.words import SLICE_ROWS
 
 #: A posting entry: row in slice, frequency.
 ENTRY = np.dtype([("row", "<u2"), ("n", "<u2")])
+#: Frequent words whose values are broadcast.
+HEAD = 1 << 18
 #: Slices whose sums one task holds before it passes them on.
 HELD_SLICES = 192
 
 
+class Head:
+    """Values of the most frequent words of a table (word, n, value)."""
+
+    def __init__(self, words: DataFrame, value: str):
+        rows = words.orderBy(F.desc("n"), "word").limit(HEAD).select("word", F.col(value).cast("double").alias("v")).toArrow()
+        self.words = rows.column("word").combine_chunks().cast(pa.large_string()) if rows.num_rows else pa.array([], pa.large_string())
+        self.values = rows.column("v").to_numpy()
+
+    def of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are in the head, and their values (else 0)."""
+        at = pc.index_in(distinct, value_set=self.words)
+        found = at.is_valid().to_numpy(zero_copy_only=False)
+        values = np.zeros(len(distinct))
+        values[found] = self.values[at.drop_null().to_numpy()]
+        return found, values
+
+
 def slice_numbers() -> Iterator[int]:
     """Numbers of a task's slices; a task that is run again gives the same."""
     at = TaskContext.get().partitionId() << 27
