@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     for k in range(STAR_ROUNDS + 1):
         if k < STAR_ROUNDS:
             # the first centre is the smallest member; later ones differ by bucket and round
-            order = F.struct(F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k)), "rep", "n", "component")
+            order = F.struct((F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k))).alias("o"), "rep", "n", "component")
             centres = open_members.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
             pairs = open_members.join(centres, "key").filter((F.col("component") != F.col("ca")) & size_fits("n", "na"))
         else:

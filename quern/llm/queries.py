@@ -23,6 +23,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op05_near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op06_token_counts import count_tokens
 
@@ -76,6 +82,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_licenses": op8_licenses,
