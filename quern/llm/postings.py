@@ -33,10 +33,21 @@ HELD_SLICES = 192
 
 
 class Head:
-    """Values of the most frequent words of a table (word, n, value)."""
+    """Values of the most frequent words of a table (word, n, value).
+
+    Frequencies are counted in classes of a sixteenth of a doubling; the head
+    is as many of the highest classes as have no more than HEAD words.
+    """
 
     def __init__(self, words: DataFrame, value: str):
-        rows = words.orderBy(F.desc("n"), "word").limit(HEAD).select("word", F.col(value).cast("double").alias("v")).toArrow()
+        level = F.floor(16 * F.log2("n")).cast("int")
+        least, total = 1 << 30, 0
+        for r in sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), reverse=True):
+            total += r.c
+            if total > HEAD:
+                break
+            least = r.level
+        rows = words.filter(level >= least).select("word", F.col(value).cast("double").alias("v")).toArrow()
         self.words = rows.column("word").combine_chunks().cast(pa.large_string()) if rows.num_rows else pa.array([], pa.large_string())
         self.values = rows.column("v").to_numpy()
 

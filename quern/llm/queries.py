@@ -7,15 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.op04_url_reputation import ORACLE_SQL as URL_SQL
 from quern.session import table
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op02_decontamination import leaked_windows
+
+    return leaked_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the labels whose doc_id is the page's id: bad if toxic or of low quality."""
+    from quern.llm.op04_url_reputation import judge_urls
+
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    outcomes = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return judge_urls(pages.select("page_id", "url"), outcomes, URL_RULES)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op03_packing import pack_documents
 
@@ -81,7 +100,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op4_url_reputation": op4_url_reputation,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
@@ -90,4 +111,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_url_reputation": URL_SQL}
