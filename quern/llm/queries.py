@@ -20,6 +20,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op01_ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op02_decontamination import leaked_windows
 
@@ -100,6 +106,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_url_reputation": op4_url_reputation,
