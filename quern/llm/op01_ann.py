@@ -41,7 +41,7 @@ from quern.session import stash, unstash
 NEIGHBOURS, REVERSE, OFFERED = 24, 16, 8
 TABLES, BLOCK = 4, 256
 ROUNDS, SETTLED = 7, 0.02
-ENTRIES, POOL, OPENED, WALKS = 512, 320, 96, 40
+ENTRIES, POOL, OPENED, WALKS = 512, 480, 128, 40
 HEADER = 8
 
 

@@ -10,10 +10,13 @@ bands; representatives that agree on a band share a bucket.
 Buckets are never expanded into all pairs.  Each names a centre, its members
 are compared with it, and confirmed links are merged to components.  Only
 buckets that still hold several components go on: two more rounds with other
-centres, then the remaining pairs of members of different components, which
-are those that no link joined.  A pair within one component needs no check, as
-it can't change the result.  All comparisons are exact, over joined sets; a
-hot centre's pairs are ordinary join rows, which skew joins can divide.
+centres, and then an exact join of all their members.  For that, shingles are
+ordered from rare to common; two similar sets have to share a shingle within
+their first parts (a fifth of each at 0.8), early enough for the rest to reach
+the threshold.  So a passage that many unlike documents share yields no pairs.
+A pair within one component needs no check, as it can't change the result.
+All comparisons are exact, over joined sets; a hot centre's pairs are ordinary
+join rows, which skew joins can divide.
 
 With 48 bands of 6 a pair at the threshold of 0.8 shares no bucket with
 probability 5e-7.
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.words import BLANKS, coded, slices, split_words
@@ -147,6 +150,32 @@ def confirmed(percent: int):
     return run
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, own, component, shingles) -> a row (rep, own, component, n, s) per shingle."""
+    for batch in batches:
+        sizes = np.array([len(x.as_buffer()) // 8 for x in batch.column("shingles")], np.int64)
+        flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
+        rep, own, component = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("rep", "own", "component"))
+        for k in range(0, len(flat), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (rep, own, component, np.repeat(sizes, sizes), flat)], ["rep", "own", "component", "n", "s"])
+
+
+def crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of different components of sets (rep, component,
+    shingles) that can reach the similarity, and few others."""
+    each = sets.select("rep", F.xxhash64("shingles").alias("own"), "component", "shingles").mapInArrow(unpacked, "rep long, own long, component long, n long, s long")
+    common = each.groupBy("s").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("rep", "own").orderBy("df", "s")
+    ranked = each.join(common, "s").withColumn("place", F.row_number().over(order))
+    first = stash(ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).select("s", "rep", "component", "n", "place"), "first")
+    mixed = first.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
+    x = first.join(mixed, "s", "left_semi")
+    y = x.select("s", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    reach = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+    # intersection * 100 >= percent * (n + nb - intersection)
+    return x.join(y, "s").filter((F.col("component") < F.col("cb")) & ((100 + percent) * reach >= percent * (F.col("n") + F.col("nb")))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(vertex, component) of every vertex of the links (a, b): the component is
     its smallest vertex.  Alternates large and small stars; each step takes a
@@ -212,10 +241,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             order = F.struct((F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k))).alias("o"), "rep", "n", "component")
             centres = open_members.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
             pairs = open_members.join(centres, "key").filter((F.col("component") != F.col("ca")) & size_fits("n", "na"))
+            pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         else:
-            other = open_members.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            pairs = open_members.join(other, "key").filter((F.col("component") < F.col("ca")) & size_fits("n", "na"))
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+            pairs = crossing_pairs(open_members.select("rep", "component").distinct().join(sets, "rep"), percent)
         pairs = stash(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = pairs if done is None else done.union(pairs)
         found = check(pairs, "links")
