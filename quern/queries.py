@@ -113,9 +113,9 @@ def last_dup_wins(spark, sf):
     return tables.last_by_key(table(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
-@query("SELECT true AS is_mean, 'mean' AS p_name, printf('%.3f', avg(p_size)) AS p_size FROM part UNION ALL SELECT false, p_name, printf('%.5f', p_size::DOUBLE) FROM part")
+@query("SELECT true AS is_mean, 'mean' AS c_name, printf('%.3f', avg(c_acctbal)) AS c_acctbal FROM customer UNION ALL SELECT false, c_name, printf('%.5f', c_acctbal) FROM customer")
 def macro_mean_row(spark, sf):
-    return metrics.with_mean_row(table(spark, sf, "part").select("p_name", F.col("p_size").cast("double").alias("p_size")), "p_name", "p_size")
+    return metrics.with_mean_row(table(spark, sf, "customer"), "c_name", "c_acctbal")
 
 
 @query("SELECT lang, count(*) AS n, round(avg(quality), 4) AS quality, round(100 * avg(toxic), 2) AS toxic_pct FROM documents JOIN labels USING (doc_id) GROUP BY lang")
