@@ -41,10 +41,16 @@ from quern.session import stash, unstash
 NEIGHBOURS, REVERSE, OFFERED = 24, 16, 8
 TABLES, BLOCK = 4, 256
 ROUNDS, SETTLED = 7, 0.02
-ENTRIES, POOL, OPENED, WALKS = 512, 480, 128, 40
+ENTRIES, POOL, OPENED, WALKS = 512, 480, 192, 40
 HEADER = 8
 
 
+def packed(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """df in partitions of about 64 MB, two per core at least: rounds over small
+    tables don't pay for partitions that hold nothing."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows * width >> 26))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id long, v array<double>: the rows that take part, once each."""
     v = F.col(vector_col).cast("array<double>")
@@ -123,7 +129,7 @@ def first_edges(coded: DataFrame, n: int, dims: int, k: int, seed: int = 7) -> D
     return blocks.select("id", "code", "t", "side", "part").groupBy("t", "side", "part").applyInArrow(within, "u long, w long, d float")
 
 
-def compared(dims: int, offered: int):
+def compared(dims: int, offered: int, kept: int):
     """From gathered nodes (m: list of u, radius, fresh, code) the pairs (u, w, d)
     that are nearer than u's radius, the nearest few of each u and node."""
 
@@ -150,23 +156,38 @@ def compared(dims: int, offered: int):
                 near = np.argpartition(d, few - 1, axis=2)[:, :, :few]
                 found = np.take_along_axis(d, near, 2)
                 b, u, c = np.nonzero(np.isfinite(found))
-                yield pa.RecordBatch.from_arrays([pa.array(pid[b, u]), pa.array(pid[b, near[b, u, c]]), pa.array(found[b, u, c].astype(np.float32))], ["u", "w", "d"])
+                u, w, d = pid[b, u], pid[b, near[b, u, c]], found[b, u, c].astype(np.float32)
+                # each pair once, and the nearest of each u, so that a node that many others
+                # point to sends on a bounded number of rows from here
+                order = np.lexsort((w, d, u))
+                u, w, d = u[order], w[order], d[order]
+                first = np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])) if len(u) else np.zeros(0, bool)
+                u, w, d = u[first], w[first], d[first]
+                begins = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+                keep = np.arange(len(u)) - np.repeat(begins, np.diff(np.append(begins, len(u)))) < kept
+                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(w[keep]), pa.array(d[keep])], ["u", "w", "d"])
 
     return run
 
 
 def neighbour_graph(coded: DataFrame, n: int, dims: int, neighbours: int, rounds: int) -> DataFrame:
     """(u, w, d, fresh): each node's nearest others, as far as found."""
-    edges = stash(nearest(first_edges(coded, n, dims, neighbours).groupBy("u", "w").agg(F.min("d").alias("d")), neighbours).withColumn("fresh", F.lit(True)), "edges")
+    def stored(candidates: DataFrame) -> DataFrame:
+        # one shuffle by u serves the removal of repeated pairs and the ranking
+        once = candidates.repartition("u").groupBy("u", "w").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+        held = Window.partitionBy("u")
+        far = F.when(F.count("*").over(held) >= neighbours, F.max("d").over(held)).otherwise(float("inf")).cast("float")
+        out = nearest(once, neighbours).withColumns({"radius": far, "lead": F.col("w") == F.min("w").over(held)})
+        return stash(packed(out, n * neighbours, 32), "edges")
+
+    edges = stored(first_edges(coded, n, dims, neighbours).withColumn("fresh", F.lit(True)))
     for _ in range(rounds):
         back = nearest(edges.select(F.col("w").alias("v"), F.col("u").alias("w"), "d", "fresh"), REVERSE, "v").select("v", F.col("w").alias("u"), "fresh")
-        around = edges.select(F.col("u").alias("v"), F.col("w").alias("u"), "fresh").union(back).groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
-        radius = edges.groupBy("u").agg(F.max("d").alias("far"), F.count("*").alias("c")).select("u", F.when(F.col("c") >= neighbours, F.col("far")).otherwise(F.lit(float("inf"))).cast("float").alias("radius"))
-        known = coded.select(F.col("id").alias("u"), "code").join(radius, "u", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf")).cast("float")))
+        around = edges.select(F.col("u").alias("v"), F.col("w").alias("u"), "fresh").union(back)
+        known = coded.select(F.col("id").alias("u"), "code").join(edges.filter("lead").select("u", "radius"), "u", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf")).cast("float")))
         gathered = around.join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "radius", "fresh", "code")).alias("m"))
-        offers = gathered.select("m").mapInArrow(compared(dims, OFFERED), "u long, w long, d float").withColumn("fresh", F.lit(True))
-        merged = edges.select("u", "w", "d", F.lit(False).alias("fresh")).union(offers).groupBy("u", "w").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-        new = stash(nearest(merged, neighbours), "edges")
+        offers = packed(gathered.select("m"), n * (neighbours + REVERSE), dims + 32).mapInArrow(compared(dims, OFFERED, neighbours), "u long, w long, d float").withColumn("fresh", F.lit(True))
+        new = stored(edges.select("u", "w", "d", F.lit(False).alias("fresh")).union(offers))
         unstash(edges)
         edges = new
         told = edges.agg(F.count("*").alias("all"), F.count_if("fresh").alias("new")).first()
@@ -256,7 +277,7 @@ def nearest_neighbours(
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), blobs(encode(lists(batch.column("v"), dims)))], ["id", "code"])
 
-    coded = stash(base.mapInArrow(coding, "id long, code binary"), "coded")
+    coded = stash(packed(base, n, 8 * dims).mapInArrow(coding, "id long, code binary"), "coded")
     starts = base.orderBy(F.xxhash64("id"), "id").limit(entries).toArrow().combine_chunks()
     shared = spark.sparkContext.broadcast((starts.column("id").to_numpy(), lists(starts.column("v").combine_chunks() if isinstance(starts.column("v"), pa.ChunkedArray) else starts.column("v"), dims)))
 
@@ -276,16 +297,18 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays([pa.array(rows["q"], pa.int64()), *(pa.array(rows[c], pa.list_(t)) for c, t in (("x", pa.float32()), ("ids", pa.int64()), ("ds", pa.float32()), ("done", pa.bool_()), ("todo", pa.int64()))), pa.array(rows["worst"], pa.float32())], ["q", "x", "ids", "ds", "done", "todo", "worst"])
 
     state = stash(base.filter(queries).mapInArrow(begin, STATE), "walk")
+    asking = state.count()
     if n > entries:
         edges = neighbour_graph(coded, n, dims, neighbours, rounds)
-        graph = stash(adjacency(edges, coded), "graph")
+        graph = stash(packed(adjacency(edges, coded), n * (neighbours + REVERSE), dims + 16), "graph")
         unstash(edges)
         for _ in range(WALKS):
             front = state.select("q", "x", "worst", F.explode("todo").alias("node"))
             if front.isEmpty():
                 break
-            found = front.join(graph, "node").select("q", "x", "worst", "m").mapInArrow(opened(dims), "q long, ids array<long>, ds array<float>")
-            new = stash(state.groupBy("q").cogroup(found.groupBy("q")).applyInArrow(merged(pool, step), STATE), "walk")
+            near = packed(front.join(graph, "node").select("q", "x", "worst", "m"), asking * step, (neighbours + REVERSE) * (dims + 16))
+            found = near.mapInArrow(opened(dims), "q long, ids array<long>, ds array<float>")
+            new = stash(packed(state.groupBy("q").cogroup(found.groupBy("q")).applyInArrow(merged(pool, step), STATE), asking, 32 * pool), "walk")
             unstash(state)
             state = new
     best = state.select(F.col("q").alias("query_id"), F.explode(F.slice("ids", 1, max(6 * k, 64))).alias("vec_id"))
