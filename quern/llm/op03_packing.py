@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quern.llm.words import byte_set, raw, slices
 
 #: Distinct chunks whose ids a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: First bytes of the characters beyond ASCII that can be white space.
 SPACE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A))

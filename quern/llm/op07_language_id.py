@@ -45,7 +45,7 @@ FAMILIES = {
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-FEATURE_SLICE = 2_000_000
+FEATURE_SLICE, FEATURE_ROWS = 2_000_000, 1000
 
 
 def family_of(lang: str) -> str:
@@ -155,7 +155,7 @@ def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_langu
     machines += [{m[a]: 1, m[b]: -1} for m, ps in zip(members, pairs, strict=True) for a, b in ps]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", FEATURE_SLICE):
+        for part in slices(batches, "text", FEATURE_SLICE, FEATURE_ROWS):
             x = features(part.column("text"), dims).astype(np.float16)
             ids, own = part.column("doc_id").to_pylist(), part.column("lang").to_pylist()
             for k, machine in enumerate(machines):
@@ -184,7 +184,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", FEATURE_SLICE):
+        for part in slices(batches, "text", FEATURE_SLICE, FEATURE_ROWS):
             lang, score = shared.value.predict(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -198,7 +198,7 @@ def language_column(model: LanguageModel, text: Column) -> Column:
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for part in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])]), "text", FEATURE_SLICE):
+        for part in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])]), "text", FEATURE_SLICE, FEATURE_ROWS):
             out.append(pd.DataFrame(dict(zip(("lang_pred", "score"), model.predict(part.column("text")), strict=True))))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
 

@@ -47,16 +47,19 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of bounded rows and bytes; one row is never cut."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES, max_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of bounded rows and bytes; one row is never cut.
+    Memory that a batch's slices took goes back before the next batch."""
     for batch in batches:
         _, at = raw(batch.column(batch.schema.get_field_index(column)))
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(at, at[first] + max_bytes, side="right")) - 1
-            last = min(max(last, first + 1), first + SLICE_ROWS, batch.num_rows)
+            last = min(max(last, first + 1), first + max_rows, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array, separators: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
