@@ -257,7 +257,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
         open_members = stash(named.join(mixed, "key", "left_semi"), "open")
 
-    labels = reps.join(label, F.col("rep") == F.col("vertex"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    # written first, so that both sides of the last join are plain shuffles and a class of
+    # very many copies can be divided
+    labels = stash(reps.join(label, F.col("rep") == F.col("vertex"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component")), "classes")
     return (
         rows.join(labels, (rows.f1 == labels.f1) & (rows.f2 == labels.f2) & (rows.n > 0) & rows.doc_id.isNotNull(), "left")
         .select(rows.doc_id, rows.n.alias("n_shingles"), F.coalesce("component", rows.doc_id).alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.op03_packing import tokenizer
 from quern.llm.postings import Head, Sums, document_key, posting_batch, slice_numbers
-from quern.llm.words import BLANKS, raw, row_of, slices
+from quern.llm.words import BLANKS, counted, raw, row_of, slices
 from quern.session import stash
 
 #: Distinct chunks that a worker remembers, in each of two generations.
@@ -46,9 +46,9 @@ def ascii_chunks(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     rows = at[:-1][at[1:] > at[:-1]]
     start[rows] = word[rows]
     begins = np.flatnonzero(start)
-    before = np.cumsum(word, dtype=np.int64) if len(word) else np.zeros(0, np.int64)
-    offsets = np.append(before[begins] - 1, before[-1] if len(before) else 0).astype(np.int64)
-    chunks = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[word]))
+    kept = data[word]
+    offsets = np.append(counted(word)[begins] - 1, len(kept)).astype(np.int64)
+    chunks = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(kept))
     return chunks.dictionary_encode(), np.searchsorted(begins, at)
 
 
@@ -137,7 +137,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             for k in range(0, len(words), 20_000):
                 yield pa.RecordBatch.from_arrays([words[k : k + 20_000], pa.array(total[k : k + 20_000])], ["word", "n"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(tokenizer_path).model
         for batch in batches:
             words = batch.column("word")
@@ -181,7 +181,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 yield from out(held.add(rest, [rest.column("pieces").to_numpy(zero_copy_only=False)]))
         yield from out(held.parts())
 
-    words = stash(texts.select("text").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(counted, "word string, n long, pieces int"), "pieces")
+    words = stash(texts.select("text").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(with_pieces, "word string, n long, pieces int"), "pieces")
     head = texts.sparkSession.sparkContext.broadcast(Head(words, "pieces"))
     rows = texts.mapInArrow(postings, "word string, slice long, entries binary, key long, doc_id long, n_bytes long, n_tokens long")
     joined = rows.join(words.drop("n"), "word", "left").select("slice", "entries", "pieces", "key", "doc_id", "n_bytes", "n_tokens")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows and bytes of text that are worked on at once; bounds a worker's memory.
-SLICE_ROWS, SLICE_BYTES = 16_384, 12_000_000
+SLICE_ROWS, SLICE_BYTES = 16_384, 8_000_000
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -62,6 +62,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
         pa.default_memory_pool().release_unused()
 
 
+def counted(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set up to each place."""
+    return np.cumsum(flags, dtype=np.int32 if len(flags) < 1 << 31 else np.int64)
+
+
 def split_words(texts: pa.Array, separators: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
     """Lower-cased words of all rows in order, and the offsets of each row's words."""
     data, at = raw(texts)
@@ -72,8 +77,7 @@ def split_words(texts: pa.Array, separators: np.ndarray) -> tuple[pa.LargeString
     start[rows] = word[rows]
     begins = np.flatnonzero(start)
     kept = LOWER[data[word]]
-    before = np.cumsum(word, dtype=np.int64) if len(word) else np.zeros(0, np.int64)
-    offsets = np.append(before[begins] - 1, len(kept)).astype(np.int64)
+    offsets = np.append(counted(word)[begins] - 1, len(kept)).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(kept))
     return words, np.searchsorted(begins, at)
 
