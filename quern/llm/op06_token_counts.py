@@ -132,8 +132,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            words, code, _, n = occurrences(pre_tokens(tokenizer_path), part)
-            total, words = np.bincount(code, n, len(words)).astype(np.int64), words.cast(pa.string())
+            chunks, _ = ascii_chunks(part.column("text"))
+            tokens = pre_tokens(tokenizer_path).all(chunks.dictionary.to_pylist())
+            n = np.bincount(chunks.indices.to_numpy(zero_copy_only=False), minlength=len(tokens))
+            flat = pa.array([t for x in tokens for t in x], pa.string()).dictionary_encode()
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            words = flat.dictionary
+            total = np.bincount(flat.indices.to_numpy(zero_copy_only=False), np.repeat(n, sizes), len(words)).astype(np.int64)
             for k in range(0, len(words), 20_000):
                 yield pa.RecordBatch.from_arrays([words[k : k + 20_000], pa.array(total[k : k + 20_000])], ["word", "n"])
 
