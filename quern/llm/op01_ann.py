@@ -16,8 +16,8 @@ these, and the pool keeps the ``pool`` nearest.  It ends when no pool has a
 node to open.  The nearest of the pools are ranked by exact distances of the
 original vectors, in double precision.
 
-Within graph and walk, vectors are 8-bit codes with a scale of their own and
-an exact norm.  The entry points are a bounded sample (``entries`` rows by a
+Within graph and walk, vectors are 16-bit codes with a scale of their own, fine
+enough to rank near-copies.  The entry points are a bounded sample (``entries`` rows by a
 hash of the id), which is broadcast; all rows are indexed.
 
 Rows with a null id, and vectors that are null, zero, hold null or non-finite
@@ -42,7 +42,7 @@ NEIGHBOURS, REVERSE, OFFERED = 24, 16, 8
 TABLES, BLOCK = 4, 256
 ROUNDS, SETTLED = 7, 0.02
 ENTRIES, POOL, OPENED, WALKS = 512, 480, 192, 40
-HEADER = 8
+HEADER = 4
 
 
 def packed(df: DataFrame, rows: int, width: int) -> DataFrame:
@@ -55,7 +55,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id long, v array<double>: the rows that take part, once each."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine.alias("fine"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     return rows.filter(F.size("v") == (sizes.d if sizes else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
@@ -64,19 +64,25 @@ def lists(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
 
 
+def width(dims: int) -> int:
+    """Bytes of a code."""
+    return HEADER + 2 * dims
+
+
 def encode(x: np.ndarray) -> np.ndarray:
-    """Rows of bytes: norm squared and scale as float32, then 8 bits a component."""
+    """Rows of bytes: a scale as float32, then 16 bits a component."""
     top = np.abs(x).max(axis=1, keepdims=True)
-    scale = np.where(top > 0, top / 127.0, 1.0)
-    q = np.rint(x / scale).astype(np.int8)
-    head = np.hstack([np.minimum(np.square(x).sum(axis=1, keepdims=True), 1e38), scale]).astype("<f4")
-    return np.hstack([np.ascontiguousarray(head).view(np.uint8), q.view(np.uint8)])
+    scale = np.clip(top / 32767.0, 1e-37, 3e38).astype("<f4")
+    q = np.rint(np.clip(x / scale, -32767, 32767)).astype("<i2")
+    return np.hstack([np.ascontiguousarray(scale).view(np.uint8), np.ascontiguousarray(q).view(np.uint8)])
 
 
 def decode(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Norms squared and vectors of rows of bytes."""
-    head = np.ascontiguousarray(codes[:, :HEADER]).view("<f4")
-    return head[:, 0], codes[:, HEADER:].view(np.int8).astype(np.float32) * head[:, 1:2]
+    """Norms squared and vectors of rows of bytes, in double precision, so that
+    differences of near-copies survive."""
+    scale = np.ascontiguousarray(codes[:, :HEADER]).view("<f4").astype(float)
+    x = np.ascontiguousarray(codes[:, HEADER:]).view("<i2") * scale
+    return np.einsum("ij,ij->i", x, x), x
 
 
 def blobs(rows: np.ndarray) -> pa.Array:
@@ -102,7 +108,7 @@ def first_edges(coded: DataFrame, n: int, dims: int, k: int, seed: int = 7) -> D
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, x = decode(unblob(batch.column("code"), HEADER + dims))
+            _, x = decode(unblob(batch.column("code"), width(dims)))
             for t in range(TABLES):
                 side = (x @ planes[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), pa.array(np.full(len(x), t, np.int32)), pa.array(side.astype(np.int64))], ["id", "code", "t", "side"])
@@ -110,7 +116,7 @@ def first_edges(coded: DataFrame, n: int, dims: int, k: int, seed: int = 7) -> D
     def within(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids = table.column("id").to_numpy()
-        norm, x = decode(unblob(table.column("code").combine_chunks() if isinstance(table.column("code"), pa.ChunkedArray) else table.column("code"), HEADER + dims))
+        norm, x = decode(unblob(table.column("code").combine_chunks() if isinstance(table.column("code"), pa.ChunkedArray) else table.column("code"), width(dims)))
         us, ws, ds = [], [], []
         for a in range(0, len(ids), 512):
             d = np.sqrt(np.maximum(norm[a : a + 512, None] + norm[None] - 2 * x[a : a + 512] @ x.T, 0))
@@ -139,15 +145,17 @@ def compared(dims: int, offered: int, kept: int):
             sizes = m.value_lengths().to_numpy(zero_copy_only=False)
             flat = m.flatten()
             ids, radius, fresh = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("u", "radius", "fresh"))
-            norm, x = decode(unblob(flat.field("code"), HEADER + dims))
+            codes = unblob(flat.field("code"), width(dims))
             ends = np.cumsum(sizes)
             widest = int(sizes.max()) if len(sizes) else 0
             for a in range(0, len(sizes), 256):
                 part = sizes[a : a + 256]
                 col = np.arange(widest)[None]
                 real = col < part[:, None]
-                place = np.where(real, (ends[a : a + 256] - part)[:, None] + col, 0)
-                px, pn, pid = x[place], norm[place], ids[place]
+                place = np.where(real, (ends[a : a + 256] - part)[:, None] + col, ends[a] - part[0])
+                least = int(place.min())
+                norm, x = decode(codes[least : int(place.max()) + 1])
+                px, pn, pid = x[place - least], norm[place - least], ids[place]
                 d = np.sqrt(np.maximum(pn[:, :, None] + pn[:, None, :] - 2 * np.matmul(px, px.transpose(0, 2, 1)), 0))
                 pf = fresh[place]
                 good = real[:, :, None] & real[:, None, :] & (pf[:, :, None] | pf[:, None, :]) & (pid[:, :, None] != pid[:, None, :]) & (d < radius[place][:, :, None])
@@ -186,7 +194,7 @@ def neighbour_graph(coded: DataFrame, n: int, dims: int, neighbours: int, rounds
         around = edges.select(F.col("u").alias("v"), F.col("w").alias("u"), "fresh").union(back)
         known = coded.select(F.col("id").alias("u"), "code").join(edges.filter("lead").select("u", "radius"), "u", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf")).cast("float")))
         gathered = around.join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "radius", "fresh", "code")).alias("m"))
-        offers = packed(gathered.select("m"), n * (neighbours + REVERSE), dims + 32).mapInArrow(compared(dims, OFFERED, neighbours), "u long, w long, d float").withColumn("fresh", F.lit(True))
+        offers = packed(gathered.select("m"), n * (neighbours + REVERSE), 2 * dims + 32).mapInArrow(compared(dims, OFFERED, neighbours), "u long, w long, d float").withColumn("fresh", F.lit(True))
         new = stored(edges.select("u", "w", "d", F.lit(False).alias("fresh")).union(offers))
         unstash(edges)
         edges = new
@@ -213,14 +221,16 @@ def opened(dims: int):
             sizes = m.value_lengths().to_numpy(zero_copy_only=False)
             flat = m.flatten()
             ids = flat.field("w").to_numpy(zero_copy_only=False)
-            norm, x = decode(unblob(flat.field("code"), HEADER + dims))
+            codes = unblob(flat.field("code"), width(dims))
             q = lists(batch.column("x"), dims)
             row = np.repeat(np.arange(len(q)), sizes)
             d = np.empty(len(ids), np.float32)
-            squares = np.square(q).sum(axis=1)
-            for a in range(0, len(ids), 50_000):
-                r = row[a : a + 50_000]
-                d[a : a + 50_000] = np.sqrt(np.maximum(squares[r] + norm[a : a + 50_000] - 2 * np.einsum("ij,ij->i", q[r].astype(np.float32), x[a : a + 50_000]), 0))
+            q = q.astype(float)
+            squares = np.einsum("ij,ij->i", q, q)
+            for a in range(0, len(ids), 20_000):
+                r = row[a : a + 20_000]
+                norm, x = decode(codes[a : a + 20_000])
+                d[a : a + 20_000] = np.sqrt(np.maximum(squares[r] + norm - 2 * np.einsum("ij,ij->i", q[r], x), 0))
             keep = (d < batch.column("worst").to_numpy()[row]) & (ids != batch.column("q").to_numpy()[row])
             offsets = np.append(0, np.cumsum(np.bincount(row[keep], minlength=len(q)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("q"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[keep])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(d[keep]))], ["q", "ids", "ds"])
@@ -228,7 +238,7 @@ def opened(dims: int):
     return run
 
 
-STATE = "q long, x array<float>, ids array<long>, ds array<float>, done array<boolean>, todo array<long>, worst float"
+STATE = "q long, x array<double>, ids array<long>, ds array<float>, done array<boolean>, todo array<long>, worst float"
 
 
 def state_row(q: int, x: np.ndarray, ids: np.ndarray, ds: np.ndarray, done: np.ndarray, pool: int, step: int) -> dict:
@@ -241,7 +251,7 @@ def state_row(q: int, x: np.ndarray, ids: np.ndarray, ds: np.ndarray, done: np.n
 
 
 def merged(pool: int, step: int):
-    schema = pa.schema([("q", pa.int64()), ("x", pa.list_(pa.float32())), ("ids", pa.list_(pa.int64())), ("ds", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_())), ("todo", pa.list_(pa.int64())), ("worst", pa.float32())])
+    schema = pa.schema([("q", pa.int64()), ("x", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("ds", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_())), ("todo", pa.list_(pa.int64())), ("worst", pa.float32())])
 
     def run(key: tuple, state: pa.Table, found: pa.Table) -> pa.Table:
         if not state.num_rows:
@@ -292,21 +302,21 @@ def nearest_neighbours(
             for own, v in zip(batch.column("id").to_pylist(), q, strict=True):
                 d = np.sqrt(np.maximum(norm + v @ v - 2 * x @ v, 0)).astype(np.float32)
                 other = ids != own
-                for c, value in state_row(own, v.astype(np.float32), ids[other], d[other], np.zeros(int(other.sum()), bool), pool, step).items():
+                for c, value in state_row(own, v, ids[other], d[other], np.zeros(int(other.sum()), bool), pool, step).items():
                     rows.setdefault(c, []).extend(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["q"], pa.int64()), *(pa.array(rows[c], pa.list_(t)) for c, t in (("x", pa.float32()), ("ids", pa.int64()), ("ds", pa.float32()), ("done", pa.bool_()), ("todo", pa.int64()))), pa.array(rows["worst"], pa.float32())], ["q", "x", "ids", "ds", "done", "todo", "worst"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["q"], pa.int64()), *(pa.array(rows[c], pa.list_(t)) for c, t in (("x", pa.float64()), ("ids", pa.int64()), ("ds", pa.float32()), ("done", pa.bool_()), ("todo", pa.int64()))), pa.array(rows["worst"], pa.float32())], ["q", "x", "ids", "ds", "done", "todo", "worst"])
 
     state = stash(base.filter(queries).mapInArrow(begin, STATE), "walk")
     asking = state.count()
     if n > entries:
         edges = neighbour_graph(coded, n, dims, neighbours, rounds)
-        graph = stash(packed(adjacency(edges, coded), n * (neighbours + REVERSE), dims + 16), "graph")
+        graph = stash(packed(adjacency(edges, coded), n * (neighbours + REVERSE), 2 * dims + 16), "graph")
         unstash(edges)
         for _ in range(WALKS):
             front = state.select("q", "x", "worst", F.explode("todo").alias("node"))
             if front.isEmpty():
                 break
-            near = packed(front.join(graph, "node").select("q", "x", "worst", "m"), asking * step, (neighbours + REVERSE) * (dims + 16))
+            near = packed(front.join(graph, "node").select("q", "x", "worst", "m"), asking * step, (neighbours + REVERSE) * (2 * dims + 16))
             found = near.mapInArrow(opened(dims), "q long, ids array<long>, ds array<float>")
             new = stash(packed(state.groupBy("q").cogroup(found.groupBy("q")).applyInArrow(merged(pool, step), STATE), asking, 32 * pool), "walk")
             unstash(state)
