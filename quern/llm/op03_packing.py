@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quern.llm.words import byte_set, raw, slices
 
 #: Distinct chunks whose ids a worker remembers, in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: First bytes of the characters beyond ASCII that can be white space.
 SPACE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A))
@@ -139,7 +139,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence_length: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for part in slices(batches, "text", 4_000_000):
+        for part in slices(batches, "text", 3_000_000):
             ids, at = encoder(tokenizer_path).rows(part.column("text"))
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, first, last in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):

@@ -42,7 +42,7 @@ from quern.session import few, stash, unstash
 
 BANDS, ROWS = 48, 6
 STAR_ROUNDS = 3
-SET_SLICE = 6_000_000
+SET_SLICE = 3_000_000
 #: Numbers that are worked on at once in one signature.
 BLOCK = 32_768
 

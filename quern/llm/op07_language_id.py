@@ -45,7 +45,7 @@ FAMILIES = {
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-FEATURE_SLICE, FEATURE_ROWS = 2_000_000, 1000
+FEATURE_SLICE, FEATURE_ROWS = 2_000_000, 400
 
 
 def family_of(lang: str) -> str:
