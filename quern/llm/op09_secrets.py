@@ -4,8 +4,9 @@ Every text is scanned as it is; then encoded stretches are unwrapped into new
 layers, each layer is scanned and unwrapped in turn, until no layer gives a new
 one.  URL escapes and Unicode escapes are decoded in place, base64 runs (and
 gzip or zlib data inside them) become layers of their own.  A layer whose text
-was seen before is not entered again, which ends cycles.  Spans found in a
-layer are mapped back to the code points of the original text.
+was seen before at the same stretch of the original is not entered again, which
+ends cycles; at another stretch it is.  Spans found in a layer are mapped back
+to the code points of the original text.
 
 Null text counts as empty; every row gives one row, repeated ids and null ids
 included.  An empty table gives an empty result.  Decoding shortens a text,
@@ -151,7 +152,7 @@ class Scan:
         self.spans: dict[tuple[int, int, int], int] = {}
         self.unfinished = False
         self.left = max_expanded
-        self.seen = {self.key(text)}
+        self.seen = {(self.key(text), (0, len(text)))}
         self.work: list[tuple[str, Places | None, int, list[Span]]] = []
         self.enter(text, None, 0)
         while self.work:
@@ -171,7 +172,8 @@ class Scan:
             self.work.append((text, places, depth, runs))
 
     def layer(self, text: str, places: Places, depth: int) -> None:
-        if (key := self.key(text)) not in self.seen:
+        key = self.key(text), places(0, len(text)) if text else (0, 0)
+        if key not in self.seen:
             self.seen.add(key)
             self.enter(text, places, depth)
 

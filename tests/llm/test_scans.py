@@ -59,6 +59,14 @@ def test_wrapped_secrets_are_mapped_to_their_place(wrap):
         assert 6 <= a < b <= len(text) - 5
 
 
+@pytest.mark.parametrize("wrap", [lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), lambda s: base64.b64encode(base64.b64encode(s.encode())).decode()])
+def test_every_copy_of_a_wrapped_secret_is_found(wrap):
+    code = wrap(SECRET)
+    text = f"one {code} two {code}\nthree {code} end"
+    hidden = masked(text, "[secret]", 1 << 20)
+    assert hidden.count("[secret]") == 3 and code[8:-8] not in hidden
+
+
 def test_url_layer_maps_single_characters():
     text = "a%20token%3D%22" + "k" * 14 + "%22"
     assert (4, 29, 0) in spans(text) and text[4:29] == "token%3D%22" + "k" * 14
