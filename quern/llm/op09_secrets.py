@@ -2,29 +2,37 @@
 
 Every text is scanned as it is; then encoded stretches are unwrapped into new
 layers, each layer is scanned and unwrapped in turn, until no layer gives a new
-one.  URL escapes and Unicode escapes are decoded in place, base64 runs (and
-gzip or zlib data inside them) become layers of their own.  A layer whose text
+one.  URL escapes and Unicode escapes are decoded in place.  Base64 runs, and
+runs wrapped over lines, become layers of their own at all four alignments, so
+that a joined prefix hides nothing; bytes that are not UTF-8 stand in a layer as
+lone surrogates.  Gzip and zlib data that begins anywhere in such bytes becomes a
+layer too, all its members together, and is unwrapped again if it holds such
+data itself.  A layer whose text
 was seen before at the same stretch of the original is not entered again, which
 ends cycles; at another stretch it is.  Spans found in a layer are mapped back
 to the code points of the original text.
 
 Null text counts as empty; every row gives one row, repeated ids and null ids
 included.  An empty table gives an empty result.  Decoding shortens a text,
-only decompression can lengthen it: what one document's compressed layers may
-expand to is limited by ``max_expanded``, and a document that needs more is
-marked ``unfinished`` (its other layers are still scanned).
+only decompression can lengthen it.  A compressed layer of more than ``WHOLE``
+bytes is scanned in overlapping chunks, so memory is bounded; a stretch that is
+encoded or compressed, crosses the end of a chunk and doesn't fit in ``WHOLE``
+bytes marks its document ``unfinished``.  ``max_expanded`` (by default none) limits
+what one document's compressed layers may expand to; a document that needs more
+is marked ``unfinished`` too (its other layers are still scanned).
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import accumulate, chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,11 +46,20 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: Line ends, also as they stand in quoted strings.
+BREAK = re.compile(r"[\x20\t]*+(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)+")
+#: Where gzip or zlib data may begin.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68]")
+STEP, WHOLE, CHUNK, OVERLAP = 512, 64 << 20, 16 << 20, 1 << 20
+TOKEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=.%\\{}\r\n"
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 
 Span = tuple[int, int]
 Places = Callable[[int, int], Span]
+#: The way back from a layer, through all above it: its own places, then those of the layer above.
+Chain = tuple[Places, "Chain"] | None
 
 
 def matches(text: str, long_runs: list[Span]) -> list[tuple[int, int, int]]:
@@ -58,8 +75,26 @@ def matches(text: str, long_runs: list[Span]) -> list[tuple[int, int, int]]:
     return out
 
 
-def through(places: Places, own: Places) -> Places:
-    return lambda a, b: places(*own(a, b))
+def original(places: Chain, a: int, b: int) -> Span:
+    """Where a stretch of a layer comes from in the original text."""
+    while places:
+        own, places = places
+        a, b = own(a, b)
+    return a, b
+
+
+def unbroken(text: str, first: int, last: int) -> tuple[str, Callable[[int], int]]:
+    """A run that is wrapped over lines, and where each of its characters stands."""
+    ends = [m.span() for m in BREAK.finditer(text, first, last)]
+    starts = [first, *(b for _, b in ends)]
+    lines = [text[a:b] for a, b in zip(starts, [*(a for a, _ in ends), last], strict=True)]
+    before = [0, *accumulate(map(len, lines))]
+
+    def at(k: int) -> int:
+        line = min(bisect_right(before, k), len(starts)) - 1
+        return starts[line] + k - before[line]
+
+    return "".join(lines), at
 
 
 def in_place(text: str, found: Iterator[tuple[int, int, str, list[int] | None]]) -> tuple[str, Places] | None:
@@ -123,92 +158,213 @@ def escapes(text: str) -> Iterator[tuple[int, int, str, list[int] | None]]:
             yield m.start(), m.end(), chr(code), None
 
 
-def expanded(data: bytes, most: int) -> bytes | None:
-    """Decompressed gzip or zlib data; None if it isn't such; ValueError beyond most."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 6 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    inflate = zlib.decompressobj(47)
-    try:
-        out = inflate.decompress(data, most + 1)
-    except zlib.error:
-        return None
-    if len(out) > most:
-        raise ValueError("more than a document may expand to")
-    return out or None
+def steps(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    for piece in pieces:
+        for k in range(0, len(piece), STEP):
+            yield piece[k : k + STEP]
+
+
+class Inflated:
+    """What gzip or zlib data expands to, in pieces: all members that follow each
+    other, and of a broken one what comes before the fault."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.end, self.broken = pieces, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        inflate, at = zlib.decompressobj(47), 0
+        for part in steps(self.pieces):
+            while part:
+                if inflate is None:
+                    at += len(part) - len(part := part.lstrip(b"\0"))
+                    if not part:
+                        break
+                    inflate = zlib.decompressobj(47)
+                before = inflate.copy()
+                try:
+                    out = inflate.decompress(part)
+                except zlib.error:
+                    yield from self.rest(before, part)
+                    return
+                used = len(part) - len(inflate.unused_data)
+                at, part = at + used, part[used:]
+                if out:
+                    yield out
+                if inflate.eof:
+                    self.end, inflate = at, None
+        self.broken = inflate is not None
 
+    @staticmethod
+    def rest(inflate, part: bytes) -> Iterator[bytes]:
+        for k in range(len(part)):
+            try:
+                out = inflate.decompress(part[k : k + 1])
+            except zlib.error:
+                return
+            if out:
+                yield out
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+
+class Beyond(Exception):
+    """More than a document may expand to."""
+
+
+def as_text(data: bytes) -> str:
+    return data.decode(errors="surrogateescape")
+
+
+def byte_places(text: str) -> Callable[[int], int]:
+    """From a position in as_text(data) to that in data."""
+    if text.isascii():
+        return lambda k: k
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = 1 + (code > 0x7F) + (code > 0x7FF).astype(np.int64) + (code > 0xFFFF)
+    wide[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+    at = np.append(0, np.cumsum(wide))
+    return lambda k: int(at[k])
 
 
 class Scan:
     """All spans of one text: kind -> smallest depth at which it was found."""
 
-    def __init__(self, text: str, max_expanded: int):
+    def __init__(self, text: str, max_expanded: int | None = None):
         self.spans: dict[tuple[int, int, int], int] = {}
         self.unfinished = False
         self.left = max_expanded
         self.seen = {(self.key(text), (0, len(text)))}
-        self.work: list[tuple[str, Places | None, int, list[Span]]] = []
+        self.work: list[Callable[[], None]] = []
         self.enter(text, None, 0)
         while self.work:
-            self.unwrap(*self.work.pop())
+            self.work.pop()()
 
     @staticmethod
     def key(text: str) -> bytes:
         return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-    def enter(self, text: str, places: Places | None, depth: int) -> None:
+    def enter(self, text: str, places: Chain, depth: int) -> None:
         runs = [m.span() for m in LONG.finditer(text)]
         for a, b, kind in matches(text, runs):
-            if places:
-                a, b = places(a, b)
-            self.spans.setdefault((a, b, kind), depth)
-        if runs or "%" in text or "\\" in text:
-            self.work.append((text, places, depth, runs))
-
-    def layer(self, text: str, places: Places, depth: int) -> None:
-        key = self.key(text), places(0, len(text)) if text else (0, 0)
+            self.spans.setdefault((*original(places, a, b), kind), depth)
+        wrapped = [m.span() for m in WRAPPED.finditer(text) if m.end() - m.start() > 16]
+        if runs or wrapped or "%" in text or "\\" in text:
+            self.work.append(lambda: self.unwrap(text, places, depth, runs, wrapped))
+
+    def layer(self, text: str, places: Chain, depth: int) -> None:
+        key = self.key(text), original(places, 0, len(text)) if text else (0, 0)
         if key not in self.seen:
             self.seen.add(key)
             self.enter(text, places, depth)
 
-    def unwrap(self, text: str, places: Places | None, depth: int, runs: list[Span]) -> None:
-        above = places or (lambda a, b: (a, b))
+    def unwrap(self, text: str, places: Chain, depth: int, runs: list[Span], wrapped: list[Span]) -> None:
         for found in (percent(text) if "%" in text else (), escapes(text) if "\\" in text else ()):
             if new := in_place(text, found):
-                self.layer(new[0], through(above, new[1]), depth + 1)
+                self.layer(new[0], (new[1], places), depth + 1)
         for first, last in runs:
-            code = text[first:last].translate({45: 43, 95: 47})
-            try:
-                data = base64.b64decode(code + "=" * (-len(code) % 4))
-            except (binascii.Error, ValueError):
+            self.decode(text[first:last], lambda k, f=first: f + k, places, depth + 1)
+        for first, last in wrapped:
+            code, at = unbroken(text, first, last)
+            self.decode(code, at, places, depth + 1)
+
+    def decode(self, code: str, at: Callable[[int], int], places: Chain, depth: int) -> None:
+        """Layers of a base64 run; at: where each of its characters stands."""
+        code = code.translate({45: 43, 95: 47})
+        n = len(code)
+        for k in range(min(4, n - 1)):
+            m = n - k - ((n - k) % 4 == 1)
+            data = base64.b64decode(code[k : k + m] + "=" * (-m % 4))
+            text = as_text(data)
+            inner: list[Callable[[int], int]] = []
+
+            def own(a: int, b: int, k: int = k, text: str = text, inner: list = inner) -> Span:
+                if not inner:
+                    inner.append(byte_places(text))
+                return at(k + inner[0](a) // 3 * 4), at(min(n, k - (-inner[0](b) // 3) * 4) - 1) + 1
+
+            self.layer(text, (own, places), depth)
+            self.packed(data, lambda p, k=k: original(places, at(k + p // 3 * 4), at(n - 1) + 1), depth)
+
+    def packed(self, data: bytes, stretch: Callable[[int], Span], depth: int, more: bool = False) -> None:
+        """Layers of the gzip or zlib data in data; stretch: the original's part
+        from a position in data on; more: data goes on after its end."""
+        if data.isascii():
+            return
+        end = 0
+        for m in PACKED.finditer(data):
+            p = m.start()
+            if p < end or data[p] != 0x1F and (len(data) < p + 7 or (data[p] << 8 | data[p + 1]) % 31):
                 continue
+            inflated = Inflated(data[q : q + (1 << 20)] for q in range(p, len(data), 1 << 20))
+            before = self.left
             try:
-                more = expanded(data, self.left)
-            except ValueError:
+                self.expand(self.limited(iter(inflated)), stretch(p), depth)
+            except Beyond:
+                self.unfinished, self.left = True, before
+            if more and inflated.broken:
                 self.unfinished = True
-                continue
-            inside = readable(more or data)
-            if inside is None:
-                continue
-            if more:
-                self.left -= len(more)
-                self.layer(inside, through(above, lambda a, b, s=(first, last): s), depth + 1)
+            end = p + inflated.end
+
+    def limited(self, pieces: Iterator[bytes]) -> Iterator[bytes]:
+        for piece in pieces:
+            if self.left is not None:
+                if len(piece) > self.left:
+                    raise Beyond
+                self.left -= len(piece)
+            yield piece
+
+    def expand(self, pieces: Iterator[bytes], span: Span, depth: int) -> None:
+        """A layer of decompressed data, all of which comes from span."""
+        parts, size = [], 0
+        for piece in pieces:
+            parts.append(piece)
+            size += len(piece)
+            if size > WHOLE:
+                return self.stream(b"".join(parts), pieces, span, depth)
+        if size:
+            data = b"".join(parts)
+            self.layer(as_text(data), (lambda a, b: span, None), depth)
+            self.work.append(lambda: self.again(data, span, depth + 1))
+
+    def again(self, data: bytes, span: Span, depth: int) -> None:
+        key = blake2b(data, digest_size=16).digest() + b"bytes", span
+        if key not in self.seen:
+            self.seen.add(key)
+            self.packed(data, lambda p: span, depth)
+
+    def stream(self, head: bytes, pieces: Iterator[bytes], span: Span, depth: int) -> None:
+        """The same for much data: chunk by chunk, each begins with the end of the one before."""
+        if PACKED.match(head) and next(iter(Inflated(iter([head]))), None) is not None:
+            return self.expand(self.limited(iter(Inflated(chain([head], pieces)))), span, depth + 1)
+        parts, size = [head], len(head)
+        while True:
+            for piece in pieces:
+                parts.append(piece)
+                size += len(piece)
+                if size >= CHUNK + OVERLAP:
+                    break
             else:
-                own = lambda a, b, f=first, e=last, t=inside: (f + len(t[:a].encode()) // 3 * 4, min(e, f + -(-len(t[:b].encode()) // 3) * 4))
-                self.layer(inside, through(above, own), depth + 1)
+                pieces = None
+            data = b"".join(parts)
+            self.layer(as_text(data), (lambda a, b: span, None), depth)
+            self.packed(data, lambda p: span, depth + 1, more=pieces is not None)
+            # layers of this chunk before the next one is held
+            others, self.work = self.work, []
+            while self.work:
+                self.work.pop()()
+            self.work = others
+            if pieces is None:
+                return
+            keep = min(len(data.rstrip(TOKEN)), len(data) - OVERLAP)
+            if len(data) - keep > WHOLE:
+                self.unfinished, keep = True, len(data) - OVERLAP
+            parts = [data[keep:]]
+            size = len(parts[0])
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,depth:int>>"
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("depth", pa.int32())]))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_expanded: int = 64 << 20) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_expanded: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, spans by start, kind and end (depth 0:
     in the text as it is; more: so many layers below), unfinished."""
 
@@ -225,7 +381,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts.mapInArrow(run, f"doc_id long, spans {SPANS}, unfinished boolean")
 
 
-def masked(text: str, mask: str, max_expanded: int) -> str:
+def masked(text: str, mask: str, max_expanded: int | None = None) -> str:
     parts, done = [], 0
     for a, b, _ in sorted(Scan(text, max_expanded).spans):
         if a >= done:
@@ -234,7 +390,7 @@ def masked(text: str, mask: str, max_expanded: int) -> str:
     return "".join([*parts, text[done:]]) if parts else text
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", max_expanded: int = 64 << 20) -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", max_expanded: int | None = None) -> DataFrame:
     """docs with every span of text_col replaced by mask; all other columns, null
     texts and clean texts stay as they are."""
 

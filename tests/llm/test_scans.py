@@ -67,6 +67,56 @@ def test_every_copy_of_a_wrapped_secret_is_found(wrap):
     assert hidden.count("[secret]") == 3 and code[8:-8] not in hidden
 
 
+def code(data):
+    return base64.b64encode(data).decode()
+
+
+NOISE = b"".join(hashlib.sha256(bytes([k])).digest() for k in range(40))
+LOUD = SECRET.encode() + b"\n" + NOISE
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        code(gzip.compress(gzip.compress(zlib.compress(SECRET.encode())))),
+        code(gzip.compress(b"first member") + gzip.compress(SECRET.encode())),
+        code(gzip.compress(b"password = 'Zq81m") + gzip.compress(b"mKx02Lp77'")),
+        code(b"\xef\xbb\xbf" + SECRET.encode()),
+        code("a\xa0\x0c\x00".encode() + SECRET.encode()),
+        code(b"\xff\xfe\x80" + SECRET.encode()),
+        code(gzip.compress(b"\x00\xff" + SECRET.encode())),
+        code(b"\x01\x02head" + gzip.compress(SECRET.encode())),
+        code(gzip.compress(LOUD))[:-40],
+        base64.encodebytes(gzip.compress(LOUD)).decode().strip(),
+        base64.encodebytes(gzip.compress(LOUD)).decode().strip().replace("\n", "\\n"),
+        base64.encodebytes(b"." * 50 + SECRET.encode()).decode().strip(),
+        *(prefix + code(data) for prefix in ("a/", "ab-", "abc_", "path/x+") for data in (SECRET.encode(), gzip.compress(SECRET.encode()))),
+    ],
+)
+def test_layers_of_every_make_are_scanned(inner):
+    text = "vor ë " + inner + " nach"
+    found = [x for x in spans(text) if x[2] == 0]
+    assert found and all(6 <= a < b <= len(text) - 5 for a, b, _ in found)
+
+
+def test_places_in_bytes_that_are_no_text():
+    text = "x " + code(b"\xff\xfe\x80" * 10 + "é".encode() + SECRET.encode())
+    a, b = next((a, b) for a, b, k in spans(text) if k == 0)
+    assert a == 2 + 32 // 3 * 4 and len(text) - 8 <= b <= len(text)
+
+
+def test_large_layers_are_scanned_in_chunks(monkeypatch):
+    for name, value in {"WHOLE": 60_000, "CHUNK": 20_000, "OVERLAP": 1_000}.items():
+        monkeypatch.setattr(f"quern.llm.op09_secrets.{name}", value)
+    for at in (0, 59_990, 100_000, 119_995, 300_000):
+        for pack in (lambda d: d, gzip.compress):
+            data = b". " * (at // 2) + b"\n" + SECRET.encode() + b"\n" + b", " * (150_000 - at // 2)
+            scan = Scan("x " + code(pack(gzip.compress(data))) + " y")
+            assert [k for _, _, k in scan.spans] == [0] and not scan.unfinished
+    many = Scan("x " + code(gzip.compress(b". " * 40_000 + code(SECRET.encode()).encode() + b" ." * 90_000)))
+    assert any(k == 0 for _, _, k in many.spans)
+
+
 def test_url_layer_maps_single_characters():
     text = "a%20token%3D%22" + "k" * 14 + "%22"
     assert (4, 29, 0) in spans(text) and text[4:29] == "token%3D%22" + "k" * 14
