@@ -1,7 +1,9 @@
 """Approximate nearest neighbours: NN-descent builds the graph, greedy search
 answers queries.  Nearness is Euclidean distance.
 
-Every row is a node.  The first edges come from blocks of rows on the same
+Every distinct vector is a node, named by the smallest id that has it; equal
+rows come back at the end, each node by its k + 1 smallest ids, so ties go to the
+smaller id in groups of any size.  The first edges come from blocks of rows on the same
 side of random planes, compared within bounded blocks.  Each round of
 NN-descent then gathers, for every node, its neighbours and (the nearest of)
 its reverse neighbours, compares these neighbours of neighbours among
@@ -10,7 +12,8 @@ The gathering is a join on ids, the keeping a top-k per node that starts on
 the map side; no node collects an unbounded number of rows, however many rows
 point to it.
 
-Queries walk the graph together: in each round every query takes the nearest
+The queries' nodes walk the graph together, from the entry points and from
+themselves: in each round every query takes the nearest
 nodes of its pool that it has not opened yet, a join brings the neighbours of
 these, and the pool keeps the ``pool`` nearest.  It ends when no pool has a
 node to open.  The nearest of the pools are ranked by exact distances of the
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import stash, unstash
+from quern.session import few, stash, unstash
 
 NEIGHBOURS, REVERSE, OFFERED = 24, 16, 8
 TABLES, BLOCK = 4, 256
@@ -137,7 +140,7 @@ def first_edges(coded: DataFrame, n: int, dims: int, k: int, seed: int = 7) -> D
 
 def compared(dims: int, offered: int, kept: int):
     """From gathered nodes (m: list of u, radius, fresh, code) the pairs (u, w, d)
-    that are nearer than u's radius, the nearest few of each u and node."""
+    that are no farther than u's radius, the nearest few of each u and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +161,7 @@ def compared(dims: int, offered: int, kept: int):
                 px, pn, pid = x[place - least], norm[place - least], ids[place]
                 d = np.sqrt(np.maximum(pn[:, :, None] + pn[:, None, :] - 2 * np.matmul(px, px.transpose(0, 2, 1)), 0))
                 pf = fresh[place]
-                good = real[:, :, None] & real[:, None, :] & (pf[:, :, None] | pf[:, None, :]) & (pid[:, :, None] != pid[:, None, :]) & (d < radius[place][:, :, None])
+                good = real[:, :, None] & real[:, None, :] & (pf[:, :, None] | pf[:, None, :]) & (pid[:, :, None] != pid[:, None, :]) & (d <= radius[place][:, :, None])
                 d = np.where(good, d, np.inf)
                 few = min(offered, widest)
                 near = np.argpartition(d, few - 1, axis=2)[:, :, :few]
@@ -213,7 +216,7 @@ def adjacency(edges: DataFrame, coded: DataFrame) -> DataFrame:
 
 
 def opened(dims: int):
-    """(q, x, worst, m) -> (q, ids, ds): neighbours nearer than the pool's last."""
+    """(q, x, worst, m) -> (q, ids, ds): neighbours no farther than the pool's last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +234,7 @@ def opened(dims: int):
                 r = row[a : a + 20_000]
                 norm, x = decode(codes[a : a + 20_000])
                 d[a : a + 20_000] = np.sqrt(np.maximum(squares[r] + norm - 2 * np.einsum("ij,ij->i", q[r], x), 0))
-            keep = (d < batch.column("worst").to_numpy()[row]) & (ids != batch.column("q").to_numpy()[row])
+            keep = d <= batch.column("worst").to_numpy()[row]
             offsets = np.append(0, np.cumsum(np.bincount(row[keep], minlength=len(q)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("q"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[keep])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(d[keep]))], ["q", "ids", "ds"])
 
@@ -280,15 +283,22 @@ def nearest_neighbours(
     first = base.select(F.size("v").alias("d")).first()
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, n = first.d, base.count()
+    order = Window.partitionBy("v").orderBy("id")
+    # no more than the k + 1 smallest ids of a vector leave the map side
+    ranked = base.withColumns({"rank": F.row_number().over(order), "node": F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    ranked = stash(ranked.filter(F.col("rank") <= k + 1), "distinct")
+    nodes, copies = ranked.filter("rank = 1").select("id", "v"), ranked.filter("rank > 1").select("node", F.col("id").alias("copy"))
+    shared_by_two = few(ranked.filter("rank = 2").select("node", "v"), 50_000)
+    asked = stash(base.filter(queries).join(shared_by_two, "v", "left").select(F.col("id").alias("query_id"), F.coalesce("node", "id").alias("node")), "queries")
+    dims, n = first.d, nodes.count()
 
     def coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), blobs(encode(lists(batch.column("v"), dims)))], ["id", "code"])
 
-    coded = stash(packed(base, n, 8 * dims).mapInArrow(coding, "id long, code binary"), "coded")
-    starts = base.orderBy(F.xxhash64("id"), "id").limit(entries).toArrow().combine_chunks()
+    coded = stash(packed(nodes, n, 8 * dims).mapInArrow(coding, "id long, code binary"), "coded")
+    starts = nodes.orderBy(F.xxhash64("id"), "id").limit(entries).toArrow().combine_chunks()
     shared = spark.sparkContext.broadcast((starts.column("id").to_numpy(), lists(starts.column("v").combine_chunks() if isinstance(starts.column("v"), pa.ChunkedArray) else starts.column("v"), dims)))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +312,12 @@ def nearest_neighbours(
             for own, v in zip(batch.column("id").to_pylist(), q, strict=True):
                 d = np.sqrt(np.maximum(norm + v @ v - 2 * x @ v, 0)).astype(np.float32)
                 other = ids != own
-                for c, value in state_row(own, v, ids[other], d[other], np.zeros(int(other.sum()), bool), pool, step).items():
+                near, d = np.append(ids[other], own), np.append(d[other], np.float32(0))
+                for c, value in state_row(own, v, near, d, np.zeros(len(near), bool), pool, step).items():
                     rows.setdefault(c, []).extend(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows["q"], pa.int64()), *(pa.array(rows[c], pa.list_(t)) for c, t in (("x", pa.float64()), ("ids", pa.int64()), ("ds", pa.float32()), ("done", pa.bool_()), ("todo", pa.int64()))), pa.array(rows["worst"], pa.float32())], ["q", "x", "ids", "ds", "done", "todo", "worst"])
 
-    state = stash(base.filter(queries).mapInArrow(begin, STATE), "walk")
+    state = stash(nodes.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "v").mapInArrow(begin, STATE), "walk")
     asking = state.count()
     if n > entries:
         edges = neighbour_graph(coded, n, dims, neighbours, rounds)
@@ -321,8 +332,14 @@ def nearest_neighbours(
             new = stash(packed(state.groupBy("q").cogroup(found.groupBy("q")).applyInArrow(merged(pool, step), STATE), asking, 32 * pool), "walk")
             unstash(state)
             state = new
-    best = state.select(F.col("q").alias("query_id"), F.explode(F.slice("ids", 1, max(6 * k, 64))).alias("vec_id"))
-    pairs = best.join(base.select(F.col("id").alias("vec_id"), F.col("v").alias("b")), "vec_id").join(base.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id")
+    best = state.select(F.col("q").alias("q"), F.explode(F.slice("ids", 1, max(6 * k, 64))).alias("node"))
+    pairs = best.join(nodes.select(F.col("id").alias("node"), F.col("v").alias("b")), "node").join(nodes.select(F.col("id").alias("q"), F.col("v").alias("a")), "q")
     exact = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return pairs.select("query_id", "vec_id", exact.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranks = lambda of, by: F.row_number().over(Window.partitionBy(of).orderBy("score", by))
+    # of k + 1 nodes, k hold a row that is not the query
+    top = pairs.select("q", "node", exact.alias("score")).withColumn("rank", ranks("q", "node")).filter(F.col("rank") <= k + 1)
+    rows = top.select("q", F.col("node").alias("vec_id"), "score").unionByName(top.join(few(copies), "node").select("q", F.col("copy").alias("vec_id"), "score"))
+    rows = rows.withColumn("rank", ranks("q", "vec_id")).filter(F.col("rank") <= k + 1)
+    lists_of = stash(rows.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("m")), "lists")
+    answers = asked.join(few(lists_of, 200_000), asked.node == lists_of.q).select("query_id", F.posexplode(F.slice(F.array_sort(F.filter("m", lambda r: r.vec_id != F.col("query_id"))), 1, k)).alias("at", "r"))
+    return answers.select("query_id", (F.col("at") + 1).alias("rank"), "r.vec_id", "r.score")

@@ -50,6 +50,17 @@ def test_graph_search_with_few_entries(spark):
     assert set(got) == set(want) and recall(got, want) > 0.9
 
 
+def test_ties_in_a_large_group_of_copies_go_to_the_smallest_ids(spark):
+    rnd = np.random.default_rng(1)
+    x = rnd.standard_normal((900, 16)).astype(np.float32)
+    x[300:700] = x[300]
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(6)
+    got = found(nearest_neighbours(df, F.col("id").isin(5, 300, 305, 690), k=10, entries=24, pool=96, step=32).collect())
+    assert [j for _, j in got[300]] == list(range(301, 311)) and [j for _, j in got[690]] == list(range(300, 310))
+    assert [j for _, j in got[305]] == [j for j in range(300, 311) if j != 305]
+    assert recall(got, brute(range(900), x.astype(float), [5, 300, 305, 690], 10)) > 0.9
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (8, [None, 1.0]), (9, []), (None, [1.0, 1.0]), (2, [0.0, 2.0]), (10, [3.0, 3.0]), (100, [1.0, 0.5])]
