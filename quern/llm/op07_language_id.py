@@ -12,6 +12,14 @@ language in expectation, chosen by a hash of the id; each machine is fitted by
 a task of its own on that sample.  Only the machines' weights (languages and
 their pairs within families, times ``dims``) come to the driver.
 
+A model that was taught to reject (``learn_likeness``) says ``und`` also of texts
+unlike all learned languages.  Likeness is the cosine to the nearest language's
+mean features; it grows with a text's length, so the least likeness is set for
+each doubling of the number of distinct features, at a share of what all but one
+in a hundred rows of the sample reach.  A length of which the sample has less than
+``SEEN`` rows takes the least likeness of the next shorter one, at first zero: texts
+too short to tell stay.
+
 Text that is null or has no letter is ``und`` with score 0, and so is every
 text if no labelled row was learned from.  A language without known family is
 a family of its own.  Rows with a null id are predicted, never trained on;
@@ -22,7 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
@@ -46,6 +54,7 @@ UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 FEATURE_SLICE, FEATURE_ROWS = 2_000_000, 400
+SEEN = 10
 
 
 def family_of(lang: str) -> str:
@@ -78,6 +87,11 @@ def features(texts: pa.Array, dims: int) -> np.ndarray:
     return out / np.where(length > 0, length, 1)
 
 
+def doublings(x: np.ndarray) -> np.ndarray:
+    """By how many features a row has: 0 for none or one, 1 for two or three, and so on."""
+    return np.log2(np.maximum((x > 0).sum(axis=1), 1)).astype(int)
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 300) -> np.ndarray:
     """Weights and, last, bias of a linear machine with squared hinge loss; y is 1 or -1.
 
@@ -104,6 +118,8 @@ class LanguageModel:
     family_w: np.ndarray | None = None
     pairs: list[list[tuple[int, int]]] = field(default_factory=list)
     pair_w: list[np.ndarray] = field(default_factory=list)
+    means: np.ndarray | None = None
+    least: np.ndarray | None = None  # by doublings
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         n = len(texts)
@@ -112,6 +128,8 @@ class LanguageModel:
         if not self.families or not spoken.any():
             return lang.tolist(), score
         x = features(texts, self.dims)
+        if self.means is not None:
+            spoken &= (x @ self.means.T).max(axis=1) >= self.least[doublings(x)]
         x = np.hstack([x, np.ones((n, 1), x.dtype)])
         margins = x @ self.family_w.T
         chosen = margins.argmax(axis=1)
@@ -179,6 +197,42 @@ def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_langu
     return LanguageModel(dims, families, members, family_w, pairs, [np.array([next(rest) for _ in ps]).reshape(len(ps), dims + 1) for ps in pairs])
 
 
+def learn_likeness(model: LanguageModel, docs: DataFrame, training: Column, per_language: int = 1000, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """The model with what it needs to reject texts, from a sample as large as that of fit_languages."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return model
+    dims, levels = model.dims, model.dims.bit_length()
+    wanted = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)])
+    point = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", FEATURE_SLICE, FEATURE_ROWS):
+            x = features(part.column("text"), dims).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+
+    def learned(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(pdf.x), np.float16).reshape(len(pdf), dims).astype(np.float32)
+        x = x[x.any(axis=1)]
+        mean = x.sum(axis=0, dtype=float)
+        mean /= max(np.sqrt(mean @ mean), 1e-9)
+        near, level = x @ mean, doublings(x)
+        least = [float(np.quantile(near[level == k], 0.01)) if (level == k).any() else None for k in range(levels)]
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "mean": [mean], "least": [least], "rows": [np.bincount(level, minlength=levels)]})
+
+    sample = rows.filter(point < F.element_at(wanted, F.col("lang"))).select("lang", "text").mapInArrow(sampled, "lang string, x binary")
+    found = sorted(sample.groupBy("lang").applyInPandas(learned, "lang string, mean array<double>, least array<double>, rows array<long>").collect())
+    if not found:
+        return model
+    least, last = np.zeros(levels), 0.0
+    for k in range(levels):
+        if sum(r.rows[k] for r in found) >= SEEN:
+            last = share * min(r.least[k] for r in found if r.least[k] is not None)
+        least[k] = last
+    return replace(model, means=np.array([r.mean for r in found], np.float32), least=least)
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -46,6 +46,21 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, name, stage):
         assert out.count() <= docs.count()
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    foreign = [
+        "Zażółć gęślą jaźń, a potem wszyscy poszli do domu, ponieważ było już bardzo późno i zimno na dworze tego wieczoru.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "xq zvk wjq ppq zzkx qqw vxz kjq wwz bqx zkq vvq jxk qzw xkv zqj wvk qxz",
+        "".join(chr(97 + (k * k * 7 + k // 3) % 26) + " " * (k % 7 == 0) for k in range(400)),
+    ]
+    more = spark.createDataFrame([(10_000_000 + k, t) for k, t in enumerate(foreign)], "doc_id long, text string")
+    kept = {r.doc_id for r in cp.language_id(spark, stash(docs.unionByName(more, allowMissingColumns=True), "in"), "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+
+
 def test_secrets_stage_changes_only_what_holds_secrets(spark):
     docs = spark.createDataFrame([(1, "a clean text", 99), (2, "token = 'abcdefghijklmnop' end", 30), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in cp.secrets(spark, docs, SF).collect()}
