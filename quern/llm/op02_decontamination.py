@@ -20,7 +20,8 @@ shingles are fingerprinted and verified once, however many documents hold them.
 Items of fewer than ``size`` words are one shingle of that many words; items
 and documents without words take no part.  Null text counts as empty.  Rows
 with a null id or a repeated id are searched like others and reported under
-that id.  Empty tables give an empty result.
+that id; items with a null id are looked for like others and reported as null.
+Items are verified by their contents.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ def leaked_windows(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
 
 
 def _leaked(texts: DataFrame, parts: DataFrame, size: int, threshold: float, radius: int, block_rows: int) -> DataFrame:
-    wanted = stash(shingled(parts, size).withColumn("fingerprint", F.expr(FINGERPRINT)), "items")
+    keyed = {"i1": F.xxhash64("shingles"), "i2": F.xxhash64(F.reverse("shingles"))}
+    wanted = stash(shingled(parts, size).withColumn("fingerprint", F.expr(FINGERPRINT)).withColumns(keyed), "items")
     places = wanted.select(F.col("n").alias("length"), "shingles", F.posexplode("shingles").alias("q", "s")).select("length", "q", "s", F.when(F.col("q") > 0, F.get("shingles", F.col("q") - 1)).alias("before")).distinct()
     passes = math.ceil(places.count() / block_rows)
     # the outer form, since for the inner one the optimiser adds a filter on the array's
@@ -90,18 +92,21 @@ def _leaked(texts: DataFrame, parts: DataFrame, size: int, threshold: float, rad
     windows = stash(windows.withColumns({"k1": F.xxhash64("shingles"), "k2": F.xxhash64(F.reverse("shingles"))}).dropDuplicates(["doc_id", "text_key", "length", "start"]), "windows")
     contents = windows.dropDuplicates(["length", "k1", "k2"]).select("length", "k1", "k2", "shingles").withColumn("fingerprint", F.expr(FINGERPRINT))
     contents = stash(contents, "contents")
-    of_items = wanted.select(F.col("n").alias("length"), "item_id", F.col("fingerprint").alias("own"), F.explode(blocks("fingerprint", radius)).alias("x")).select("length", "item_id", "own", "x.*")
+    distinct = wanted.dropDuplicates(["n", "i1", "i2"])
+    of_items = distinct.select(F.col("n").alias("length"), "i1", "i2", F.col("fingerprint").alias("own"), F.explode(blocks("fingerprint", radius)).alias("x")).select("length", "i1", "i2", "own", "x.*")
     near = (
         contents.select("length", "k1", "k2", "fingerprint", F.explode(blocks("fingerprint", radius)).alias("x"))
         .select("length", "k1", "k2", "fingerprint", "x.*")
         .join(few(of_items), ["length", "block", "value"])
         .filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("own"))) <= radius)
-        .select("length", "k1", "k2", "item_id")
+        .select("length", "k1", "k2", "i1", "i2")
         .distinct()
     )
-    sides = near.join(contents.select("length", "k1", "k2", F.col("shingles").alias("w")), ["length", "k1", "k2"]).join(wanted.select("item_id", F.col("n").alias("length"), F.col("shingles").alias("i")), ["item_id", "length"])
-    common = sides.select("length", "k1", "k2", "item_id", F.expr(COMMON).alias("c"), (F.size("w") + F.size("i")).alias("both"))
+    sides = near.join(contents.select("length", "k1", "k2", F.col("shingles").alias("w")), ["length", "k1", "k2"]).join(distinct.select("i1", "i2", F.col("n").alias("length"), F.col("shingles").alias("i")), ["length", "i1", "i2"])
+    common = sides.select("length", "k1", "k2", "i1", "i2", F.expr(COMMON).alias("c"), (F.size("w") + F.size("i")).alias("both"))
     alike = common.withColumn("similarity", F.col("c") / (F.col("both") - F.col("c"))).filter(F.col("similarity") >= threshold)
+    named = wanted.select(F.col("n").alias("length"), "i1", "i2", "item_id").distinct()
+    alike = alike.join(named, ["length", "i1", "i2"]).select("length", "k1", "k2", "item_id", "similarity")
     return windows.select("doc_id", "text_key", "length", "start", "k1", "k2").join(alike, ["length", "k1", "k2"]).select("doc_id", "text_key", "item_id", "start", F.col("length").alias("n_words"), "similarity")
 
 

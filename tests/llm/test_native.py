@@ -123,3 +123,10 @@ def test_names(spark):
     df = spark.createDataFrame([("http://u:p@a.b.co.uk:8080/x",), ("https://localhost/",), ("https://x.y.example.com",)], "url string")
     got = df.select(host_of(F.col("url")).alias("h")).select("h", domain_of(F.col("h")), suffix_of(F.col("h"))).collect()
     assert [tuple(r) for r in got] == [("u:p@a.b.co.uk:8080", "b.co.uk", "co.uk"), ("localhost", "localhost", "localhost"), ("x.y.example.com", "example.com", "com")]
+
+
+def test_items_without_id_are_found(spark):
+    docs = spark.createDataFrame([(1, "so a b c d e f g it is"), (2, "nothing of that kind is here"), (3, "p q r s t u v")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d e f g"), (None, "p q r s t u v"), (4, "p q r s t u v")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaked_windows(docs, items).collect()} == {(1, None), (3, None), (3, 4)}
+    assert [r.doc_id for r in decontaminated(docs, items).collect()] == [2]
