@@ -268,12 +268,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that near_duplicates doesn't keep; of rows
-    that repeat an id, one stays.  All columns stay."""
-    found = stash(near_duplicates(docs, size, percent).select("doc_id", "kept"), "kept")
-    gone = stash(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    left = docs.join(few(gone), "doc_id", "left_anti")
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"))
+    """The rows of docs without those that near_duplicates doesn't keep.  Rows that
+    share an id are documents of their own if their texts differ; of equal ones one
+    stays.  All columns stay."""
+    named = docs.filter("doc_id is not null")
+    ids = named.groupBy("doc_id").agg(F.count("*").alias("c"))
     if ids.filter("c > 1").isEmpty():
-        return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+        found = stash(near_duplicates(docs, size, percent).select("doc_id", "kept"), "kept")
+        gone = stash(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+        return docs.join(few(gone), "doc_id", "left_anti")
+    # numbers in the order of the ids stand for (id, text)
+    text = F.xxhash64(F.col("text"), F.length("text"))
+    marked = named.select(F.col("doc_id").alias("quern_id"), F.col("text").alias("quern_text"), text.alias("quern_hash"))
+    numbers = stash(marked.select("quern_id", "quern_hash").distinct().orderBy("quern_id", "quern_hash").withColumn("quern_no", F.monotonically_increasing_id()), "numbers")
+    texts = stash(marked.dropDuplicates(["quern_id", "quern_hash"]).join(numbers, ["quern_id", "quern_hash"]), "texts")
+    kept = near_duplicates(texts, size, percent, "quern_no", "quern_text").filter("kept").select(F.col("doc_id").alias("quern_no"))
+    stays = stash(numbers.join(kept, "quern_no").select(F.col("quern_id").alias("doc_id"), "quern_hash"), "stays")
+    once = named.withColumn("quern_hash", text).dropDuplicates(["doc_id", "quern_hash"])
+    left = once.join(stays, ["doc_id", "quern_hash"], "left_semi").select(docs.columns)
+    return left.unionByName(docs.filter("doc_id is null"))

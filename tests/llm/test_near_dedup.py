@@ -92,6 +92,12 @@ def test_deduplicated_keeps_columns(spark):
     assert deduplicated(empty(spark)).count() == 0
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    a, b, c = ("".join(f"{w}{k} " for k in range(40)) for w in "abc")
+    docs = spark.createDataFrame([(1, a), (5, a + "more"), (5, b), (5, b), (6, c), (7, b), (7, None), (7, ""), (None, a)], "doc_id long, text string")
+    assert sorted(map(str, deduplicated(docs).collect())) == sorted(map(str, spark.createDataFrame([(1, a), (5, b), (6, c), (7, None), (7, ""), (None, a)], docs.schema).collect()))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
     got = {r.vertex: r.component for r in components(links).collect()}
