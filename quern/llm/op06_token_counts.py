@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.op03_packing import tokenizer
-from quern.llm.postings import Head, Sums, document_key, posting_batch, slice_numbers
-from quern.llm.words import BLANKS, counted, raw, row_of, slices
+from quern.llm.postings import Head, document_key, posting_batch, slice_numbers, slice_sums
+from quern.llm.words import BLANKS, SLICE_ROWS, counted, raw, row_of, slices
 from quern.session import stash
 
 #: Distinct chunks that a worker remembers, in each of two generations.
@@ -159,6 +159,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             own = np.bincount(row, pieces[code] * n, part.num_rows).astype(np.int64)
             rest = ~known[code]
             words, slice_col, blob = posting_batch(words, code[rest], row[rest], n[rest], slice_no)
+            words = words.cast(pa.string())
             for k in range(0, len(words), 20_000):
                 w = words[k : k + 20_000]
                 none = pa.nulls(len(w), pa.int64())
@@ -169,26 +170,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             label = pa.array([f" {k}" for k in keys.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([label, pa.array(np.full(len(keys), slice_no)), pa.nulls(len(keys), pa.binary()), pa.array(keys), part.column("doc_id"), pa.array(np.diff(at)), pa.array(own)], names)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["key", "doc_id", "n_bytes", "n_tokens"], Sums(["n_tokens"])
-
-        def out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("key"), none, none, part.column("n_tokens").cast(pa.int64())], names)
-
-        for batch in batches:
-            about = batch.column("key").is_valid()
-            own, rest = batch.filter(about), batch.filter(pc.invert(about))
-            if own.num_rows:
-                yield own.select(names)
-            if rest.num_rows:
-                yield from out(held.add(rest, [rest.column("pieces").to_numpy(zero_copy_only=False)]))
-        yield from out(held.parts())
+    def totals(joined: pa.Table) -> pa.Table:
+        about = joined.column("key").is_valid()
+        own, rest = joined.filter(about), joined.filter(pc.invert(about))
+        (more,) = slice_sums(rest, [rest.column("pieces").to_numpy()])
+        row = own.column("key").to_numpy() % SLICE_ROWS
+        return own.select(["doc_id", "n_bytes"]).append_column("n_tokens", pa.array(own.column("n_tokens").to_numpy() + more[row].astype(np.int64)))
 
     words = stash(texts.select("text").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(with_pieces, "word string, n long, pieces int"), "pieces")
     head = texts.sparkSession.sparkContext.broadcast(Head(words, "pieces"))
     rows = texts.mapInArrow(postings, "word string, slice long, entries binary, key long, doc_id long, n_bytes long, n_tokens long")
     joined = rows.join(words.drop("n"), "word", "left").select("slice", "entries", "pieces", "key", "doc_id", "n_bytes", "n_tokens")
-    per_key = joined.mapInArrow(sums, "key long, doc_id long, n_bytes long, n_tokens long")
-    return per_key.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("key")
+    return joined.groupBy("slice").applyInArrow(totals, "doc_id long, n_bytes long, n_tokens long")

@@ -7,8 +7,9 @@ values, and their sums are made where the documents are read; so no frequent
 word is ever a join key.  All other words are shuffled: each slice of
 documents becomes one row per distinct word (its *posting*: which documents of
 the slice hold it, how often), postings meet the value table in one join on
-the word, and the joined rows collapse to partial sums per document within the
-task.
+the word, and the joined rows go back to their slice, whose documents' sums are
+made at once.  A slice has bounded rows and bytes (only a longer document is a
+slice of its own), so no group is large, and each document leaves as one row.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from quern.llm.words import SLICE_ROWS
 ENTRY = np.dtype([("row", "<u2"), ("n", "<u2")])
 #: Frequent words whose values are broadcast.
 HEAD = 1 << 18
-#: Slices whose sums one task holds before it passes them on.
-HELD_SLICES = 192
 
 
 class Head:
@@ -60,6 +59,47 @@ class Head:
         return found, values
 
 
+class NumberHead:
+    """Values of the most frequent numbers of a table (code, m, value), for
+    lookups by the million: hash tables without chains, each of which takes what
+    found no place in the one before."""
+
+    def __init__(self, numbers: DataFrame, value: str, most: int, bits: int = 20):
+        level = F.floor(16 * F.log2("m")).cast("int")
+        least, total = 1 << 30, 0
+        for r in sorted(numbers.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), reverse=True):
+            total += r.c
+            if total > most:
+                break
+            least = r.level
+        rows = numbers.filter(level >= least).select("code", F.col(value).cast("double").alias("v")).toArrow()
+        code, v = rows.column("code").to_numpy(), rows.column("v").to_numpy()
+        self.shift, self.tables = 64 - bits, []
+        while len(code):
+            slot = self.slot(code, len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+            keys[slot[first]], values[slot[first]] = code[first], v[first]
+            self.tables.append((keys, values))
+            left = np.ones(len(code), bool)
+            left[first] = False
+            code, v = code[left], v[left]
+
+    def slot(self, code: np.ndarray, table: int) -> np.ndarray:
+        return (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * table & 0xFFFFFFFFFFFFFFFF) >> np.uint64(self.shift)).view(np.int64)
+
+    def of(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the numbers are in the head, and their values (else 0)."""
+        found, values = np.zeros(len(code), bool), np.zeros(len(code))
+        at = np.arange(len(code))
+        for k, (keys, table) in enumerate(self.tables):
+            slot = self.slot(code[at], k)
+            hit = keys[slot] == code[at]
+            found[at[hit]], values[at[hit]] = True, table[slot[hit]]
+            at = at[~hit]
+        return found, values
+
+
 def slice_numbers() -> Iterator[int]:
     """Numbers of a task's slices; a task that is run again gives the same."""
     at = TaskContext.get().partitionId() << 27
@@ -96,49 +136,18 @@ def posting_batch(words: pa.Array, codes: np.ndarray, rows: np.ndarray, counts:
     begins = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
     offsets = (np.append(begins, len(code)) * ENTRY.itemsize).astype(np.int32)
     blob = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(entries.view(np.uint8))])
-    return words.take(pa.array(code[begins])).cast(pa.string()), pa.array(np.full(len(begins), slice_no)), blob
+    return words.take(pa.array(code[begins])), pa.array(np.full(len(begins), slice_no)), blob
 
 
-class Sums:
-    """Partial sums per document of joined rows (slice, entries, ...).
+def slice_sums(rest: pa.Table, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums per row of one slice over joined postings (entries, ...).
 
-    Holds a bounded number of slices; parts that it passes on before the end
-    are partial, so a later aggregation by key adds them up.
+    values: each posting's value per occurrence.
     """
-
-    def __init__(self, names: list[str]):
-        self.names = names
-        self.clear()
-
-    def clear(self) -> None:
-        self.base: dict[int, int] = {}
-        self.sums = [np.zeros(0) for _ in self.names]
-        self.seen = np.zeros(0, bool)
-
-    def parts(self) -> Iterator[pa.RecordBatch]:
-        """Columns key and names, of all documents seen since the last call."""
-        at = np.flatnonzero(self.seen)
-        numbers = np.fromiter(self.base, np.int64, len(self.base))
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            keys = numbers[part // SLICE_ROWS] * SLICE_ROWS + part % SLICE_ROWS
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(s[part]) for s in self.sums)], ["key", *self.names])
-        self.clear()
-
-    def add(self, batch: pa.RecordBatch, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """values: for each name, each row's value per occurrence; batch: rows with entries only."""
-        blob = batch.column("entries")
-        at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
-        entries = np.frombuffer(blob.buffers()[2], np.uint8)[at[0] : at[-1]].view(ENTRY)
-        repeat = np.diff(at) // ENTRY.itemsize
-        numbers, inverse = np.unique(batch.column("slice").to_numpy(zero_copy_only=False), return_inverse=True)
-        if self.base and len(self.base) + len(numbers) > HELD_SLICES:
-            yield from self.parts()
-        places = np.array([self.base.setdefault(int(x), len(self.base)) for x in numbers])
-        more = len(self.base) * SLICE_ROWS - len(self.seen)
-        if more:
-            self.sums, self.seen = [np.append(s, np.zeros(more)) for s in self.sums], np.append(self.seen, np.zeros(more, bool))
-        slot = np.repeat(places[inverse], repeat) * SLICE_ROWS + entries["row"]
-        self.seen[slot] = True
-        for s, v in zip(self.sums, values, strict=True):
-            np.add.at(s, slot, np.repeat(v, repeat) * entries["n"])
+    blob = rest.column("entries").combine_chunks()
+    if not len(blob):
+        return [np.zeros(SLICE_ROWS) for _ in values]
+    at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
+    entries = np.frombuffer(blob.buffers()[2], np.uint8)[at[0] : at[-1]].view(ENTRY)
+    repeat = np.diff(at) // ENTRY.itemsize
+    return [np.bincount(entries["row"], np.repeat(v, repeat) * entries["n"], SLICE_ROWS) for v in values]
