@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm.op07_language_id import UND, fit_languages, language_column, predict_languages
-from quern.llm.op10_lm_scoring import END, START, Trie, score_documents, triples
+from quern.llm.op10_lm_scoring import END, START, LowOrders, grams, score_documents
 from quern.llm.queries import op7_language_id, op10_lm_scoring
 from quern.session import table
 
@@ -48,19 +48,26 @@ def low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
+ORDER = 4
+
+
 def ppm(train, text):
     """log10 probability by the recursive definition."""
-    order = [defaultdict(Counter) for _ in range(3)]
+    order = [defaultdict(Counter) for _ in range(ORDER + 1)]
     for t in train:
-        s = [START, START, *low(t).encode(), END]
-        for k in range(2, len(s)):
-            for o in range(3):
+        s = [START] * ORDER + [*low(t).encode(), END]
+        for k in range(ORDER, len(s)):
+            for o in range(ORDER + 1):
                 order[o][tuple(s[k - o : k])][s[k]] += 1
-    s, out = [START, START, *low(text).encode(), END], 0.0
+    return [coded_length(order, x) for x in text] if isinstance(text, list) else coded_length(order, text)
+
+
+def coded_length(order, text):
+    s, out = [START] * ORDER + [*low(text).encode(), END], 0.0
     possible = set(range(256)) - {START}
-    for k in range(2, len(s)):
+    for k in range(ORDER, len(s)):
         excluded, p = set(), 1.0
-        for o in (2, 1, 0):
+        for o in range(ORDER, -1, -1):
             counts = {x: n for x, n in order[o][tuple(s[k - o : k])].items() if x not in excluded}
             if not counts:
                 continue
@@ -76,21 +83,32 @@ def ppm(train, text):
     return out
 
 
-def test_trie_against_the_recursive_definition():
-    train, tests = ["Abracadabra", "abrakad é", "", "aa"], ["abracadabra", "zzz é", "", "bradé ka"]
-    codes, _ = triples(pa.array(train))
-    code, n = np.unique(codes, return_counts=True)
-    trie = Trie.of(code.astype(np.int64), n)
-    assert trie.scores(pa.array(tests)) == pytest.approx([ppm(train, t) for t in tests], abs=1e-9)
+def by_last_three(codes, n):
+    at = np.lexsort((codes, codes >> 8 & 0xFFFFFF))
+    return codes[at], n[at]
+
+
+def test_code_lengths_against_the_recursive_definition(spark):
+    train = ["Abracadabra", "abrakad é", "", "aa", "the cat sat on the mat and the hat"]
+    tests = ["abracadabra", "zzz é", "", "bradé ka", "the rat sat on thé mat", "x" * 9]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(train + tests)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_documents(docs, F.col("doc_id") < len(train)).collect()}
+    assert [got[k] for k in sorted(got)] == pytest.approx(ppm(train, train + tests), abs=1e-9)
 
 
 def test_a_context_sums_to_one():
-    codes, _ = triples(pa.array(["the cat sat on the mat", "on the hat"]))
+    codes, _ = grams(pa.array(["the cat sat on the mat", "on the hat", "a hot rat"]))
     code, n = np.unique(codes, return_counts=True)
-    trie = Trie.of(code.astype(np.int64), n)
-    p = 10**trie.table
-    p[:, START] = 0
-    assert np.allclose(p.sum(axis=1), 1)
+    low_code, of = np.unique(code & 0xFFFFFF, return_inverse=True)
+    low_part = LowOrders.of(low_code, np.bincount(of, n))
+    for context in (b" the", b"xthe", b"xxhe", b"xxxe", b"xxxx"):
+        four = int.from_bytes(context, "big") << 8
+        every = np.array([four | s for s in range(256) if s != START])
+        seen = dict(zip(code.tolist(), n.tolist(), strict=True))
+        others = code[(code >> 8 & 0xFFFFFF == four >> 8 & 0xFFFFFF) & (code >> 8 != four >> 8)]
+        c, m = by_last_three(np.append(every, others), np.array([seen.get(x, 0) for x in np.append(every, others).tolist()]))
+        p = 10 ** low_part.code_lengths(c, m)
+        assert p[c >> 8 == four >> 8].sum() == pytest.approx(1)
 
 
 def brute_base(docs):
@@ -111,11 +129,10 @@ def test_scoring_query_against_brute_force(spark):
     for r in rows:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.held_out == (r.doc_id not in train)
         assert r.base_score == pytest.approx(want[r.doc_id][3], rel=1e-9)
-    some = sorted(docs, key=lambda d: len(docs[d] or ""))[:3]
     got = {r.doc_id: r.score for r in rows}
-    texts = [docs[k] for k in train]
-    for d in some:
-        assert got[d] == pytest.approx(ppm(texts, docs[d]), rel=1e-9)
+    some = sorted(docs, key=lambda d: len(docs[d] or ""))[::4]
+    want = ppm([docs[k] for k in train], [docs[d] for d in some])
+    assert any(d not in train for d in some) and [got[d] for d in some] == pytest.approx(want, rel=1e-9)
 
 
 def test_scoring_awkward_rows(spark):
