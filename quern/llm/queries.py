@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.op02_decontamination import ORACLE_SQL as LEAKS_SQL
 from quern.llm.op04_url_reputation import ORACLE_SQL as URL_SQL
 from quern.session import table
 
@@ -125,4 +126,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {"op4_url_reputation": URL_SQL}
+ORACLE: dict[str, str] = {"op2_decontamination": LEAKS_SQL, "op4_url_reputation": URL_SQL}
