@@ -9,9 +9,10 @@ bands; representatives that agree on a band share a bucket.
 
 Buckets are never expanded into all pairs.  Each names a centre, its members
 are compared with it, and confirmed links are merged to components.  Only
-buckets that still hold several components go on: two more rounds with other
-centres, and then an exact join of all their members.  For that, shingles are
-ordered from rare to common; two similar sets have to share a shingle within
+buckets that still hold several components go on: two more rounds compare the
+members outside a bucket's largest component with other centres of it, and
+then all documents of the components that still meet in a bucket are joined
+exactly.  For that, shingles are ordered from rare to common; two similar sets have to share a shingle within
 their first parts (a fifth of each at 0.8), early enough for the rest to reach
 the threshold.  So a passage that many unlike documents share yields no pairs.
 A pair within one component needs no check, as it can't change the result.
@@ -200,7 +201,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+    out = edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+    out._quern_path = edges._quern_path
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,37 +237,51 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if repeated:  # an id with several texts joins their classes
         own = linked.join(reps, ["f1", "f2"]).select("doc_id", "rep")
         spread = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
-    links, done, label, open_members = spread, None, None, members.select("key", "rep", "n", F.col("rep").alias("component"))
+    links, label, named, written = spread, None, members, []
     for k in range(STAR_ROUNDS + 1):
+        if k == 0:
+            # the first centre of a bucket is its smallest member
+            centres = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
+            apart = F.col("rep") != F.col("a")
+        else:
+            # of a bucket that holds several components only the members outside its
+            # largest one go on; a member of that, another one each round, is the centre
+            shares = named.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "n")).alias("centre"))
+            mixed = shares.groupBy("key").agg(F.max(F.struct("c", "component", "centre")).alias("x"), F.count("*").alias("parts")).filter("parts > 1")
+            centres = mixed.select("key", F.col("x.centre.rep").alias("a"), F.col("x.centre.n").alias("na"), F.col("x.component").alias("ca"))
+            apart = F.col("component") != F.col("ca")
         if k < STAR_ROUNDS:
-            # the first centre is the smallest member; later ones differ by bucket and round
-            order = F.struct((F.col("rep") if k == 0 else F.xxhash64("rep", "key", F.lit(k))).alias("o"), "rep", "n", "component")
-            centres = open_members.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
-            pairs = open_members.join(centres, "key").filter((F.col("component") != F.col("ca")) & size_fits("n", "na"))
+            pairs = named.join(centres, "key").filter(apart & size_fits("n", "na"))
             pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         else:
-            pairs = crossing_pairs(open_members.select("rep", "component").distinct().join(sets, "rep"), percent)
-        pairs = stash(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = pairs if done is None else done.union(pairs)
+            # exactly: all documents of the components that still meet in a bucket
+            met = shares.join(mixed.select("key"), "key", "left_semi").select("component").distinct()
+            held = wanted.join(label, F.col("doc_id") == F.col("vertex"), "left").select(F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component"))
+            pairs = crossing_pairs(held.join(met, "component", "left_semi").join(sets, "rep"), percent)
+        for old in written[::2]:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = stash(pairs, "pairs")
         found = check(pairs, "links")
+        written += [pairs, found]
         links = found if links is None else links.union(found)
-        if k and found.isEmpty() and k < STAR_ROUNDS:
+        if k and k < STAR_ROUNDS and found.isEmpty():
             continue
+        unstash(label)
         label = components(links, "labels")
-        if k == STAR_ROUNDS:
-            break
-        named = members.join(label, F.col("rep") == F.col("vertex"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        open_members = stash(named.join(mixed, "key", "left_semi"), "open")
+        if k < STAR_ROUNDS:
+            named = members.join(label, F.col("rep") == F.col("vertex"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
 
     # written first, so that both sides of the last join are plain shuffles and a class of
     # very many copies can be divided
     labels = stash(reps.join(label, F.col("rep") == F.col("vertex"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component")), "classes")
-    return (
+    unstash(members, wanted, sets, label, *written)
+    out = (
         rows.join(labels, (rows.f1 == labels.f1) & (rows.f2 == labels.f2) & (rows.n > 0) & rows.doc_id.isNotNull(), "left")
         .select(rows.doc_id, rows.n.alias("n_shingles"), F.coalesce("component", rows.doc_id).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+    out.quern_reads = (rows, labels)
+    return out
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -274,16 +291,19 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     named = docs.filter("doc_id is not null")
     ids = named.groupBy("doc_id").agg(F.count("*").alias("c"))
     if ids.filter("c > 1").isEmpty():
-        found = stash(near_duplicates(docs, size, percent).select("doc_id", "kept"), "kept")
+        found = near_duplicates(docs, size, percent)
         gone = stash(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+        unstash(*found.quern_reads)
         return docs.join(few(gone), "doc_id", "left_anti")
     # numbers in the order of the ids stand for (id, text)
     text = F.xxhash64(F.col("text"), F.length("text"))
     marked = named.select(F.col("doc_id").alias("quern_id"), F.col("text").alias("quern_text"), text.alias("quern_hash"))
     numbers = stash(marked.select("quern_id", "quern_hash").distinct().orderBy("quern_id", "quern_hash").withColumn("quern_no", F.monotonically_increasing_id()), "numbers")
     texts = stash(marked.dropDuplicates(["quern_id", "quern_hash"]).join(numbers, ["quern_id", "quern_hash"]), "texts")
-    kept = near_duplicates(texts, size, percent, "quern_no", "quern_text").filter("kept").select(F.col("doc_id").alias("quern_no"))
+    found = near_duplicates(texts, size, percent, "quern_no", "quern_text")
+    kept = found.filter("kept").select(F.col("doc_id").alias("quern_no"))
     stays = stash(numbers.join(kept, "quern_no").select(F.col("quern_id").alias("doc_id"), "quern_hash"), "stays")
+    unstash(numbers, texts, *found.quern_reads)
     once = named.withColumn("quern_hash", text).dropDuplicates(["doc_id", "quern_hash"])
     left = once.join(stays, ["doc_id", "quern_hash"], "left_semi").select(docs.columns)
     return left.unionByName(docs.filter("doc_id is null"))
