@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.expressions import ACCEPTS, NO_CONSTRAINT, operator_similarity
+from quern.functions.expressions import ACCEPTS, MIRROR, NEGATED, NO_CONSTRAINT, operator_similarity
 
 # Patterns of answers and of Java expressions.
 MARKER = r"(?is)^.*final\s+expression\s*(?:is)?\s*:"
@@ -19,6 +19,9 @@ DANGLING = r"\s*(?:&&|\|\||[=!]=?|\s[<>]=?)\s*$"
 ASSERTING = r"(?i:^assert)|\b(requireNonNull|checkNotNull|checkArgument|checkPositionIndex|checkPositionIndexes|checkElementIndex|notNull|hasText|notEmpty|isTrue|isFalse|hasLength|notBlank|matchesPattern|orElseThrow|checkState)$"
 NAME = r"[\w.]+(?:\s*\(\s*\))?(?:\s*\.\w+(?:\s*\(\s*\))?)*"
 CHAIN = r"[\w.]+(?:\s*\.\w+(?:\s*\(\s*\))?)*"
+BEFORE = r"""(?:[^"'\\<>=!]|\\.|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|<<|>>>?|=(?!=)|!(?!=))*+"""
+COMPARED = rf"(?s)^({BEFORE})(==|!=|<=|>=|<|>)(.*)$"
+FILLED = [(">", "0"), ("!=", "0"), (">=", "1")]
 EFFECTS = [(0.147, "Negligible"), (0.33, "Small"), (0.474, "Medium")]
 
 
@@ -125,3 +128,35 @@ def number_form(text: Column) -> Column:
     t = F.regexp_replace(F.trim(text), r"(?i)([0-9.]+)[fdl]$", "$1")
     short = F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")
     return F.when(t.contains("."), F.when(short == "", "0").otherwise(short)).otherwise(t)
+
+
+def comparison(atom: Column) -> Column:
+    """struct<l, o, r> at the first comparison outside quotes; o is empty if there is none."""
+    part = lambda k: F.regexp_extract(atom, COMPARED, k)
+    return F.struct(number_form(part(1)).alias("l"), part(2).alias("o"), number_form(part(3)).alias("r"))
+
+
+def readings(c: Column) -> Column:
+    """A comparison, its mirror image, and what is equivalent to either."""
+    of = lambda names, o: F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), o)
+    triple = lambda l, o, r: F.struct(l.alias("l"), o.alias("o"), r.alias("r"))  # noqa: E741,E731
+    none = F.array().cast("array<struct<l:string,o:string,r:string>>")
+
+    def all_of(x: Column) -> Column:
+        truth = x.r.isin("true", "false") & x.o.isin("==", "!=")
+        opposite = triple(x.l, of(NEGATED, x.o), F.when(x.r == "true", "false").otherwise("true"))
+        filled = x.l.endswith(".LEN") & F.concat_ws(" ", x.o, x.r).isin(*map(" ".join, FILLED))
+        return F.concat(F.array(x), F.when(truth, F.array(opposite)).otherwise(none), F.when(filled, F.array(*(triple(x.l, F.lit(o), F.lit(r)) for o, r in FILLED))).otherwise(none))
+
+    return F.flatten(F.transform(F.array(triple(c.l, c.o, c.r), triple(c.r, of(MIRROR, c.o), c.l)), all_of))
+
+
+def agreement_of_atoms(a: str, b: str, x: str, y: str, rx: str, ry: str) -> tuple[Column, Column]:
+    """Strict and relaxed agreement from columns: the atoms' texts, comparisons and readings."""
+    x, y = F.col(x), F.col(y)
+    mirrored = (x.l == y.r) & (x.r == y.l) & F.array_contains(F.transform(rx, lambda p: p.o), y.o) & F.exists(rx, lambda p: (p.l == y.l) & (p.o == y.o) & (p.r == y.r))
+    best = F.array_max(F.flatten(F.transform(rx, lambda p: F.transform(ry, lambda q: (text_similarity(p.l, q.l) + operator_overlap(p.o, q.o) + text_similarity(p.r, q.r)) / 3))))
+    plain = text_similarity(F.col(a), F.col(b))
+    relaxed = F.when((x.o == "") | (y.o == ""), plain).when(x.eqNullSafe(y) | mirrored, 1.0).otherwise(F.round(best, 4))
+    same = F.replace(F.col(a), F.lit(" "), F.lit("")) == F.replace(F.col(b), F.lit(" "), F.lit(""))
+    return (same | (relaxed >= 0.9999)).cast("double"), relaxed

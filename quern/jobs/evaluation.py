@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.metrics import summarised
@@ -10,6 +10,7 @@ from quern.operators.prompts import label
 from quern.operators.scoring import evaluated
 from quern.operators.significance import chi2_tail, cliffs_delta, corrected, friedman, normal_tail, pair_grid, paired, wilcoxon
 from quern.functions.columns import effect_label
+from quern.session import stash
 
 
 def metrics(gold: DataFrame, answers: DataFrame) -> DataFrame:
@@ -23,13 +24,49 @@ def summary(gold: DataFrame, answers: DataFrame) -> DataFrame:
 
 def significance(scores: DataFrame, family: list[str], method: str = "holm") -> DataFrame:
     """scores (*family, config, id, value) -> a row per pair of configurations:
-    means, Friedman's test over all, Wilcoxon's test, Cliff's delta, corrected p."""
-    pairs = pair_grid(scores.select(*family, "config").distinct().withColumn("family", F.concat_ws("|", *family)), "family").join(scores.select(*family).distinct().withColumn("family", F.concat_ws("|", *family)), "family").drop("family")
-    rows = paired(scores, pairs, *family)
+    means, Friedman's test over all, Wilcoxon's test, Cliff's delta, corrected p.
+
+    A family of two configurations has no test over all and nothing to correct;
+    its effect is named by the delta as it is, in larger families by the delta to
+    4 digits."""
+    scores = stash(scores, "scores")
+    of_family = F.concat_ws("|", *family)
+    pairs = pair_grid(scores.select(*family, "config").distinct().withColumn("family", of_family), "family").join(scores.select(*family).distinct().withColumn("family", of_family), "family").drop("family")
+    rows = stash(paired(scores, pairs, *family), "paired")
     keys = [*family, "a", "b"]
     tests = wilcoxon(rows, *keys).withColumn("p_raw", normal_tail("z"))
     means = rows.groupBy(*keys).agg(F.round(F.avg("x"), 4).alias("mean_a"), F.round(F.avg("y"), 4).alias("mean_b"))
-    whole = friedman(scores, *family).withColumn("p_global", chi2_tail("chi2", "df")).select(*family, "groups", "chi2", "p_global")
+    many = F.col("groups") > 2
+    whole = friedman(scores, *family).withColumn("p_global", chi2_tail("chi2", "df")).select(*family, "groups", *(F.when(many, F.col(c)).alias(c) for c in ("chi2", "p_global")))
     out = tests.join(means, keys).join(cliffs_delta(rows, *keys), keys).join(whole, family, "left")
-    out = corrected(out, "p_raw", *family, method=method)
-    return out.withColumns({"significant": F.col("p_corr") < 0.05, "effect": effect_label(F.col("delta"))})
+    out = corrected(out, "p_raw", *family, method=method).withColumn("p_corr", F.when(many, F.col("p_corr")).otherwise(F.col("p_raw")))
+    return out.withColumns({"significant": F.col("p_corr") < 0.05, "effect": effect_label(F.when(many, F.round("delta", 4)).otherwise(F.col("delta")))})
+
+
+EXPORTED = ["analysis", "n", "groups", "correction", "metric", "comparison", "mean_a", "mean_b", "p_raw", "p_corr", "significant", "delta", "effect", "chi2"]
+
+
+def sectioned(tests: DataFrame, analysis: str, method: str = "holm") -> DataFrame:
+    """significance() by analysis and metric as rows of a report: section, row_no and
+    text columns.  Each analysis has a header; each metric of it a row with the test
+    over all (blank for two configurations), its pairs and an empty row."""
+    text = lambda c: F.col(c).cast("string")
+    blank = {c: F.lit("") for c in EXPORTED}
+
+    def rows(df: DataFrame, place: Column, filled: dict[str, Column]) -> DataFrame:
+        return df.select(F.col(analysis).alias("section"), place.alias("place"), *(F.coalesce((blank | filled)[c], F.lit("")).alias(c) for c in EXPORTED))
+
+    each = tests.groupBy(analysis).agg(F.max("n").alias("n"), F.max("groups").alias("groups"))
+    by_metric = tests.groupBy(analysis, "metric").agg(F.max("chi2").alias("chi2"), F.max("p_global").alias("p_raw"))
+    place = lambda kind, *more: F.concat_ws("|", F.col("metric"), F.lit(kind), *more)
+    parts = [
+        rows(each, F.lit(""), {"analysis": text(analysis), "n": text("n"), "groups": text("groups"), "correction": F.lit(method.upper())}),
+        rows(by_metric, place("1"), {"metric": text("metric"), "comparison": F.lit("Global"), "p_raw": text("p_raw"), "chi2": F.round("chi2", 4).cast("string")}),
+        rows(tests, place("2", F.col("a"), F.col("b")), {"metric": text("metric"), "comparison": F.concat_ws(" vs ", "a", "b"), "mean_a": text("mean_a"), "mean_b": text("mean_b"), "p_raw": text("p_raw"), "p_corr": text("p_corr"), "significant": text("significant"), "delta": F.round("delta", 4).cast("string"), "effect": text("effect")}),
+        rows(by_metric, place("3"), {}),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    order = Window.partitionBy("section").orderBy("place")
+    return whole.withColumn("row_no", F.row_number().over(order)).drop("place")

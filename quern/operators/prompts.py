@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULE = "-" * 40
+# Strategies and their variants (strategy, variant, number of
+# examples, whether every model runs it or only the benchmark model).
+EXAMPLES = [1, 2, 4, 8, 16, 32, 64, 128]
+VARIANTS = [
+    ("vanilla", None, None, True),
+    *[("fewshot", v, k, (v, k) == ("sr", 16)) for v in ("rand", "sr") for k in EXAMPLES],
+    *[("cot", v, None, v == "exim") for v in ("unst", "woex", "expl", "exim")],
+    *[("slice", v, None, v == "slextra") for v in ("slextra", "slonly")],
+    ("mix", None, None, True),
+]
 
 
 def target(code: Column) -> Column:
@@ -54,3 +64,38 @@ def prompts(items: DataFrame, task: str, examples: DataFrame | None = None, slic
 def label(strategy: Column, variant: Column, k: Column) -> Column:
     """Name of a configuration, as reports show it."""
     return F.when(k.isNotNull(), F.concat(variant, F.lit(" k="), k.cast("string"))).when(variant.isNotNull(), F.concat(strategy, F.lit("-"), variant)).otherwise(strategy)
+
+
+def variants(spark: SparkSession) -> DataFrame:
+    """strategy, variant, k, by_default: all configurations."""
+    return spark.createDataFrame(VARIANTS, "strategy string, variant string, k int, by_default boolean")
+
+
+def config_grid(models: DataFrame, configs: DataFrame) -> DataFrame:
+    """(model, is_benchmark), (strategy, variant, k, by_default) -> model, strategy,
+    variant, k, label, path: the benchmark model runs all, the others the default ones."""
+    path = F.concat_ws("/", "strategy", "variant", F.concat("model", F.coalesce(F.concat(F.lit("_k"), F.col("k").cast("string")), F.lit("")), F.lit(".json")))
+    met = models.join(F.broadcast(configs), F.col("is_benchmark") | F.col("by_default"))
+    return met.select("model", "strategy", "variant", "k", label(F.col("strategy"), F.col("variant"), F.col("k")).alias("label"), path.alias("path"))
+
+
+def routed(models: DataFrame, registry: DataFrame) -> DataFrame:
+    """(model) with the backend, rate, ... that registry (model, ...) has for it."""
+    return models.join(F.broadcast(registry), "model")
+
+
+def unknown_models(models: DataFrame, registry: DataFrame) -> DataFrame:
+    """Models that no backend is registered for."""
+    return models.select("model").distinct().join(F.broadcast(registry), "model", "left_anti")
+
+
+def prompts_by_variant(items: DataFrame, tasks: DataFrame) -> DataFrame:
+    """items (id, code_formatted), tasks (variant, task): the few instructions of a
+    strategy -> id, variant, prompt."""
+    met = items.select("id", "code_formatted").join(F.broadcast(tasks))
+    return met.select("id", "variant", F.concat("task", target(F.col("code_formatted"))).alias("prompt"))
+
+
+def mixed_prompts(items: DataFrame, task: str, found: DataFrame, slices: DataFrame, k: int = 16) -> DataFrame:
+    """Examples with slices and reasoning, then the item with its slice -> id, prompt."""
+    return prompts(items, task, example_sections(found, items, k, slices, reasoned=True), slices)

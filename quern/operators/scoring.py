@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import expressions as X
-from quern.functions.columns import EXPRESSION_MARK, QUOTED, REJECTING, REJECTING_UNQUOTED, candidates, canonical, format_error, safe_f1
+from quern.functions.columns import EXPRESSION_MARK, QUOTED, REJECTING, REJECTING_UNQUOTED, agreement_of_atoms, candidates, canonical, comparison, format_error, readings, safe_f1
+from quern.session import stash
 
 # What continues an expression over a line's end.
 GOES_ON = re.compile(r"(?:&&|\|\||[=!<>]=?|[,(\[])\s*$")
@@ -92,20 +94,54 @@ def extracted(answer: Column) -> Column:
     return _first(F.when(none, F.array(F.lit("none"))).otherwise(candidates(text)))
 
 
-@F.pandas_udf(T.StructType([*(T.StructField(s, T.DoubleType()) for s in SCORES), T.StructField("gold_parts", T.IntegerType()), T.StructField("answer_parts", T.IntegerType())]))
-def _compared(gold: pd.Series, answer: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(T.StructType([T.StructField("tree", T.StringType()), T.StructField("atoms", T.ArrayType(T.StringType())), T.StructField("parts", T.IntegerType())]))
+def _read(texts: pd.Series) -> pd.DataFrame:
+    """Trees over the numbers of their distinct atoms."""
     rows = []
-    for g, a in zip(gold, answer, strict=True):
-        x, y = X.tree(g), X.tree(a)
-        rows.append([*(X.agreement(x, y, by_gold, atoms) for atoms in (X.strict, X.relaxed) for by_gold in (False, True)), len(X.members_of(x, 1)), len(X.members_of(y, 1))])
-    return pd.DataFrame(rows, columns=[*SCORES, "gold_parts", "answer_parts"])
+    for text in texts:
+        tree = X.tree(text)
+        atoms = list(X.leaves(tree))
+        rows.append([json.dumps(X.numbered(tree, {a: k for k, a in enumerate(atoms)})), atoms, len(X.members_of(tree, 1))])
+    return pd.DataFrame(rows, columns=["tree", "atoms", "parts"])
+
+
+@F.pandas_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in SCORES]))
+def _assigned(gold: pd.Series, answer: pd.Series, cells: pd.Series) -> pd.DataFrame:
+    """Optimal assignment of members, layer by layer, over the atoms' agreement."""
+    rows = []
+    for g, a, found in zip(gold, answer, cells, strict=True):
+        x, y = json.loads(g), json.loads(a)
+        kinds = [{(c["i"], c["j"]): c[kind] for c in found} for kind in ("strict", "relaxed")]
+        rows.append([X.agreement(x, y, by_gold, atoms) for atoms in kinds for by_gold in (False, True)])
+    return pd.DataFrame(rows, columns=SCORES)
+
+
+def atom_agreement(pairs: DataFrame) -> DataFrame:
+    """(a, b) atoms in canonical form -> a, b, strict, relaxed.  Each distinct atom
+    is taken apart once, each distinct pair compared once, all by Spark itself."""
+    pairs = pairs.select("a", "b").distinct()
+    atoms = pairs.select(F.col("a").alias("atom")).union(pairs.select("b")).distinct().withColumn("c", comparison(F.col("atom"))).withColumn("forms", readings(F.col("c")))
+    first, second = (atoms.select(F.col("atom").alias(n), F.col("c").alias(f"c{n}"), F.col("forms").alias(f"r{n}")) for n in ("a", "b"))
+    strict, relaxed = agreement_of_atoms("a", "b", "ca", "cb", "ra", "rb")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", strict.alias("strict"), relaxed.alias("relaxed"))
 
 
 def compared(pairs: DataFrame, digits: int = 5) -> DataFrame:
-    """(gold, answer) -> scores and sizes.  Each distinct pair is compared once."""
-    said = pairs.select("gold", "answer").distinct()
-    s = _compared(canonical(F.coalesce("gold", F.lit(""))), canonical(F.coalesce("answer", F.lit(""))))
-    return said.withColumn("s", s).select("gold", "answer", *(F.round(F.col(f"s.{c}"), digits).alias(c) for c in SCORES), "s.gold_parts", "s.answer_parts")
+    """(gold, answer) -> scores and sizes.  Each distinct text is read once, each
+    distinct pair of atoms compared once, each distinct pair of texts matched once."""
+    said = pairs.select("gold", "answer").distinct().withColumns({"x": canonical(F.coalesce("gold", F.lit(""))), "y": canonical(F.coalesce("answer", F.lit("")))})
+    texts = said.select(F.col("x").alias("text")).union(said.select("y")).distinct().withColumn("t", _read("text"))
+    texts = stash(texts.select("text", "t.tree", "t.atoms", "t.parts"), "texts")
+    of = lambda c, n: texts.select(F.col("text").alias(c), F.col("tree").alias(f"{n}_tree"), F.col("atoms").alias(f"{n}_atoms"), F.col("parts").alias(f"{n}_parts"))
+    both = stash(said.join(of("x", "gold"), "x").join(of("y", "answer"), "y").drop("x", "y"), "pairs")
+    cells = both.select("gold", "answer", F.posexplode("gold_atoms").alias("i", "a"), "answer_atoms").select("gold", "answer", "i", "a", F.posexplode("answer_atoms").alias("j", "b"))
+    agreed = atom_agreement(cells)
+    found = cells.join(agreed, ["a", "b"]).groupBy("gold", "answer").agg(F.collect_list(F.struct("i", "j", "strict", "relaxed")).alias("cells"))
+    none = F.array().cast("array<struct<i:int,j:int,strict:double,relaxed:double>>")
+    # one side of every join is keyed by null-safe texts, as a missing gold is a gold of its own
+    out = both.alias("p").join(found.alias("f"), F.col("p.gold").eqNullSafe(F.col("f.gold")) & F.col("p.answer").eqNullSafe(F.col("f.answer")), "left")
+    out = out.select("p.*", F.coalesce("f.cells", none).alias("cells")).withColumn("s", _assigned("gold_tree", "answer_tree", "cells"))
+    return out.select("gold", "answer", *(F.round(F.col(f"s.{c}"), digits).alias(c) for c in SCORES), "gold_parts", "answer_parts")
 
 
 def evaluated(gold: DataFrame, answers: DataFrame, digits: int = 5) -> DataFrame:
@@ -113,15 +149,15 @@ def evaluated(gold: DataFrame, answers: DataFrame, digits: int = 5) -> DataFrame
     answer with its expression and scores.  Failed parses score 0 and stay.
     Answers are extracted once per distinct text, pairs compared once each."""
     joined = answers.join(gold.select("id", F.coalesce("doc_constraint", F.lit("")).alias("doc_constraint")), "id")
-    texts = joined.select(F.coalesce("text", F.lit("")).alias("said")).distinct().withColumn("x", extracted(F.col("said"))).select("said", "x.parse_failed", F.col("x.expression").alias("code_constraint"))
-    rows = joined.join(texts, F.coalesce("text", F.lit("")) == F.col("said")).drop("said")
-    scores = compared(rows.filter("parse_failed = 0").select(F.col("doc_constraint").alias("gold"), F.col("code_constraint").alias("answer")), digits)
-    out = rows.join(scores, (rows.doc_constraint == scores.gold) & (rows.code_constraint == scores.answer) & (rows.parse_failed == 0), "left").drop("gold", "answer")
-    sizes = compared(rows.select(F.col("doc_constraint").alias("gold"), F.lit("").alias("answer"))).select("gold", F.col("gold_parts").alias("doc_constraint_subs"))
-    out = out.join(sizes, out.doc_constraint == sizes.gold).drop("gold", "gold_parts")
-    zero = {c: F.coalesce(c, F.lit(0.0)) for c in SCORES}
-    out = out.withColumns(zero).withColumn("code_constraint_subs", F.coalesce("answer_parts", F.lit(0))).drop("answer_parts")
+    texts = answers.select(F.coalesce("text", F.lit("")).alias("said")).distinct().withColumn("x", extracted(F.col("said"))).select("said", "x.parse_failed", F.col("x.expression").alias("code_constraint"))
+    rows = stash(joined.join(texts, F.coalesce("text", F.lit("")) == F.col("said")).drop("said"), "answers")
+    read = F.col("parse_failed") == 0
+    usable = F.when(read, F.col("code_constraint")).otherwise("")
+    scores = stash(compared(rows.select(F.col("doc_constraint").alias("gold"), usable.alias("answer")), digits), "scores")
+    out = rows.join(scores, (F.col("doc_constraint") == F.col("gold")) & (usable == F.col("answer"))).drop("gold", "answer")
+    out = out.withColumns({c: F.when(read, F.col(c)).otherwise(0.0) for c in SCORES} | {"answer_parts": F.when(read, F.col("answer_parts")).otherwise(0)})
+    out = out.withColumnsRenamed({"gold_parts": "doc_constraint_subs", "answer_parts": "code_constraint_subs"})
     return out.withColumns({f"{m}_f1": safe_f1(F.col(f"{m}_precision"), F.col(f"{m}_recall"), digits) for m in ("strict", "relaxed")})
 
 
-__all__ = ["compared", "evaluated", "extracted", "format_error"]
+__all__ = ["atom_agreement", "compared", "evaluated", "extracted", "format_error"]

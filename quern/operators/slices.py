@@ -1,66 +1,142 @@
-"""Slices of methods at the granularity of lines, as DataFrame operations.
+"""Slices of methods at the granularity of lines.
 
-A method's text becomes a row per line; parameter names, names derived from
-them and the lines that may put a constraint on them are found with native
-expressions, and the lines kept are put together again with one placeholder
-for each run of lines left out.
+A method is one row and stays one: its lines become an array, and names, risks,
+the lines kept and the slice are native array expressions over it.  So slices
+for several depths of assignments take one pass and no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.columns import ASSERTING, without_comments, without_empty_lines
 
 PLACEHOLDER = "// ..."
+DEDUP = ("strict", "relaxed", "none")
+TEXTS = r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\''
+#: An annotation with up to two levels of parentheses.
+ANNOTATION = r"@(?!interface\b)[\w.]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?"
+TOKEN = r"\w+|[^\w\s]"
+
+
+#: What makes a name's use a risk.
+AROUND = {
+    "bounds": lambda n: F.concat(F.lit(r"\[[^\]]*\b"), n, F.lit(r"\b")),
+    "math": lambda n: F.concat(F.lit(r"[/%]\s*\b"), n, F.lit(r"\b")),
+    "npe": lambda n: F.concat(F.lit(r"\b"), n, F.lit(r"\s*(\.\w|\[)")),
+}
+
 
+def unquoted(code: Column) -> Column:
+    """Code without literals and annotations; line ends stay."""
+    return F.regexp_replace(F.regexp_replace(code, TEXTS, '""'), ANNOTATION, "")
 
-def parameters(methods: DataFrame) -> DataFrame:
-    """id, code -> id, names: the parameters of the first signature."""
-    listed = F.split(F.regexp_extract("code", r"\(([^)]*)\)", 1), ",")
-    names = F.filter(F.transform(listed, lambda p: F.regexp_extract(p, r"(\w+)(?:\s*\[\s*\])*\s*$", 1)), lambda n: n != "")
-    return methods.select("id", names.alias("names"))
 
+def parameters(code: Column) -> Column:
+    """Names of the parameters of the first signature, in order: annotations, type
+    arguments (up to four levels), arrays, varargs and modifiers are passed over."""
+    plain = unquoted(without_comments(code))
+    for _ in range(4):
+        plain = F.regexp_replace(plain, r"<[\w\s,.?&\[\]]*>", "")
+    listed = F.regexp_extract(plain, r"\w\s*\(([^()]*)\)\s*(?:throws\s[\w\s,.]+)?[{;]", 1)
+    return F.filter(F.transform(F.split(listed, ","), lambda p: F.regexp_extract(p, r"(\w+)(?:\s*\[\s*\])*\s*$", 1)), lambda n: n != "")
 
-def sliced(methods: DataFrame, hops: int = 1) -> DataFrame:
-    """id, code -> id, hop, slice, is_effective, is_fallback, stmt_retention.
 
-    hops: through how many assignments names are followed.  A method without a
-    constraining line falls back to the first line that uses a parameter.
+def any_of(names: Column) -> Column:
+    return F.concat(F.lit("(?:"), F.array_join(names, "|"), F.lit(")"))
+
+
+def sliced(methods: DataFrame, hops: int | Sequence[int] = 1, dedup: str = "strict") -> DataFrame:
+    """id, code -> a row per method and depth: id, hop, slice, is_effective,
+    is_fallback, stmt_retention, token_retention, error.
+
+    hops: through how many assignments names are followed, one or several depths.
+    dedup: strict (a line is kept if it brings a new pair of name and risk; throws
+    and assertions always), relaxed (the first of equal lines) or none.  A method
+    without a constraining line falls back to the first use of each parameter.
+    Null code gives a row without slice and with an error; repeated rows are
+    sliced row by row.
     """
-    code = without_empty_lines(without_comments(F.col("code")))
-    lines = methods.select("id", F.posexplode(F.split(code, "\n")).alias("line", "text")).withColumn("words", F.regexp_extract_all(F.regexp_replace("text", r'"(?:\\.|[^"\\])*"', ""), F.lit(r"\b([A-Za-z_]\w*)\b"), 1))
-    known = parameters(methods)
-    assigned = F.regexp_extract("text", r"(\w+)\s*=(?!=)", 1)
-    for _ in range(hops):
-        new = lines.join(known, "id").filter((assigned != "") & F.arrays_overlap(F.array_except("words", F.array(assigned)), "names")).groupBy("id").agg(F.collect_set(assigned).alias("more"))
-        known = known.join(new, "id", "left").select("id", F.array_union("names", F.coalesce("more", F.array().cast("array<string>"))).alias("names"))
-    one = F.concat(F.lit("(?:"), F.array_join("names", "|"), F.lit(")"))
-    uses = F.arrays_overlap("words", "names")
-    control, throws = F.col("text").rlike(r"\b(if|while|for|switch)\s*\("), F.col("text").rlike(r"\bthrow\b")
-    order = Window.partitionBy("id").orderBy("line")
-    guarded = F.lead("text").over(order).rlike(r"\bthrow\b") | throws
-    risk = (
-        F.when(control & guarded & uses, "throw")
-        .when(throws & F.lag(control & uses).over(order), "throw")
-        .when(F.exists("words", lambda w: w.rlike(ASSERTING)) & uses, "assert")
-        .when(F.expr(r"regexp_like(text, concat('\\[[^\\]]*\\b', one, '\\b'))"), "bounds")
-        .when(F.expr(r"regexp_like(text, concat('[/%]\\s*\\b', one, '\\b'))"), "math")
-        .when(F.expr(r"regexp_like(text, concat('\\b', one, '\\s*(\\.\\w|\\[)'))"), "npe")
-    )
-    body = lines.join(known, "id").withColumn("one", one).withColumns({"uses": uses & (F.size("names") > 0) & (F.col("line") > 0), "risk": F.when(F.size("names") > 0, risk)})
-    body = body.withColumn("hit", F.col("risk").isNotNull() & (F.col("line") > 0)).withColumns({"effective": F.max("hit").over(Window.partitionBy("id")), "first_use": F.min(F.when(F.col("uses"), F.col("line"))).over(Window.partitionBy("id"))})
-    kept = F.when(F.col("effective"), F.col("hit")).otherwise(F.coalesce(F.col("line") == F.col("first_use"), F.lit(False)))
-    frame = F.col("text").rlike(r"^\s*[{}]*\s*$") | (F.col("line") == 0)
-    body = body.withColumns({"kept": kept, "frame": frame}).withColumn("starts", ~F.col("kept") & ~F.col("frame") & F.coalesce(F.lag(F.col("kept") | F.col("frame")).over(order), F.lit(True)))
-    shown = F.when(F.col("kept") | F.col("frame"), F.col("text")).when(F.col("starts"), F.concat(F.regexp_extract("text", r"^\s*", 0), F.lit(PLACEHOLDER)))
-    listed = F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("line", shown.alias("shown")))))
-    statements = ~F.col("frame")
-    return body.groupBy("id").agg(
-        F.lit(hops).alias("hop"),
-        F.array_join(F.transform(listed, lambda x: x.shown), "\n").alias("slice"),
-        F.max("effective").alias("is_effective"),
-        F.max(~F.col("effective") & F.col("kept")).alias("is_fallback"),
-        F.try_divide(F.count_if(F.col("kept") & statements), F.count_if(statements)).alias("stmt_retention"),
+    if dedup not in DEDUP:
+        raise ValueError(f"dedup must be one of {DEDUP}")
+    depths = [hops] if isinstance(hops, int) else list(hops)
+    no_texts, at = F.array().cast("array<string>"), F.lit
+    clean = without_empty_lines(without_comments(F.col("code")))
+    word = r"\b([A-Za-z_]\w*)\b"
+    each = F.transform(F.split(clean, "\n"), lambda t: F.struct(t.alias("text"), unquoted(t).alias("bare")))
+    each = F.transform(each, lambda e: F.struct(e.text, e.bare, F.regexp_extract_all(e.bare, at(word), 1).alias("words"), F.regexp_extract(e.bare, r"(\w+)\s*=(?!=)", 1).alias("assigned")))
+    df = methods.select("id", "code", F.explode(F.array(*map(F.lit, depths))).alias("hop")).withColumns({"each": each, "formals": parameters(F.col("code"))})
+    df = df.withColumn("names", F.col("formals"))
+    for h in range(max(depths)):
+        more = F.transform(F.filter("each", lambda e: (e.assigned != "") & F.arrays_overlap(F.array_except(e.words, F.array(e.assigned)), "names")), lambda e: e.assigned)
+        df = df.withColumn("names", F.when(F.col("hop") > h, F.array_union("names", more)).otherwise(F.col("names")))
+    opens = F.array_position(F.transform("each", lambda e: e.bare.rlike(r"\)[^()]*\{\s*$")), True)
+    df = df.withColumns({"header": F.greatest(opens.cast("int") - 1, F.lit(0)), "one": any_of(F.col("names"))})
+
+    def risk(e: Column, i: Column) -> Column:
+        uses = lambda x: F.arrays_overlap(x.words, F.col("names"))
+        branch = lambda x: x.bare.rlike(r"\b(if|while|for|switch)\s*\(")
+        before, after = F.get("each", i - 1), F.get("each", i + 1)
+        throws = e.bare.rlike(r"\bthrow\b")
+        return (
+            F.when(branch(e) & uses(e) & (throws | F.coalesce(after.bare.rlike(r"\bthrow\b"), F.lit(False))), "throw")
+            .when(throws & F.coalesce(branch(before) & uses(before), F.lit(False)), "throw")
+            .when(F.exists(e.words, lambda w: w.rlike(ASSERTING)) & uses(e), "assert")
+            .when(F.regexp_like(e.bare, AROUND["bounds"](F.col("one"))), "bounds")
+            .when(F.regexp_like(e.bare, AROUND["math"](F.col("one"))), "math")
+            .when(F.regexp_like(e.bare, AROUND["npe"](F.col("one"))), "npe")
+        )
+
+    def near(e: Column, kind: str) -> Column:
+        return F.filter("names", lambda n: F.regexp_like(e.bare, AROUND[kind](n)))
+
+    def trigger(e: Column, i: Column) -> Column:
+        kind = F.when((i > F.col("header")) & (F.size("names") > 0), risk(e, i))
+        # a throw below its condition stands for the names of the condition
+        own = F.array_intersect(e.words, "names")
+        held = F.when(F.size(own) > 0, own).otherwise(F.array_intersect(F.get("each", i - 1).words, "names"))
+        for name in AROUND:
+            held = F.when(kind == name, near(e, name)).otherwise(held)
+        return F.struct(i.alias("line"), kind.alias("risk"), F.transform(F.coalesce(held, no_texts), lambda n: F.concat_ws(":", n, kind)).alias("pairs"), F.trim(e.text).alias("text"))
+
+    df = df.withColumn("triggers", F.filter(F.transform("each", trigger), lambda t: t.risk.isNotNull()))
+    lines = F.transform("triggers", lambda t: t.line)
+    if dedup == "strict":
+        start = F.struct(no_texts.alias("covered"), F.array().cast("array<int>").alias("lines"))
+
+        def step(state: Column, t: Column) -> Column:
+            keep = t.risk.isin("throw", "assert") | (F.size(F.array_except(t.pairs, state.covered)) > 0)
+            return F.when(keep, F.struct(F.array_union(state.covered, t.pairs).alias("covered"), F.concat(state.lines, F.array(t.line)).alias("lines"))).otherwise(state)
+
+        lines = F.aggregate("triggers", start, step).lines
+    elif dedup == "relaxed":
+        texts = F.transform("triggers", lambda t: t.text)
+        lines = F.transform(F.filter(F.transform("triggers", lambda t, i: F.struct(t.line, (F.array_position(texts, t.text) == i + 1).alias("first"))), lambda t: t.first), lambda t: t.line)
+    first_use = F.transform("formals", lambda n: F.array_position(F.transform("each", lambda e, i: (i > F.col("header")) & F.array_contains(e.words, n)), True).cast("int") - 1)
+    effective = F.size("triggers") > 0
+    df = df.withColumn("kept", F.when(effective, lines).otherwise(F.array_distinct(F.filter(first_use, lambda i: i >= 0))))
+    frame = lambda e, i: (i <= F.col("header")) | e.text.rlike(r"^\s*\}?\s*(?:else)?\s*[{}]*\s*$")
+    df = df.withColumn("marks", F.transform("each", lambda e, i: F.struct(F.array_contains("kept", i).alias("kept"), frame(e, i).alias("frame"))))
+    left_out = lambda m: ~m.kept & ~m.frame
+
+    def shown(e: Column, i: Column) -> Column:
+        mark, before = F.get("marks", i), F.get("marks", i - 1)
+        return F.when(~left_out(mark), e.text).when(F.coalesce(~left_out(before), F.lit(True)), F.concat(F.regexp_extract(e.text, r"^\s*", 0), F.lit(PLACEHOLDER)))
+
+    df = df.withColumn("slice", F.array_join(F.filter(F.transform("each", shown), lambda t: t.isNotNull()), "\n"))
+    count = lambda test: F.size(F.filter("marks", test))
+    tokens = lambda text: F.size(F.regexp_extract_all(text, F.lit(TOKEN), 0))
+    read = F.col("code").isNotNull()
+    return df.select(
+        "id",
+        "hop",
+        F.when(read, F.col("slice")).alias("slice"),
+        F.when(read, effective).otherwise(False).alias("is_effective"),
+        F.when(read, ~effective & (F.size("kept") > 0)).otherwise(False).alias("is_fallback"),
+        F.when(read, F.round(F.try_divide(count(lambda m: m.kept & ~m.frame), count(lambda m: ~m.frame)), 4)).alias("stmt_retention"),
+        F.when(read, F.round(F.try_divide(tokens(F.col("slice")), tokens(clean)), 4)).alias("token_retention"),
+        F.when(~read, "code is missing").alias("error"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import columns as C
 from quern.jobs import carriers, evaluation
-from quern.operators import inference, prompts, retrieval, scoring, significance, slices
+from quern.operators import inference, metrics, prompts, retrieval, scoring, significance, slices
 from quern.sources import tables
 from quern.streaming.scoring import score_arrivals
 
@@ -117,19 +117,57 @@ def test_significance_job(spark):
     assert {(r.a, r.b) for r in out} == {("p", "q"), ("p", "r"), ("q", "r")} and all(r.p_corr >= r.p_raw and r.groups == 3 for r in out)
 
 
+def test_two_configurations_are_not_corrected(spark):
+    rows = [(c, str(i), float((i * k) % 11)) for i in range(30) for k, c in enumerate("pq", 1)]
+    scores = spark.createDataFrame(rows, "config string, id string, value double").withColumn("metric", F.lit("strict"))
+    (r,) = evaluation.significance(scores, ["metric"]).collect()
+    assert r.groups == 2 and r.p_corr == r.p_raw and r.chi2 is None and r.p_global is None
+    told = evaluation.sectioned(evaluation.significance(scores.unionByName(scores.withColumn("metric", F.lit("other"))), ["metric"]).withColumn("analysis", F.lit("one")), "analysis").orderBy("row_no").collect()
+    assert [(x.analysis, x.metric, x.comparison) for x in told] == [("one", "", ""), ("", "other", "Global"), ("", "other", "p vs q"), ("", "", ""), ("", "strict", "Global"), ("", "strict", "p vs q"), ("", "", "")]
+    assert (told[0].n, told[0].correction, told[1].chi2) == ("30", "HOLM", "")
+
+
+def test_failures_are_counted_on_the_way(spark):
+    gold = spark.createDataFrame([("1", "a > 0"), ("2", "b")], "id string, doc_constraint string")
+    said = spark.createDataFrame([("1", "None", None), ("1", "It is so.", None), ("2", "b", None), ("2", None, "timeout")], "id string, text string, error string")
+    rows, seen = metrics.observed_failures(scoring.evaluated(gold, said))
+    assert rows.count() == 4 and seen.get == {"rows": 4, "parse_failed": 1, "empty": 2, "errors": 1}
+
+
 def test_similar_items_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERIES", 7)
     rnd = np.random.default_rng(1)
     x = rnd.standard_normal((40, 6))
     x[5] = 0
     items = spark.createDataFrame([(k, int(k % 4), [float(v) for v in r]) for k, r in enumerate(x)], "id long, project int, embedding array<double>")
-    got = {(r.id, r.rank): r.example_id for r in retrieval.similar_items(items, items, 3, 0.6).collect()}
+    rows = retrieval.similar_items(items, items.repartition(5), 3, 0.6).collect()
+    got = {(r.id, r.rank): r.example_id for r in rows}
     with np.errstate(invalid="ignore"):
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
     cos = u @ u.T
     for k in range(40):
         near = sorted((j for j in range(40) if k != 5 and j != 5 and j % 4 != k % 4 and cos[k, j] < 0.6), key=lambda j: (-cos[k, j], j))[:3]
         assert [got.get((k, r)) for r in (1, 2, 3)][: len(near)] == near
+    assert all(r.cos == round(float(cos[r.id, r.example_id]), 4) for r in rows)
+    named = items.withColumn("id", F.concat(F.lit("n"), F.format_string("%02d", "id")))
+    assert {(r.id, r.rank): r.example_id for r in retrieval.similar_items(named, named, 3, 0.6).collect()} == {(f"n{k:02d}", r): f"n{j:02d}" for (k, r), j in got.items()}
+    assert retrieval.similar_items(items.limit(0), items, 3).count() == 0 and retrieval.similar_items(items, items.limit(0), 3).count() == 0
+
+
+def test_equal_cosines_go_to_the_smaller_ids(spark):
+    items = spark.createDataFrame([(k, k % 2, [1.0, float(k % 3)]) for k in range(60)], "id long, project int, embedding array<double>").repartition(7)
+    got = {}
+    for r in sorted(retrieval.similar_items(items, items, 4, 1.1).collect(), key=lambda r: (r.id, r["rank"])):
+        got.setdefault(r.id, []).append(r.example_id)
+    assert all(near == [j for j in range(60) if j % 2 != k % 2 and j % 3 == k % 3][:4] for k, near in got.items()) and len(got) == 60
+
+
+def test_random_items_meet_a_bounded_number_of_others(spark):
+    for n in (50, 800):
+        items = spark.range(n).select("id", (F.col("id") % 5).alias("project"))
+        rows = retrieval.random_items(items, 3, draws=6, per_bucket=8).collect()
+        assert all(r.id % 5 != r.example_id % 5 for r in rows) and len({r.id for r in rows}) > 0.97 * n
+        assert max(r["rank"] for r in rows) == 3
 
 
 def test_examples_are_reversed_and_never_the_item(spark):
@@ -144,14 +182,40 @@ def test_slices(spark):
     code = 'private static double f(double v) {\n    if (v < 0.0 || v > 1.0) {\n        throw new X("// v");\n    }\n    this.v = v;\n    return v;\n}'
     other = "void g(String s, int n) {\n    String t = s;\n    int k = 10 / n;\n    t.trim();\n}"
     plain = "int h(int n) {\n    int a = 1;\n    return n;\n}"
-    df = spark.createDataFrame([("f", code), ("g", other), ("h", plain), ("e", ""), ("n", None)], "id string, code string")
-    got = {r.id: r for r in slices.sliced(df, 1).collect()}
+    df = spark.createDataFrame([("f", code), ("g", other), ("h", plain), ("e", ""), ("n", None), ("h", plain)], "id string, code string")
+    rows = slices.sliced(df, 1).collect()
+    got = {r.id: r for r in rows}
+    assert len(rows) == 6 and {c: got["n"][c] for c in ("slice", "is_effective", "is_fallback", "stmt_retention", "error")} == {"slice": None, "is_effective": False, "is_fallback": False, "stmt_retention": None, "error": "code is missing"}
+    assert got["e"].slice == "" and got["e"].stmt_retention is None
     assert got["f"].slice == code.replace("    this.v = v;\n    return v;", "    // ...") and got["f"].stmt_retention == 0.5 and got["f"].is_effective
     assert got["g"].slice == "void g(String s, int n) {\n    // ...\n    int k = 10 / n;\n    t.trim();\n}"
     assert not {r.id: r for r in slices.sliced(df, 0).collect()}["g"].slice.count("t.trim")
     assert got["h"].is_fallback and not got["h"].is_effective and got["h"].slice == "int h(int n) {\n    // ...\n    return n;\n}"
 
 
+def test_parameters(spark):
+    said = {
+        "f(Map<String, Integer> m, int b) {": ["m", "b"],
+        '@A("x(y)")\npublic int f(int b)\n  throws E {': ["b"],
+        "<T extends Comparable<? super T>> void f(final @Nonnull T[] xs, String... more) {": ["xs", "more"],
+        "void f() { g(a, b); }": [],
+        "f(int[] a[], Map<String, Map<String, List<Integer>>> deep);": ["a", "deep"],
+        "no method": [],
+    }
+    df = spark.createDataFrame(list(enumerate(said)), "k int, code string").orderBy("k")
+    assert [r[0] for r in df.select(slices.parameters(F.col("code"))).collect()] == list(said.values())
+
+
+def test_repeated_triggers(spark):
+    code = "void f(String s, int n) {\n    s.trim();\n    s.length();\n    s.trim();\n    check(9 / n);\n    if (n < 0) {\n        throw new X();\n    }\n}"
+    df = spark.createDataFrame([("f", code)], "id string, code string")
+    kept = {d: slices.sliced(df, 0, dedup=d).first().slice for d in slices.DEDUP}
+    assert kept["none"] == code and kept["relaxed"] == code.replace("    s.trim();\n    check", "    // ...\n    check")
+    assert kept["strict"] == code.replace("    s.length();\n    s.trim();", "    // ...")
+    with pytest.raises(ValueError, match="dedup"):
+        slices.sliced(df, 0, dedup="some")
+
+
 def test_asked_retries_and_reports_errors(spark):
     def client():
         calls = {}
