@@ -13,21 +13,21 @@ the map side; no node collects an unbounded number of rows, however many rows
 point to it.
 
 The queries' nodes walk the graph together, from the entry points and from
-themselves: in each round every query takes the nearest
-nodes of its pool that it has not opened yet, a join brings the neighbours of
-these, and the pool keeps the ``pool`` nearest.  It ends when no pool has a
-node to open.  The nearest of the pools are ranked by exact distances of the
-original vectors, in double precision.
+themselves: in each round every query takes the nearest nodes of its pool that
+it has not opened yet, a join on ids brings the neighbours of these, another one
+the codes of those that it has not seen yet, and the pool keeps the ``pool``
+nearest.  It ends when no pool has a node to open.  The nearest of the pools are
+ranked by exact distances of the original vectors, in double precision.
 
 Within graph and walk, vectors are 16-bit codes with a scale of their own, fine
-enough to rank near-copies.  The entry points are a bounded sample (``entries`` rows by a
-hash of the id), which is broadcast; all rows are indexed.
+enough to rank near-copies.  The entry points are a bounded sample by a hash of
+the id (one row in 16, ``entries`` at most), which is broadcast; all rows are
+indexed, and every table is searched in this way, small ones too.
 
 Rows with a null id, and vectors that are null, zero, hold null or non-finite
 components or have another length than most rows (ties: the shorter), take no
-part.  Rows that repeat an id count once, with the smallest vector.  With no
-more than ``entries`` rows the result is exact.  An empty table gives an empty
-result.
+part.  Rows that repeat an id count once, with the smallest vector.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,10 +42,13 @@ from pyspark.sql import functions as F
 from quern.session import few, stash, unstash
 
 NEIGHBOURS, REVERSE, OFFERED = 24, 16, 8
-TABLES, BLOCK = 4, 256
-ROUNDS, SETTLED = 7, 0.02
-ENTRIES, POOL, OPENED, WALKS = 512, 480, 192, 40
+#: First edges: that many sets of planes, rows of a block, nearest of a block.
+TABLES, BLOCK, FIRST = 10, 256, 12
+ROUNDS, SETTLED = 5, 0.04
+ENTRIES, POOL, OPENED = 512, 480, 192
 HEADER = 4
+#: Pairs of query and node to open that are sent to all tasks.
+FRONT = 1_000_000
 
 
 def packed(df: DataFrame, rows: int, width: int) -> DataFrame:
@@ -191,7 +194,7 @@ def neighbour_graph(coded: DataFrame, n: int, dims: int, neighbours: int, rounds
         out = nearest(once, neighbours).withColumns({"radius": far, "lead": F.col("w") == F.min("w").over(held)})
         return stash(packed(out, n * neighbours, 32), "edges")
 
-    edges = stored(first_edges(coded, n, dims, neighbours).withColumn("fresh", F.lit(True)))
+    edges = stored(first_edges(coded, n, dims, min(FIRST, neighbours)).withColumn("fresh", F.lit(True)))
     for _ in range(rounds):
         back = nearest(edges.select(F.col("w").alias("v"), F.col("u").alias("w"), "d", "fresh"), REVERSE, "v").select("v", F.col("w").alias("u"), "fresh")
         around = edges.select(F.col("u").alias("v"), F.col("w").alias("u"), "fresh").union(back)
@@ -207,69 +210,62 @@ def neighbour_graph(coded: DataFrame, n: int, dims: int, neighbours: int, rounds
     return edges
 
 
-def adjacency(edges: DataFrame, coded: DataFrame) -> DataFrame:
-    """node, ids, codes of its neighbours and nearest reverse neighbours."""
+def adjacency(edges: DataFrame) -> DataFrame:
+    """node, others: its neighbours and nearest reverse neighbours."""
     back = nearest(edges.select(F.col("w").alias("u"), F.col("u").alias("w"), "d"), REVERSE)
-    both = edges.select("u", "w").union(back.select("u", "w")).distinct()
-    held = both.join(coded.select(F.col("id").alias("w"), "code"), "w")
-    return held.groupBy(F.col("u").alias("node")).agg(F.collect_list(F.struct("w", "code")).alias("m"))
+    return edges.select("u", "w").union(back.select("u", "w")).groupBy(F.col("u").alias("node")).agg(F.collect_set("w").alias("others"))
 
 
-def opened(dims: int):
-    """(q, x, worst, m) -> (q, ids, ds): neighbours no farther than the pool's last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = batch.column("m")
-            sizes = m.value_lengths().to_numpy(zero_copy_only=False)
-            flat = m.flatten()
-            ids = flat.field("w").to_numpy(zero_copy_only=False)
-            codes = unblob(flat.field("code"), width(dims))
-            q = lists(batch.column("x"), dims)
-            row = np.repeat(np.arange(len(q)), sizes)
-            d = np.empty(len(ids), np.float32)
-            q = q.astype(float)
-            squares = np.einsum("ij,ij->i", q, q)
-            for a in range(0, len(ids), 20_000):
-                r = row[a : a + 20_000]
-                norm, x = decode(codes[a : a + 20_000])
-                d[a : a + 20_000] = np.sqrt(np.maximum(squares[r] + norm - 2 * np.einsum("ij,ij->i", q[r], x), 0))
-            keep = d <= batch.column("worst").to_numpy()[row]
-            offsets = np.append(0, np.cumsum(np.bincount(row[keep], minlength=len(q)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("q"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[keep])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(d[keep]))], ["q", "ids", "ds"])
-
-    return run
-
-
-STATE = "q long, x array<double>, ids array<long>, ds array<float>, done array<boolean>, todo array<long>, worst float"
+STATE = "q long, x array<double>, ids array<long>, ds array<float>, done array<boolean>, todo array<long>, worst float, seen array<long>"
+ARROW_STATE = pa.schema([("q", pa.int64()), ("x", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("ds", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_())), ("todo", pa.list_(pa.int64())), ("worst", pa.float32()), ("seen", pa.list_(pa.int64()))])
 
 
-def state_row(q: int, x: np.ndarray, ids: np.ndarray, ds: np.ndarray, done: np.ndarray, pool: int, step: int) -> dict:
+def state_row(q: int, x: np.ndarray, ids: np.ndarray, ds: np.ndarray, done: np.ndarray, seen: np.ndarray, pool: int, step: int) -> dict:
     """The pool kept to its nearest, with the nodes to open next."""
     order = np.lexsort((ids, ds))[:pool]
     ids, ds, done = ids[order], ds[order], done[order].copy()
     todo = np.flatnonzero(~done)[:step]
     done[todo] = True
-    return {"q": [q], "x": [x], "ids": [ids], "ds": [ds], "done": [done], "todo": [ids[todo]], "worst": [float(ds[-1]) if len(ds) >= pool else float("inf")]}
+    return {"q": [q], "x": [x], "ids": [ids], "ds": [ds], "done": [done], "todo": [ids[todo]], "worst": [float(ds[-1]) if len(ds) >= pool else float("inf")], "seen": [seen]}
 
 
-def merged(pool: int, step: int):
-    schema = pa.schema([("q", pa.int64()), ("x", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("ds", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_())), ("todo", pa.list_(pa.int64())), ("worst", pa.float32())])
+def merged(dims: int, pool: int, step: int):
+    """A query's state and the codes of the nodes it meets for the first time."""
 
     def run(key: tuple, state: pa.Table, found: pa.Table) -> pa.Table:
         if not state.num_rows:
-            return schema.empty_table()
+            return ARROW_STATE.empty_table()
         row = state.slice(0, 1).to_pylist()[0]
-        ids = np.array(row["ids"], np.int64)
-        new, at = np.unique(np.concatenate([np.asarray(c.flatten()) for c in found.column("ids").chunks] or [np.zeros(0, np.int64)]).astype(np.int64), return_index=True)
-        ds = np.concatenate([np.asarray(c.flatten()) for c in found.column("ds").chunks] or [np.zeros(0, np.float32)])[at] if len(at) else np.zeros(0, np.float32)
-        fresh = ~np.isin(new, ids)
-        out = state_row(row["q"], row["x"], np.append(ids, new[fresh]), np.append(np.array(row["ds"], np.float32), ds[fresh]).astype(np.float32), np.append(np.array(row["done"], bool), np.zeros(int(fresh.sum()), bool)), pool, step)
-        return pa.table(out, schema=schema)
+        ids, seen, x = np.array(row["ids"], np.int64), np.array(row["seen"], np.int64), np.array(row["x"])
+        new, d = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        if found.num_rows:
+            new = found.column("node").to_numpy()
+            norm, y = decode(unblob(found.column("code").combine_chunks(), width(dims)))
+            d = np.sqrt(np.maximum(x @ x + norm - 2 * y @ x, 0)).astype(np.float32)
+            seen = np.append(seen, new)
+            near = d <= row["worst"]
+            new, d = new[near], d[near]
+        out = state_row(row["q"], x, np.append(ids, new), np.append(np.array(row["ds"], np.float32), d), np.append(np.array(row["done"], bool), np.zeros(len(new), bool)), seen, pool, step)
+        return pa.table(out, schema=ARROW_STATE)
 
     return run
 
 
+def walked(state: DataFrame, graph: DataFrame, coded: DataFrame, dims: int, asking: int, pool: int, step: int) -> DataFrame:
+    """The states at the end: every node of every pool has been opened."""
+    while True:
+        front = state.select(F.col("q").alias("asker"), F.explode("todo").alias("node"))
+        steps = front.count()
+        if not steps:
+            return state
+        opened = (F.broadcast(front) if steps <= FRONT else front).join(graph, "node").groupBy("asker").agg(F.flatten(F.collect_list("others")).alias("others"))
+        fresh = state.select(F.col("q").alias("asker"), "seen").join(opened, "asker").select("asker", F.explode(F.array_except("others", "seen")).alias("node"))
+        met = fresh.join(coded.withColumnRenamed("id", "node"), "node")
+        new = stash(packed(state.groupBy("q").cogroup(met.groupBy("asker")).applyInArrow(merged(dims, pool, step), STATE), asking, 64 * pool), "walk")
+        unstash(state)
+        state = new
+
+
 def nearest_neighbours(
     vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, entries: int = ENTRIES, pool: int = POOL, step: int = OPENED
 ) -> DataFrame:
@@ -298,7 +294,7 @@ def nearest_neighbours(
                 yield pa.RecordBatch.from_arrays([batch.column("id"), blobs(encode(lists(batch.column("v"), dims)))], ["id", "code"])
 
     coded = stash(packed(nodes, n, 8 * dims).mapInArrow(coding, "id long, code binary"), "coded")
-    starts = nodes.orderBy(F.xxhash64("id"), "id").limit(entries).toArrow().combine_chunks()
+    starts = nodes.orderBy(F.xxhash64("id"), "id").limit(max(1, min(entries, n // 16))).toArrow().combine_chunks()
     shared = spark.sparkContext.broadcast((starts.column("id").to_numpy(), lists(starts.column("v").combine_chunks() if isinstance(starts.column("v"), pa.ChunkedArray) else starts.column("v"), dims)))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,25 +309,17 @@ def nearest_neighbours(
                 d = np.sqrt(np.maximum(norm + v @ v - 2 * x @ v, 0)).astype(np.float32)
                 other = ids != own
                 near, d = np.append(ids[other], own), np.append(d[other], np.float32(0))
-                for c, value in state_row(own, v, near, d, np.zeros(len(near), bool), pool, step).items():
+                for c, value in state_row(own, v, near, d, np.zeros(len(near), bool), near, pool, step).items():
                     rows.setdefault(c, []).extend(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["q"], pa.int64()), *(pa.array(rows[c], pa.list_(t)) for c, t in (("x", pa.float64()), ("ids", pa.int64()), ("ds", pa.float32()), ("done", pa.bool_()), ("todo", pa.int64()))), pa.array(rows["worst"], pa.float32())], ["q", "x", "ids", "ds", "done", "todo", "worst"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in ARROW_STATE], schema=ARROW_STATE)
 
     state = stash(nodes.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "v").mapInArrow(begin, STATE), "walk")
     asking = state.count()
-    if n > entries:
-        edges = neighbour_graph(coded, n, dims, neighbours, rounds)
-        graph = stash(packed(adjacency(edges, coded), n * (neighbours + REVERSE), 2 * dims + 16), "graph")
-        unstash(edges)
-        for _ in range(WALKS):
-            front = state.select("q", "x", "worst", F.explode("todo").alias("node"))
-            if front.isEmpty():
-                break
-            near = packed(front.join(graph, "node").select("q", "x", "worst", "m"), asking * step, (neighbours + REVERSE) * (2 * dims + 16))
-            found = near.mapInArrow(opened(dims), "q long, ids array<long>, ds array<float>")
-            new = stash(packed(state.groupBy("q").cogroup(found.groupBy("q")).applyInArrow(merged(pool, step), STATE), asking, 32 * pool), "walk")
-            unstash(state)
-            state = new
+    edges = neighbour_graph(coded, n, dims, neighbours, rounds)
+    graph = stash(packed(adjacency(edges), n, 8 * (neighbours + REVERSE)), "graph")
+    unstash(edges)
+    state = walked(state, graph, coded, dims, asking, pool, step)
+    unstash(graph, coded)
     best = state.select(F.col("q").alias("q"), F.explode(F.slice("ids", 1, max(6 * k, 64))).alias("node"))
     pairs = best.join(nodes.select(F.col("id").alias("node"), F.col("v").alias("b")), "node").join(nodes.select(F.col("id").alias("q"), F.col("v").alias("a")), "q")
     exact = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
@@ -341,5 +329,6 @@ def nearest_neighbours(
     rows = top.select("q", F.col("node").alias("vec_id"), "score").unionByName(top.join(few(copies), "node").select("q", F.col("copy").alias("vec_id"), "score"))
     rows = rows.withColumn("rank", ranks("q", "vec_id")).filter(F.col("rank") <= k + 1)
     lists_of = stash(rows.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("m")), "lists")
+    unstash(base, ranked, state)
     answers = asked.join(few(lists_of, 200_000), asked.node == lists_of.q).select("query_id", F.posexplode(F.slice(F.array_sort(F.filter("m", lambda r: r.vec_id != F.col("query_id"))), 1, k)).alias("at", "r"))
     return answers.select("query_id", (F.col("at") + 1).alias("rank"), "r.vec_id", "r.score")

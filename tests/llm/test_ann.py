@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,16 +30,29 @@ def recall(got, want):
     return np.mean([len({j for _, j in got[q]} & {j for _, j in want[q]}) / len(want[q]) for q in want])
 
 
-def test_query_against_brute_force(spark):
-    rows = table(spark, SF, "embeddings").orderBy("vec_id").collect()
-    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
-    want, got = brute(ids, x, [i for i in ids if i % 100 == 0], 10), found(op1_ann(spark, SF).collect())
-    assert recall(got, want) >= 0.95 and all(len(v) == 10 for v in got.values())
+@pytest.mark.parametrize("sf,rows", [("/root/testdata/sf0.001", 500), ("/root/testdata/sf0.1", 2000)])
+def test_query_against_brute_force(spark, sf, rows):
+    e = sorted((r.vec_id, r.embedding) for r in table(spark, sf, "embeddings").collect())
+    ids, x = [k for k, _ in e], np.array([v for _, v in e], float)
+    want, got = brute(ids, x, [i for i in ids if i % 100 == 0], 10), found(op1_ann(spark, sf).collect())
+    assert len(ids) == rows and recall(got, want) >= 0.95 and all(len(v) == 10 for v in got.values())
     for q, near in got.items():
         for score, j in near:
             assert score == pytest.approx(np.sqrt(((x[ids.index(q)] - x[ids.index(j)]) ** 2).sum()), abs=1e-12)
 
 
+def test_recall_on_many_isotropic_vectors(spark):
+    n = 20_000
+    x = np.random.default_rng(3).standard_normal((n, 64)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))})).repartition(8)
+    asked = list(range(0, n, 200))
+    got = found(nearest_neighbours(df, F.col("id") % 200 == 0).collect())
+    x = x.astype(float)
+    d = np.sqrt(np.maximum((x[asked] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * x[asked] @ x.T, 0))
+    want = {q: [(row[j], int(j)) for j in np.argsort(row)[:11] if j != q][:10] for q, row in zip(asked, d, strict=True)}
+    assert recall(got, want) >= 0.9
+
+
 def test_graph_search_with_few_entries(spark):
     rnd = np.random.default_rng(0)
     x = rnd.standard_normal((1500, 16))
