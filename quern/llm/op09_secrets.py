@@ -5,7 +5,8 @@ layers, each layer is scanned and unwrapped in turn, until no layer gives a new
 one.  URL escapes and Unicode escapes are decoded in place.  Base64 runs, and
 runs wrapped over lines, become layers of their own at all four alignments, so
 that a joined prefix hides nothing; bytes that are not UTF-8 stand in a layer as
-lone surrogates.  Gzip and zlib data that begins anywhere in such bytes becomes a
+lone surrogates; bytes with zeros between the others, as in wide encodings, are
+read without them too.  Gzip and zlib data that begins anywhere in such bytes becomes a
 layer too, all its members together, and is unwrapped again if it holds such
 data itself.  A layer whose text
 was seen before at the same stretch of the original is not entered again, which
@@ -51,6 +52,8 @@ BREAK = re.compile(r"[\x20\t]*+(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+")
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)+")
 #: Where gzip or zlib data may begin.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68]")
+#: Zeros from which bytes may be a wide encoding of a secret.
+ZEROS = 8
 STEP, WHOLE, CHUNK, OVERLAP = 512, 64 << 20, 16 << 20, 1 << 20
 TOKEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=.%\\{}\r\n"
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -213,14 +216,19 @@ def as_text(data: bytes) -> str:
     return data.decode(errors="surrogateescape")
 
 
-def byte_places(text: str) -> Callable[[int], int]:
-    """From a position in as_text(data) to that in data."""
+def byte_offsets(text: str) -> np.ndarray:
+    """Where each character of as_text(data) begins in data, and where the last one ends."""
     if text.isascii():
-        return lambda k: k
+        return np.arange(len(text) + 1)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     wide = 1 + (code > 0x7F) + (code > 0x7FF).astype(np.int64) + (code > 0xFFFF)
     wide[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
-    at = np.append(0, np.cumsum(wide))
+    return np.append(0, np.cumsum(wide))
+
+
+def byte_places(text: str) -> Callable[[int], int]:
+    """From a position in as_text(data) to that in data."""
+    at = byte_offsets(text)
     return lambda k: int(at[k])
 
 
@@ -281,8 +289,18 @@ class Scan:
                 return at(k + inner[0](a) // 3 * 4), at(min(n, k - (-inner[0](b) // 3) * 4) - 1) + 1
 
             self.layer(text, (own, places), depth)
+            if data.count(0) >= ZEROS:
+                self.narrow(data, own, text, places, depth)
             self.packed(data, lambda p, k=k: original(places, at(k + p // 3 * 4), at(n - 1) + 1), depth)
 
+    def narrow(self, data: bytes, own: Places, text: str, places: Chain, depth: int) -> None:
+        """The layer of the bytes that aren't zero; where it stands in text, which has them."""
+        whole = np.frombuffer(data, np.uint8)
+        at = np.flatnonzero(whole)
+        thin = as_text(whole[at].tobytes())
+        byte, character = byte_places(thin), np.repeat(np.arange(len(text)), np.diff(byte_offsets(text)))
+        self.layer(thin, (lambda a, b: own(int(character[at[byte(a)]]), int(character[at[byte(b) - 1]]) + 1), places), depth)
+
     def packed(self, data: bytes, stretch: Callable[[int], Span], depth: int, more: bool = False) -> None:
         """Layers of the gzip or zlib data in data; stretch: the original's part
         from a position in data on; more: data goes on after its end."""
@@ -322,6 +340,8 @@ class Scan:
         if size:
             data = b"".join(parts)
             self.layer(as_text(data), (lambda a, b: span, None), depth)
+            if data.count(0) >= ZEROS:
+                self.layer(as_text(data.replace(b"\0", b"")), (lambda a, b: span, None), depth)
             self.work.append(lambda: self.again(data, span, depth + 1))
 
     def again(self, data: bytes, span: Span, depth: int) -> None:
@@ -345,6 +365,8 @@ class Scan:
                 pieces = None
             data = b"".join(parts)
             self.layer(as_text(data), (lambda a, b: span, None), depth)
+            if data.count(0) >= ZEROS:
+                self.layer(as_text(data.replace(b"\0", b"")), (lambda a, b: span, None), depth)
             self.packed(data, lambda p: span, depth + 1, more=pieces is not None)
             # layers of this chunk before the next one is held
             others, self.work = self.work, []
