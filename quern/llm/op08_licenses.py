@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -149,11 +149,26 @@ class Automaton:
         return out
 
 
-@cache
-def compiled() -> tuple[dict[str, int], list[tuple[str, list[int]]], list[tuple[str, Automaton]]]:
-    texts = [*PHRASES, *(t for ts in TEMPLATES.values() for t in ts)]
-    number = {w: k for k, w in enumerate(sorted({w for t in texts for w in words_of(MARK.sub(" ", t))}))}
-    return number, [(label, [number[w] for w in words_of(p)]) for p, label in PHRASES.items()], [(label, Automaton(t, number)) for label, ts in TEMPLATES.items() for t in ts]
+Wordings = tuple[tuple[str, str], ...]
+OWN_PHRASES: Wordings = tuple((label, p) for p, label in PHRASES.items())
+OWN_TEMPLATES: Wordings = tuple((label, t) for label, ts in TEMPLATES.items() for t in ts)
+
+
+def wordings(table: DataFrame, most: int = 20_000) -> Wordings:
+    """Templates or phrases from a table (label, text); more than ``most`` rows are
+    an error, as every worker compiles and holds all of them."""
+    rows = table.select(F.col("label").cast("string"), F.col("text").cast("string")).filter("label is not null and text is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} wordings")
+    return tuple(sorted(map(tuple, rows)))
+
+
+@lru_cache(maxsize=2)
+def compiled(phrases: Wordings, templates: Wordings) -> tuple[dict[str, int], list[tuple[str, list[int]]], list[tuple[str, Automaton]]]:
+    """The words' numbers, phrases and automata; wordings without words are left out."""
+    number = {w: k for k, w in enumerate(sorted({w for _, t in (*phrases, *templates) for w in words_of(MARK.sub(" ", t))}))}
+    automata = [(label, Automaton(t, number)) for label, t in templates]
+    return number, [(label, [number[w] for w in words_of(p)]) for label, p in phrases if words_of(p)], [(label, a) for label, a in automata if a.mandatory]
 
 
 def phrase_starts(codes: np.ndarray, rows: np.ndarray, phrase: list[int]) -> np.ndarray:
@@ -171,16 +186,17 @@ PLACES = "array<struct<label:string,start:int,end:int>>"
 ARROW_PLACES = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Wordings = OWN_PHRASES, templates: Wordings = OWN_TEMPLATES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, phrases and templates (label,
     first word, word after the last), score.
 
+    phrases, templates: (label, text), see wordings().
     score: 1 with a phrase or an accepted template; else half the greatest
     share of a template's mandatory words that the text holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, phrases, automata = compiled()
+        number, spelt, automata = compiled(phrases, templates)
         vocabulary = pa.array(list(number), pa.large_string())
         for part in slices(batches, "text"):
             words, offsets = split_words(part.column("text"), NOT_ALNUM)
@@ -190,7 +206,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = row_of(offsets)
             plain: list[list[dict]] = [[] for _ in range(part.num_rows)]
             marked: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            for label, phrase in phrases:
+            for label, phrase in spelt:
                 for k in phrase_starts(codes, rows, phrase):
                     start = int(k - offsets[rows[k]])
                     plain[rows[k]].append({"label": label, "start": start, "end": start + len(phrase)})

@@ -8,7 +8,7 @@ from urllib.parse import quote
 
 import pytest
 
-from quern.llm.op08_licenses import TEMPLATES, Automaton, compiled, scan_licenses, words_of
+from quern.llm.op08_licenses import MARK, OWN_PHRASES, OWN_TEMPLATES, TEMPLATES, Automaton, compiled, scan_licenses, wordings, words_of
 from quern.llm.op09_secrets import Scan, find_secrets, masked, redact_secrets
 from quern.llm.queries import op8_licenses, op9_secrets
 from quern.session import table
@@ -85,6 +85,10 @@ LOUD = SECRET.encode() + b"\n" + NOISE
         code("a\xa0\x0c\x00".encode() + SECRET.encode()),
         code(b"\xff\xfe\x80" + SECRET.encode()),
         code(gzip.compress(b"\x00\xff" + SECRET.encode())),
+        code(SECRET.encode("utf-16")),
+        code("é".encode("utf-16-be") + SECRET.encode("utf-16-be")),
+        code(gzip.compress(SECRET.encode("utf-16-le"))),
+        code(SECRET.encode("utf-32-le")),
         code(b"\x01\x02head" + gzip.compress(SECRET.encode())),
         code(gzip.compress(LOUD))[:-40],
         base64.encodebytes(gzip.compress(LOUD)).decode().strip(),
@@ -171,11 +175,64 @@ def brute_license(text):
     return len(w), len(found), min((k for k, _ in found), default=None), max((k for k, _ in found), default=None), ",".join(sorted({x for _, x in found}))
 
 
+def as_pattern(template):
+    """A template as a pattern over words that a blank follows each."""
+    out, last = "", 0
+    for m in [*MARK.finditer(template), None]:
+        out += "".join(f"{w} " for w in words_of(template[last : m.start() if m else None]))
+        if m:
+            last, kind = m.end(), m[1]
+            out += "(?:" if kind == "beginOptional" else ")?" if kind == "endOptional" else r"(?:\S+ ){%s,%s}" % (m[2], m[3])
+    return re.compile(r"(?<!\S)" + out)
+
+
+def mandatory(template):
+    return set(words_of(MARK.sub(" ", re.sub(r"(?s)<<beginOptional>>.*?<<endOptional>>", " ", template.replace("<<beginOptional>>this <<var;min=1;max=3>> is<<endOptional>>", " ")))))
+
+
 def test_license_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    patterns = [(label, as_pattern(t), mandatory(t)) for label, t in OWN_TEMPLATES]
+    seen = set()
     for r in op8_licenses(spark, SF).collect():
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_license(texts[r.doc_id])
-        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+        n, *rest, base_labels = brute_license(texts[r.doc_id])
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, *rest, base_labels)
+        words = WORD.findall(low(texts[r.doc_id]))
+        line = "".join(f"{w} " for w in words)
+        labels = {x for x in base_labels.split(",") if x} | {label for label, p, _ in patterns if p.search(line)}
+        seen |= labels
+        assert r.labels == ",".join(sorted(labels))
+        assert r.score == (1.0 if labels else pytest.approx(max(len(m & set(words)) / len(m) for _, _, m in patterns) / 2))
+    assert seen
+
+
+def test_wordings_from_a_table(spark):
+    rows = spark.createDataFrame([("own", "use it <<var;min=1;max=2>> freely"), ("own", "use it <<var;min=1;max=2>> freely"), ("none", None), (None, "x"), ("odd", "<<var;min=1;max=2>>")], "label string, text string")
+    templates = wordings(rows)
+    assert len(templates) == 2
+    docs = spark.createDataFrame([(1, "You may use it, friend, freely."), (2, "use it freely"), (3, "under the MIT license")], "doc_id long, text string")
+    got = {r.doc_id: ([p.label for p in r.templates], [p.label for p in r.phrases], r.score) for r in scan_licenses(docs, templates=templates, phrases=(("p", "the mit"),)).collect()}
+    assert got == {1: (["own"], [], 1.0), 2: ([], [], 0.5), 3: ([], ["p"], 1.0)}
+    with pytest.raises(ValueError, match="more than 1"):
+        wordings(rows, most=1)
+
+
+def test_wrapped_secrets_in_documents(spark):
+    """Secrets wrapped and put into documents are found there, and nothing else is."""
+    wraps = [lambda s: quote(s, safe=""), lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), lambda s: base64.b64encode(base64.b64encode(s.encode("utf-16"))).decode(), lambda s: "".join(f"\\u{ord(c):04x}" for c in s)]
+    rows, want = [], {}
+    for k, r in enumerate(sorted(table(spark, SF, "documents").collect(), key=lambda r: r.doc_id)):
+        text, inner = r.text or "", " " + wraps[k % len(wraps)](SECRET) + " "
+        at = len(text) * (k % 7) // 7
+        rows.append((r.doc_id, text[:at] + inner + text[at:]))
+        want[r.doc_id] = at, at + len(inner), {(s.split(":")[0], int(s.split(":")[1]), int(s.split(":")[2])) for s in base(text[:at]) + [f"{x.split(':')[0]}:{int(x.split(':')[1]) + at + len(inner)}:{int(x.split(':')[2]) + at + len(inner)}" for x in base(text[at:])]}
+    for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        first, last, plain = want[r.doc_id]
+        found = {(s.kind, s.start, s.end) for s in r.spans if s.depth}
+        assert any(kind == "assign" and first <= a < b <= last for kind, a, b in found), r.doc_id
+        assert all(first <= a and b <= last for _, a, b in found)
+        outside = {(s.kind, s.start, s.end) for s in r.spans if not s.depth and (s.end <= first or s.start >= last)}
+        assert outside <= plain
 
 
 def test_license_awkward_rows(spark):
@@ -186,7 +243,7 @@ def test_license_awkward_rows(spark):
 
 
 def fits(template, text):
-    number = compiled()[0]
+    number = compiled(OWN_PHRASES, OWN_TEMPLATES)[0]
     return Automaton(template, number).accepted([number.get(w, -1) for w in words_of(text)])
 
 
