@@ -51,12 +51,18 @@ FAMILIES = {
     "indic": ["bn", "gu", "hi", "mr", "ne", "pa", "ur"],
 }
 UND = "und"
+#: Letters, and some signs that Python's word characters have besides.
 LETTER = re.compile(r"[^\W\d_]")
 LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 FEATURE_SLICE, FEATURE_ROWS = 2_000_000, 400
 SEEN = 10
 
 
+def spoken_text(text: str | None) -> bool:
+    """Whether a text has a letter."""
+    return text is not None and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang.lower().split("-")[0] in langs), lang)
 
@@ -124,7 +130,7 @@ class LanguageModel:
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         n = len(texts)
         lang, score = np.full(n, UND, object), np.zeros(n)
-        spoken = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+        spoken = np.array([spoken_text(t) for t in texts.to_pylist()], bool)
         if not self.families or not spoken.any():
             return lang.tolist(), score
         x = features(texts, self.dims)
@@ -169,7 +175,9 @@ def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_langu
     members = [[x for x in langs if family_of(x) == f] for f in families]
     pairs = [list(combinations(range(len(m)), 2)) for m in members]
     # machine -> (language -> side)
-    machines: list[dict[str, int]] = [{x: 1 if family_of(x) == f else -1 for x in langs} for f in families] if len(families) > 1 else []
+    # the machines of two families are each other's mirror image, so one is fitted
+    told_apart = [] if len(families) == 1 else families[:1] if len(families) == 2 else families
+    machines: list[dict[str, int]] = [{x: 1 if family_of(x) == f else -1 for x in langs} for f in told_apart]
     machines += [{m[a]: 1, m[b]: -1} for m, ps in zip(members, pairs, strict=True) for a, b in ps]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +199,8 @@ def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_langu
         sample = rows.filter(point < F.element_at(share, F.col("lang"))).mapInArrow(sampled, "machine int, doc_id long, side int, x binary")
         found = {r.machine: np.array(r.w) for r in sample.groupBy("machine").applyInPandas(fitted, "machine int, w array<double>").collect()}
     w = [found.get(k, np.zeros(dims + 1)) for k in range(len(machines))]
-    first = len(families) if len(families) > 1 else 0
-    family_w = np.array(w[:first]) if first else np.zeros((1, dims + 1))
+    first = len(told_apart)
+    family_w = np.array(w[:first] if first != 1 else [w[0], -w[0]]) if first else np.zeros((1, dims + 1))
     rest = iter(w[first:])
     return LanguageModel(dims, families, members, family_w, pairs, [np.array([next(rest) for _ in ps]).reshape(len(ps), dims + 1) for ps in pairs])
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.op07_language_id import UND, fit_languages, language_column, predict_languages
+from quern.llm.op07_language_id import UND, features, fit_languages, fit_svm, language_column, predict_languages, spoken_text
 from quern.llm.op10_lm_scoring import END, START, LowOrders, grams, score_documents
 from quern.llm.queries import op7_language_id, op10_lm_scoring
 from quern.session import table
@@ -33,7 +33,7 @@ def test_language_awkward_rows(spark):
     docs = table(spark, SF, "documents").unionByName(awkward(spark).withColumn("doc_id", F.col("doc_id") + 100_000))
     model = fit_languages(docs, F.lit(True))
     rows = predict_languages(with_clashes(awkward(spark)), model).collect()
-    assert sorted(r.lang_pred == UND for r in rows) == sorted(not re.search(r"[^\W\d_]", r[1] or "") for r in AWKWARD)
+    assert sorted(r.lang_pred == UND for r in rows) == sorted(not spoken_text(r[1]) for r in AWKWARD)
     assert all((r.score == 0) == (r.lang_pred == UND) for r in rows)
     column = awkward(spark).select("doc_id", language_column(model, F.col("text")).alias("x")).collect()
     assert sorted(str((r.doc_id, r.x.lang_pred, r.x.score)) for r in column) == sorted(str((r.doc_id, r.lang_pred, r.score)) for r in rows)
@@ -44,6 +44,39 @@ def test_language_awkward_rows(spark):
     assert {r.lang_pred for r in predict_languages(awkward(spark).filter("doc_id = 1"), one).collect()} == {"fr"}
 
 
+def test_votes_and_margins_against_single_machines(spark):
+    """Each machine fitted alone on all rows, each text judged by itself."""
+    docs = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
+    dims, family = 512, {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance"}
+    model = fit_languages(table(spark, SF, "documents"), F.lit(True), dims=dims, per_language=10_000_000)
+    train = [docs[k] for k in sorted(docs) if docs[k].lang is not None]
+    x = features(pa.array([r.text for r in train]), dims).astype(np.float16).astype(np.float32)
+    langs = np.array([r.lang for r in train])
+
+    def machine(plus, minus):
+        rows = np.isin(langs, [*plus, *minus])
+        return fit_svm(x[rows], np.where(np.isin(langs[rows], plus), 1, -1))
+
+    first = machine(("en", "de"), ("fr", "es"))
+    pairs = {"germanic": ("de", "en", machine(("de",), ("en",))), "romance": ("es", "fr", machine(("es",), ("fr",)))}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict_languages(table(spark, SF, "documents"), model).collect()}
+    for k, r in docs.items():
+        if not spoken_text(r.text):
+            assert got[k] == (UND, 0)
+            continue
+        v = np.append(features(pa.array([r.text]), dims)[0], 1)
+        top = v @ first
+        a, b, w = pairs["germanic" if top >= 0 else "romance"]
+        within = v @ w
+        want = (1 / (1 + math.exp(-4 * abs(top)))) / (1 + math.exp(-4 * abs(within)))
+        assert got[k] == (a if within > 0 else b, pytest.approx(want, abs=1e-3)) or min(abs(top), abs(within)) < 1e-3
+        assert family[got[k][0]] in pairs
+
+
+def test_letters():
+    assert [spoken_text(t) for t in ("²", "½ Ⅷ", "12 _", "", None, "1ª", "é", "12 a", "日")] == [False, False, False, False, False, True, True, True, True]
+
+
 def low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
