@@ -4,7 +4,8 @@ A document of n tokens (its ids and one end id) is cut into floor(n / 1024)
 pieces of 1024 and, for the rest, one piece per set bit of its length.  Every
 piece has a length that is a power of two and is a sequence of its own: pieces
 of one length form a bucket whose batches need no padding, and no sequence
-crosses documents.
+crosses documents.  A task deals the pieces of each bucket to batches of
+``batch_tokens`` tokens; only the last batch of a task and bucket holds fewer.
 
 Null text counts as empty (one piece: the end id).  Repeated rows and null ids
 are packed row by row.  An empty table gives an empty result.  Columns other
@@ -19,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,9 +129,10 @@ def pieces(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in reversed(range(longest.bit_length() - 1)) if n % longest >> k & 1]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, sequence_length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, sequence_length: int = 1024, end_id: int = 0, batch_tokens: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian
-    unsigned 32-bit), sequence_id, offset.
+    unsigned 32-bit), sequence_id, offset, bucket (binary logarithm of the length),
+    batch (number of its batch among those of the bucket).
 
     tokenizer_path is the vocabulary file as the executors see it.  The work is
     one pass without a shuffle; sequence_id numbers the pieces by partition.
@@ -139,6 +142,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence_length: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
+        dealt: dict[int, int] = {}
+        base = TaskContext.get().partitionId() << 33
         for part in slices(batches, "text", 3_000_000):
             ids, at = encoder(tokenizer_path).rows(part.column("text"))
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -151,7 +156,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, sequence_length: int =
                     start += length
             for k in range(0, len(out[0]), 5000):
                 columns = [pa.array(c[k : k + 5000], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
-
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
-    return packed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+                lengths = columns[2].to_numpy()
+                batch = np.empty(len(lengths), np.int64)
+                for length in np.unique(lengths).tolist():
+                    own = np.flatnonzero(lengths == length)
+                    first = dealt.get(length, 0)
+                    batch[own] = base + (first + np.arange(len(own))) // max(1, batch_tokens // length)
+                    dealt[length] = first + len(own)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(batch)], ["doc_id", "start", "length", "doc_tokens", "ids", "batch"])
+
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, batch long")
+    return packed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})

@@ -46,7 +46,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op03_packing import pack_documents
 
     packed = pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "batch")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op07_language_id import fit_languages, predict_languages
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(True))
     model = fit_languages(docs, ~held_out)
     return predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -51,6 +51,11 @@ def test_packing_query_against_the_library(spark):
         piece = np.array((ids[r.doc_id] + [0])[r.start : r.start + r.length], "<u4").tobytes()
         assert len(piece) == 4 * r.length and zlib.crc32(piece) == r.ids_crc32
     assert sum(r.length for r in rows) == sum(len(x) + 1 for x in ids.values())
+    batches = defaultdict(list)
+    for r in rows:
+        assert r.length == 1 << r.bucket
+        batches[r.bucket, r.batch].append(r.length)
+    assert all(sum(b) <= 65_536 for b in batches.values())
 
 
 def test_token_counts_against_the_library(spark):
