@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         else:
             # exactly: all documents of the components that still meet in a bucket
-            met = shares.join(mixed.select("key"), "key", "left_semi").select("component").distinct()
+            met = few(stash(shares.join(mixed.select("key"), "key", "left_semi").select("component").distinct(), "met"))
             held = wanted.join(label, F.col("doc_id") == F.col("vertex"), "left").select(F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component"))
             pairs = crossing_pairs(held.join(met, "component", "left_semi").join(sets, "rep"), percent)
         for old in written[::2]:
