@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    is made and remembered in the session.
+    Only on one machine (master local[...]) may the setting be absent; then a
+    temporary folder is made and remembered in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("quern.scratch.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("quern.scratch.dir", found)
     return found.rstrip("/")

@@ -117,6 +117,20 @@ def test_significance_job(spark):
     assert {(r.a, r.b) for r in out} == {("p", "q"), ("p", "r"), ("q", "r")} and all(r.p_corr >= r.p_raw and r.groups == 3 for r in out)
 
 
+def test_scratch_folder(spark):
+    from types import SimpleNamespace
+
+    from quern.session import scratch_dir
+
+    assert scratch_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    held: dict = {}
+    conf = SimpleNamespace(get=lambda k, d=None: held.get(k, d), set=held.__setitem__)
+    plain = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(plain("spark://host:7077"))
+    assert scratch_dir(plain("local[2]")) == scratch_dir(plain("local[2]")) and held
+
+
 def test_two_configurations_are_not_corrected(spark):
     rows = [(c, str(i), float((i * k) % 11)) for i in range(30) for k, c in enumerate("pq", 1)]
     scores = spark.createDataFrame(rows, "config string, id string, value double").withColumn("metric", F.lit("strict"))
