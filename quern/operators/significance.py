@@ -28,14 +28,30 @@ def paired(values: DataFrame, pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.join(x, [*by, "a"]).join(y, [*by, "b", "id"]).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
 
+#: Parts that a family's distinct values are dealt to.
+PARTS = 256
+
+
+def with_sums_below(counts: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """counts (*by, order, value, ...) with ``below``: the sum of value over the
+    family's rows of a smaller order.  Rows are dealt to parts at quantiles, so that
+    no task holds a family, however many distinct values it has."""
+    bounds = counts.groupBy(*by).agg(F.percentile_approx(order, [k / PARTS for k in range(1, PARTS)], 10_000).alias("bounds"))
+    placed = counts.join(bounds, by).withColumn("part", F.size(F.array_distinct(F.filter("bounds", lambda x: x <= F.col(order))))).drop("bounds")
+    parts = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*by, "part").agg(F.sum(value).alias("whole")).withColumn("before", F.coalesce(F.sum("whole").over(parts), F.lit(0))).drop("whole")
+    within = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(before, [*by, "part"]).withColumn("below", F.col("before") + F.col("within")).drop("part", "before", "within")
+
+
 def cliffs_delta(rows: DataFrame, *by: str) -> DataFrame:
     """(*by, x, y) -> *by, delta: (#x>y - #x<y) over all pairs, from counts per value."""
     keys = list(by)
     each = rows.select(*by, F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("nx"), F.lit(0).alias("ny")), F.struct(F.col("y").alias("v"), F.lit(0).alias("nx"), F.lit(1).alias("ny")))).alias("e")).select(*by, "e.*")
     counts = each.groupBy(*by, "v").agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny"))
-    below = F.coalesce(F.sum("ny").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("ny").over(Window.partitionBy(*keys))
-    return counts.select(*by, "nx", "ny", below.alias("lower"), whole.alias("all")).groupBy(*by).agg(F.try_divide(F.sum(F.col("nx") * (F.col("lower") - (F.col("all") - F.col("lower") - F.col("ny")))), F.sum("nx") * F.max("all")).alias("delta"))
+    placed = with_sums_below(counts, keys, "v", "ny").groupBy(*by).agg(F.sum(F.col("nx") * (2 * F.col("below") + F.col("ny"))).alias("over"), F.sum("nx").alias("n"), F.sum("ny").alias("m"))
+    # of the m values of y, those below less those above: below - (m - below - ny)
+    return placed.select(*by, F.try_divide(F.col("over") - F.col("n") * F.col("m"), F.col("n") * F.col("m")).alias("delta"))
 
 
 def wilcoxon(rows: DataFrame, *by: str) -> DataFrame:
@@ -43,9 +59,8 @@ def wilcoxon(rows: DataFrame, *by: str) -> DataFrame:
     and split evenly, normal approximation with tie correction at any n."""
     d = F.col("x") - F.col("y")
     counts = rows.groupBy(*by, F.abs(d).alias("size")).agg(F.count_if(d > 0).alias("plus"), F.count_if(d < 0).alias("minus"), F.count_if(d == 0).alias("zero"))
-    t = F.col("plus") + F.col("minus") + F.col("zero")
-    before = F.coalesce(F.sum(t).over(Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select(*by, "plus", "minus", "zero", t.alias("t"), (before + (t + 1) / 2.0).alias("rank"))
+    counts = with_sums_below(counts.withColumn("t", F.col("plus") + F.col("minus") + F.col("zero")), list(by), "size", "t")
+    ranked = counts.select(*by, "plus", "minus", "zero", "t", (F.col("below") + (F.col("t") + 1) / 2.0).alias("rank"))
     whole = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * (F.col("plus") + F.col("zero") / 2.0)).alias("up"), F.sum(F.col("rank") * (F.col("minus") + F.col("zero") / 2.0)).alias("down"), F.sum(F.pow(F.col("t").cast("double"), 3.0) - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     variance = (n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24

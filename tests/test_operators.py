@@ -97,6 +97,15 @@ def test_wilcoxon_and_delta(spark):
     assert significance.cliffs_delta(pairs(spark, x, y), "g").first().delta == pytest.approx(np.sign(x[:, None] - y[None]).mean())
 
 
+def test_many_distinct_values(spark):
+    rnd = np.random.default_rng(6)
+    x, y = rnd.standard_normal(1500), rnd.standard_normal(1500) + 0.1
+    assert significance.cliffs_delta(pairs(spark, x, y), "g").first().delta == pytest.approx(np.sign(x[:, None] - y[None]).mean())
+    ranks = np.abs(x - y).argsort().argsort() + 1
+    w = significance.wilcoxon(pairs(spark, x, y), "g").first()
+    assert w.statistic == min(ranks[x > y].sum(), ranks[x < y].sum())
+
+
 def test_friedman(spark):
     rows = [(str(i), c, float(v)) for i, r in enumerate([(1, 2, 3), (1, 2, 3), (1, 3, 2), (2, 2, 3)]) for c, v in zip("abc", r, strict=True)] + [("lone", "a", 1.0)]
     f = significance.friedman(spark.createDataFrame(rows, "id string, config string, value double").withColumn("m", F.lit(1)), "m").first()
