@@ -118,7 +118,7 @@ def _leaked(texts: DataFrame, parts: DataFrame, size: int, threshold: float, rad
     held = ["item", "x", "head"]
     alike = stash(_alike(laid.dropDuplicates(held).select(*held, "stretch"), items, threshold, radius), "alike")
     unstash(seeds, items)
-    return laid.select("doc_id", "text_key", *held, "low").join(few(alike), held).join(few(named), "item").select("doc_id", "text_key", "item_id", (F.col("low") + F.col("start")).alias("start"), "n_words", "similarity")
+    return laid.select("doc_id", "text_key", *held, "low").join(few(alike, 200_000), held).join(few(named), "item").select("doc_id", "text_key", "item_id", (F.col("low") + F.col("start")).alias("start"), "n_words", "similarity")
 
 
 def _alike(stretches: DataFrame, items: DataFrame, threshold: float, radius: int) -> DataFrame:
