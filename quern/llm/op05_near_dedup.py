@@ -163,18 +163,28 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of different components of sets (rep, component,
-    shingles) that can reach the similarity, and few others."""
+    shingles) that can reach the similarity, and few others.
+
+    A shingle is *early* in a set if, with it as the first common one, a set of
+    the same size could still be reached.  Of two sets that reach the similarity
+    at least the smaller one has their first common shingle early, so sets which
+    have a shingle late are never joined with each other: pages over one template
+    whose own parts are too large give no pairs, however many there are."""
     each = sets.select("rep", F.xxhash64("shingles").alias("own"), "component", "shingles").mapInArrow(unpacked, "rep long, own long, component long, n long, s long")
     common = each.groupBy("s").agg(F.count("*").alias("df"))
     order = Window.partitionBy("rep", "own").orderBy("df", "s")
     ranked = each.join(common, "s").withColumn("place", F.row_number().over(order))
-    first = stash(ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).select("s", "rep", "component", "n", "place"), "first")
+    left = 1 + F.col("n") - F.col("place")
+    first = ranked.filter(100 * left >= percent * F.col("n")).select("s", "rep", "component", "n", "place", ((100 + percent) * left >= 2 * percent * F.col("n")).alias("early"))
+    first = stash(first, "first")
     mixed = first.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
-    x = first.join(mixed, "s", "left_semi")
-    y = x.select("s", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    met = first.join(mixed, "s", "left_semi")
+    x = met.filter("early").drop("early")
+    y = met.select("s", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"), "early")
     reach = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
     # intersection * 100 >= percent * (n + nb - intersection)
-    return x.join(y, "s").filter((F.col("component") < F.col("cb")) & ((100 + percent) * reach >= percent * (F.col("n") + F.col("nb")))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    apart = (F.col("component") < F.col("cb")) | ~F.col("early") & (F.col("component") > F.col("cb"))
+    return x.join(y, "s").filter(apart & ((100 + percent) * reach >= percent * (F.col("n") + F.col("nb")))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

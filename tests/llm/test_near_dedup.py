@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quern.llm.op05_near_dedup import BANDS, ROWS, components, deduplicated, near_duplicates, shingle_sets, signature
+from quern.llm.op05_near_dedup import BANDS, ROWS, components, crossing_pairs, deduplicated, near_duplicates, shingle_sets, signature
 from quern.llm.queries import op5_near_dedup
 from quern.session import table
 
@@ -112,3 +112,22 @@ def test_signature_estimates_similarity():
     assert abs((a == b).mean() - 900 / 1500) < 0.12
     sets = shingle_sets(pa.array(["A b c d E", "a  B c\td e", None]), 4)
     assert np.array_equal(sets[0], sets[1]) and len(sets[0]) == 2 and len(sets[2]) == 0
+
+
+def test_crossing_pairs_against_all_pairs(spark):
+    rnd = random.Random(8)
+    template = list(range(1000, 1100))
+    sets = []
+    for k in range(60):
+        kept = rnd.sample(template, rnd.randrange(70, 101))
+        sets.append(set(kept) | {10_000 * (k + 1) + j for j in range(rnd.randrange(0, 40))})
+    sets += [set(range(50 * k, 50 * k + rnd.randrange(1, 12))) for k in range(10)] + [{7}, {7}, set(template), set(template[:80])]
+    rows = [(k, k, np.array(sorted(s), np.uint64).tobytes()) for k, s in enumerate(sets)]
+    got = {(r.a, r.b) for r in crossing_pairs(spark.createDataFrame(rows, "rep long, component long, shingles binary"), 80).collect()}
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert near <= got and len(near) > 20
+
+
+def test_a_template_with_large_own_parts_gives_no_pairs(spark):
+    rows = [(k, k, np.array(sorted([*range(1000, 1085), *range(10_000 * (k + 1), 10_000 * (k + 1) + 15)]), np.uint64).tobytes()) for k in range(200)]
+    assert crossing_pairs(spark.createDataFrame(rows, "rep long, component long, shingles binary"), 80).count() == 0
