@@ -20,6 +20,8 @@ Without outcomes no host is blocked.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +46,14 @@ def name_of(host: Column) -> Column:
     return F.regexp_replace(host, r"^[^@]*@|:[0-9]*$", "")
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, two_labels: Sequence[str] = TWO_LABELS) -> Column:
     two = F.substring_index(name_of(host), ".", -2)
-    return F.when(two.isin(TWO_LABELS), two).otherwise(F.substring_index(two, ".", -1))
+    return F.when(two.isin(*two_labels), two).otherwise(F.substring_index(two, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, two_labels: Sequence[str] = TWO_LABELS) -> Column:
     two = F.substring_index(name_of(host), ".", -2)
-    return F.when(two.isin(TWO_LABELS), F.substring_index(name_of(host), ".", -3)).otherwise(two)
+    return F.when(two.isin(*two_labels), F.substring_index(name_of(host), ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -82,11 +84,11 @@ def shrunk(counts: DataFrame, weight: float) -> DataFrame:
     return counts.withColumn("mean", (F.col("bad") + weight * F.col("p")) / (F.col("n") + weight))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, url_col: str = "url", bad_col: str = "bad") -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, url_col: str = "url", bad_col: str = "bad", two_labels: Sequence[str] = TWO_LABELS) -> DataFrame:
     """host, n (outcomes), mean and deviation of the posterior bad share, for
     every row of hosts (host, distinct)."""
     labelled = outcomes.filter(F.col(bad_col).isNotNull()).select(host_of(F.col(url_col)).alias("host"), F.col(bad_col).cast("long").alias("bad")).filter("host <> ''")
-    by_host = stash(labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "outcomes")
+    by_host = stash(labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).select("*", domain_of(F.col("host"), two_labels).alias("domain"), suffix_of(F.col("host"), two_labels).alias("suffix")), "outcomes")
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = by_host.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = by_host.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
@@ -100,7 +102,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, url_col: str = "url",
     weight = prior_weight(counted)
     own = by_host.select("host", "n", "bad")
     return (
-        hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+        hosts.select("host", domain_of(F.col("host"), two_labels).alias("domain"), suffix_of(F.col("host"), two_labels).alias("suffix"))
         .join(own, "host", "left")
         .join(domains, "domain", "left")
         .join(suffixes, "suffix", "left")
@@ -110,14 +112,17 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, url_col: str = "url",
     )
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = 0.5, z: float = 1.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per row of pages: page_id, host, path, rule, verdict."""
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = 0.5, z: float = 1.0, id_col: str = "page_id", url_col: str = "url", two_labels: Sequence[str] = TWO_LABELS) -> DataFrame:
+    """One row per row of pages: page_id, host, path, rule, verdict.
+
+    two_labels: suffixes of two labels under which names are registered; the ones
+    here are common, a full list is the caller's."""
     url = F.col(url_col).cast("string")
     parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumns({"rule": rule, "said": said})
     hosts = parsed.filter("said is null and host <> ''").select("host").distinct()
-    blocked = stash(host_reputation(outcomes, hosts, url_col).filter(F.col("mean") - z * F.col("deviation") > threshold).select("host", F.lit(True).alias("bad")), "blocked")
+    blocked = stash(host_reputation(outcomes, hosts, url_col, two_labels=two_labels).filter(F.col("mean") - z * F.col("deviation") > threshold).select("host", F.lit(True).alias("bad")), "blocked")
     return parsed.join(few(blocked), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 

@@ -150,6 +150,8 @@ def test_hosts_rules_and_reputation(spark):
 def test_names(spark):
     df = spark.createDataFrame([("http://u:p@a.b.co.uk:8080/x",), ("https://localhost/",), ("https://x.y.example.com",)], "url string")
     got = df.select(host_of(F.col("url")).alias("h")).select("h", domain_of(F.col("h")), suffix_of(F.col("h"))).collect()
+    own = df.select(domain_of(host_of(F.col("url")), ["example.com"]), suffix_of(host_of(F.col("url")), ["example.com"])).collect()
+    assert tuple(own[2]) == ("y.example.com", "example.com") and tuple(own[0]) == ("co.uk", "uk")
     assert [tuple(r) for r in got] == [("u:p@a.b.co.uk:8080", "b.co.uk", "co.uk"), ("localhost", "localhost", "localhost"), ("x.y.example.com", "example.com", "com")]
 
 
