@@ -49,6 +49,13 @@ def pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that come straight from a table of a few small files, dealt to all cores;
+    tables of more files stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def filled(template: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{p}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
 

@@ -94,7 +94,7 @@ def sliced(methods: DataFrame, hops: int | Sequence[int] = 1, dedup: str = "stri
         return F.filter("names", lambda n: F.regexp_like(e.bare, AROUND[kind](n)))
 
     def trigger(e: Column, i: Column) -> Column:
-        kind = F.when((i > F.col("header")) & (F.size("names") > 0), risk(e, i))
+        kind = F.get("risks", i)
         # a throw below its condition stands for the names of the condition
         own = F.array_intersect(e.words, "names")
         held = F.when(F.size(own) > 0, own).otherwise(F.array_intersect(F.get("each", i - 1).words, "names"))
@@ -102,7 +102,9 @@ def sliced(methods: DataFrame, hops: int | Sequence[int] = 1, dedup: str = "stri
             held = F.when(kind == name, near(e, name)).otherwise(held)
         return F.struct(i.alias("line"), kind.alias("risk"), F.transform(F.coalesce(held, no_texts), lambda n: F.concat_ws(":", n, kind)).alias("pairs"), F.trim(e.text).alias("text"))
 
-    df = df.withColumn("triggers", F.filter(F.transform("each", trigger), lambda t: t.risk.isNotNull()))
+    # in two steps, so that risks and pairs are worked out once
+    df = df.withColumn("risks", F.transform("each", lambda e, i: F.when((i > F.col("header")) & (F.size("names") > 0), risk(e, i))))
+    df = df.withColumn("triggers", F.filter(F.transform("each", lambda e, i: F.when(F.get("risks", i).isNotNull(), trigger(e, i))), lambda t: t.isNotNull()))
     lines = F.transform("triggers", lambda t: t.line)
     if dedup == "strict":
         start = F.struct(no_texts.alias("covered"), F.array().cast("array<int>").alias("lines"))

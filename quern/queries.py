@@ -308,11 +308,11 @@ _SLICES = " UNION ALL ".join(
 def slice_methods(spark, sf):
     """Slices at three depths; every 23rd method has no code."""
     code = F.when(F.col("id").cast("long") % 23 != 0, F.col("code_formatted"))
-    return slices.sliced(carriers.methods(spark, sf).select("id", code.alias("code")), (0, 1, 2))
+    return slices.sliced(carriers.spread(carriers.methods(spark, sf).select("id", code.alias("code"))), (0, 1, 2))
 
 
 def _slices(spark, sf):
-    return slices.sliced(carriers.methods(spark, sf).select("id", F.col("code_formatted").alias("code")), 1)
+    return slices.sliced(carriers.spread(carriers.methods(spark, sf).select("id", F.col("code_formatted").alias("code"))), 1)
 
 
 @query(f"SELECT p_partkey::VARCHAR AS id, 'Extract the constraints.\n\n' || 'Code Slice:\n' || {_SLICE(1)} || '\n' AS prompt FROM part")
