@@ -235,17 +235,18 @@ def merged(dims: int, pool: int, step: int):
     def run(key: tuple, state: pa.Table, found: pa.Table) -> pa.Table:
         if not state.num_rows:
             return ARROW_STATE.empty_table()
-        row = state.slice(0, 1).to_pylist()[0]
-        ids, seen, x = np.array(row["ids"], np.int64), np.array(row["seen"], np.int64), np.array(row["x"])
+        state = state.slice(0, 1).combine_chunks()
+        of = lambda c: state.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        ids, ds, done, seen, x, worst = of("ids"), of("ds"), of("done"), of("seen"), of("x"), state.column("worst")[0].as_py()
         new, d = np.zeros(0, np.int64), np.zeros(0, np.float32)
         if found.num_rows:
             new = found.column("node").to_numpy()
             norm, y = decode(unblob(found.column("code").combine_chunks(), width(dims)))
             d = np.sqrt(np.maximum(x @ x + norm - 2 * y @ x, 0)).astype(np.float32)
             seen = np.append(seen, new)
-            near = d <= row["worst"]
+            near = d <= worst
             new, d = new[near], d[near]
-        out = state_row(row["q"], x, np.append(ids, new), np.append(np.array(row["ds"], np.float32), d), np.append(np.array(row["done"], bool), np.zeros(len(new), bool)), seen, pool, step)
+        out = state_row(state.column("q")[0].as_py(), x, np.append(ids, new), np.append(ds, d), np.append(done, np.zeros(len(new), bool)), seen, pool, step)
         return pa.table(out, schema=ARROW_STATE)
 
     return run
