@@ -32,6 +32,8 @@ NOT_ALNUM = byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 #: A-Z to a-z, all else as it is
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+#: all as it is
+SAME = np.arange(256, dtype=np.uint8)
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +64,41 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
         pa.default_memory_pool().release_unused()
 
 
+def parts(texts: pa.Array, separators: np.ndarray, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, pa.LargeStringArray]]:
+    """The texts in bounded parts: (number of the part's first row, texts).
+
+    Only a text of more than max_bytes is cut, before a separator, so no word is;
+    its parts follow each other and have one row each.  A null is empty.
+    """
+    data, at = raw(texts)
+    text = lambda bounds: pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.asarray(bounds, np.int64) - bounds[0]), pa.py_buffer(data[bounds[0] : bounds[-1]]))
+    first = 0
+    while first < len(at) - 1:
+        last = int(np.searchsorted(at, at[first] + max_bytes, side="right")) - 1
+        if last > first:
+            yield first, text(at[first : last + 1])
+            first = last
+            continue
+        begin, end = int(at[first]), int(at[first + 1])
+        while begin < end:
+            cut = begin + max_bytes
+            while cut < end and not separators[data[cut]]:
+                ahead = np.flatnonzero(separators[data[cut : min(cut + 4096, end)]])
+                cut = cut + int(ahead[0]) if len(ahead) else cut + 4096
+            cut = min(cut, end)
+            yield first, text([begin, cut])
+            begin = cut
+        first += 1
+
+
 def counted(flags: np.ndarray) -> np.ndarray:
     """How many flags are set up to each place."""
     return np.cumsum(flags, dtype=np.int32 if len(flags) < 1 << 31 else np.int64)
 
 
-def split_words(texts: pa.Array, separators: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
-    """Lower-cased words of all rows in order, and the offsets of each row's words."""
+def split_words(texts: pa.Array, separators: np.ndarray, cases: np.ndarray = LOWER) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Lower-cased words of all rows in order, and the offsets of each row's words.
+    cases: what becomes of each byte."""
     data, at = raw(texts)
     word = ~separators[data]
     start = word.copy()
@@ -76,7 +106,7 @@ def split_words(texts: pa.Array, separators: np.ndarray) -> tuple[pa.LargeString
     rows = at[:-1][at[1:] > at[:-1]]
     start[rows] = word[rows]
     begins = np.flatnonzero(start)
-    kept = LOWER[data[word]]
+    kept = cases[data[word]]
     offsets = np.append(counted(word)[begins] - 1, len(kept)).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(kept))
     return words, np.searchsorted(begins, at)
