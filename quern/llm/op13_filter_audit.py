@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import BLANKS, SAME, coded, parts, row_of, split_words
+from quern.llm.words import BLANKS, SAME, coded, counted, parts, row_of, split_words
 from quern.session import stash
 
 FILTERS = "ABCDE"
@@ -54,8 +54,8 @@ def text_masks(texts: pa.Array, least_words: int, distinct_percent: int, capital
         at = np.frombuffer(some.buffers()[1], np.int64)
         rows = slice(first, first + len(some))
         for out, flags in ((capitals, UPPER[data]), (points, (data & 0xC0) != 0x80), (marks, MARKED[data])):
-            upto = np.append(0, np.cumsum(flags))
-            out[rows] += upto[at[1:]] - upto[at[:-1]]
+            upto = counted(flags)
+            out[rows] += np.diff(np.where(at > 0, upto[at - 1] if len(upto) else 0, 0))
         found, offsets = split_words(some, BLANKS, SAME)
         words[rows] += np.diff(offsets)
         codes, names = coded(found)
@@ -64,7 +64,8 @@ def text_masks(texts: pa.Array, least_words: int, distinct_percent: int, capital
             seen = names if first != long_row else pc.unique(pa.concat_arrays([seen, names]))
             long_row, distinct[first] = first, len(seen)
         elif len(codes):
-            distinct[rows] += np.bincount(np.unique(row_of(offsets) * len(names) + codes) // len(names), minlength=len(some))
+            keys = np.sort(row_of(offsets) * len(names) + codes)
+            distinct[rows] += np.bincount(keys[np.append(True, keys[1:] != keys[:-1])] // len(names), minlength=len(some))
     return SHORT * (words < least_words) + REPEATED * (100 * distinct < distinct_percent * words) + CAPITALS * (100 * capitals > capital_percent * points) + SIGNS * (marks > 0)
 
 
@@ -94,9 +95,9 @@ def folded(cell: Column, orders: Column) -> Column:
     def step(state: Column, f: Column) -> Column:
         fails, before = cell.mask.bitwiseAND(f) != 0, cell.mask.bitwiseAND(state.seen) != 0
         lost = fails & ~before
-        share = lambda test: F.when(test, cell.n).otherwise(F.lit(0).cast("long"))
-        told = [~fails & ~before, lost, fails & before, cell.mask == f, lost & cell.good, lost & cell.bad]
-        entry = F.struct(*(share(test).alias(c) for test, c in zip(told, COUNTS, strict=True)))
+        share = lambda test, of: F.when(test, cell[of]).otherwise(F.lit(0).cast("long"))
+        told = [(~fails & ~before, "n"), (lost, "n"), (fails & before, "n"), (cell.mask == f, "n"), (lost, "good"), (lost, "bad")]
+        entry = F.struct(*(share(*t).alias(c) for t, c in zip(told, COUNTS, strict=True)))
         return F.struct(state.seen.bitwiseOR(f).alias("seen"), F.concat(state.steps, F.array(entry)).alias("steps"))
 
     start = F.struct(F.lit(0).alias("seen"), F.array().cast(f"array<{ENTRY}>").alias("steps"))
@@ -111,19 +112,20 @@ def audited(masks: DataFrame, labels: DataFrame, filters: str = FILTERS) -> Data
     part, order of the filters and step, with counts and the sum of what the step's
     filter removes over all orders."""
     told = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").eqNullSafe(1)).alias("good"), F.max(F.col("toxic").eqNullSafe(1)).alias("bad"))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    cells = masks.join(told, "doc_id", "left").groupBy("part", "mask", flag("good"), flag("bad")).agg(F.sum("n").alias("n"))
-    by_part = cells.groupBy("part").agg(F.collect_list(F.struct("mask", "good", "bad", "n")).alias("cells"))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0)).alias(c)
+    cells = masks.join(told, "doc_id", "left").groupBy("part", "mask").agg(F.sum("n").alias("n"), of("good"), of("bad"))
+    by_part = cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "bad")).alias("cells"))
 
     names = list(permutations(filters))
     bit = {f: 1 << k for k, f in enumerate(filters)}
-    orders = F.array(*(F.array(*(F.lit(bit[f]) for f in o)) for o in names))
-    steps = F.array(*(F.struct(F.lit("".join(o)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(f).alias("filter")) for o in names for k, f in enumerate(o)))
+    orders = F.expr(f"array({', '.join(f'array({', '.join(str(bit[f]) for f in o)})' for o in names)})")
+    told_orders = F.split(F.lit(",".join(map("".join, names))), ",")
     zero = F.array_repeat(F.struct(*(F.lit(0).cast("long").alias(c) for c in COUNTS)), len(names) * len(filters))
     summed = lambda a, b: F.struct(*((a[c] + b[c]).alias(c) for c in COUNTS))
     merged = by_part.select("part", F.aggregate("cells", zero, lambda all_, cell: F.zip_with(all_, folded(cell, orders), summed)).alias("merged"))
-    rows = merged.select("part", F.posexplode("merged").alias("at", "c")).select("part", F.get(steps, F.col("at")).alias("s"), "c")
-    rows = rows.select("part", "s.*", "c.*")
+    rows = merged.select("part", F.posexplode("merged").alias("at", "c"))
+    rows = rows.select("part", F.get(told_orders, F.expr(f"at div {len(filters)}").cast("int")).alias("filter_order"), (F.col("at") % len(filters) + 1).alias("step"), "c.*")
+    rows = rows.withColumn("filter", F.expr("substring(filter_order, step, 1)"))
     shares = rows.groupBy("part", "filter").agg(F.sum("removed").alias("shapley"))
     return rows.join(shares, ["part", "filter"]).select("part", "filter_order", "step", "filter", *COUNTS, "shapley")
 
