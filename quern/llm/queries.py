@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.op02_decontamination import ORACLE_SQL as LEAKS_SQL
 from quern.llm.op04_url_reputation import ORACLE_SQL as URL_SQL
+from quern.llm.op11_importance import ORACLE_SQL as RESAMPLING_SQL
 from quern.llm.op13_filter_audit import ORACLE_SQL as AUDIT_SQL
 from quern.session import table
 
@@ -107,6 +108,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op11_importance import importance_sampled
+
+    sampled = importance_sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10)
+    return sampled.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op13_filter_audit import filter_audit
 
@@ -130,8 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_importance": op11_importance,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {"op2_decontamination": LEAKS_SQL, "op4_url_reputation": URL_SQL, "op13_filter_audit": AUDIT_SQL}
+ORACLE: dict[str, str] = {"op2_decontamination": LEAKS_SQL, "op4_url_reputation": URL_SQL, "op11_importance": RESAMPLING_SQL, "op13_filter_audit": AUDIT_SQL}
