@@ -27,11 +27,10 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import BLANKS, SAME, coded, counted, parts, row_of, split_words
+from quern.llm.words import BLANKS, Tally, counted, parts, raw
 from quern.session import stash
 
 FILTERS = "ABCDE"
@@ -46,26 +45,15 @@ MARKED[[ord(c) for c in "#$%&*|"]] = True
 
 def text_masks(texts: pa.Array, least_words: int, distinct_percent: int, capital_percent: int) -> np.ndarray:
     """Mask of the filters that look at the text alone, per row."""
-    n = len(texts)
-    words, distinct, capitals, points, marks = (np.zeros(n, np.int64) for _ in range(5))
-    long_row, seen = -1, None
+    n, tally = len(texts), Tally(len(texts))
+    capitals, points, marks = (np.zeros(n, np.int64) for _ in range(3))
     for first, some in parts(texts, BLANKS):
-        data = np.frombuffer(some.buffers()[2], np.uint8) if some.buffers()[2] is not None else np.zeros(0, np.uint8)
-        at = np.frombuffer(some.buffers()[1], np.int64)
-        rows = slice(first, first + len(some))
+        data, at = raw(some)
         for out, flags in ((capitals, UPPER[data]), (points, (data & 0xC0) != 0x80), (marks, MARKED[data])):
             upto = counted(flags)
-            out[rows] += np.diff(np.where(at > 0, upto[at - 1] if len(upto) else 0, 0))
-        found, offsets = split_words(some, BLANKS, SAME)
-        words[rows] += np.diff(offsets)
-        codes, names = coded(found)
-        if len(some) == 1:
-            # perhaps a part of a long text: words of its other parts count once
-            seen = names if first != long_row else pc.unique(pa.concat_arrays([seen, names]))
-            long_row, distinct[first] = first, len(seen)
-        elif len(codes):
-            keys = np.sort(row_of(offsets) * len(names) + codes)
-            distinct[rows] += np.bincount(keys[np.append(True, keys[1:] != keys[:-1])] // len(names), minlength=len(some))
+            out[first : first + len(some)] += np.diff(np.where(at > 0, upto[at - 1] if len(upto) else 0, 0))
+        tally.add(first, some, BLANKS)
+    words, distinct = tally.words, tally.distinct
     return SHORT * (words < least_words) + REPEATED * (100 * distinct < distinct_percent * words) + CAPITALS * (100 * capitals > capital_percent * points) + SIGNS * (marks > 0)
 
 

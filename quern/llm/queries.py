@@ -115,6 +115,14 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op12_quality import learn_quality, quality_scores
+
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(True))
+    model = learn_quality(docs, table(spark, sf_dir, "labels"), ~held_out, cut=0.3)
+    return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op13_filter_audit import filter_audit
 
@@ -139,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_importance": op11_importance,
+    "op12_quality": op12_quality,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }

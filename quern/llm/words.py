@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Rows and bytes of text that are worked on at once; bounds a worker's memory.
 SLICE_ROWS, SLICE_BYTES = 16_384, 8_000_000
@@ -64,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
         pa.default_memory_pool().release_unused()
 
 
-def parts(texts: pa.Array, separators: np.ndarray, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, pa.LargeStringArray]]:
+def parts(texts: pa.Array, separators: np.ndarray, max_bytes: int = SLICE_BYTES, max_rows: int = SLICE_ROWS) -> Iterator[tuple[int, pa.LargeStringArray]]:
     """The texts in bounded parts: (number of the part's first row, texts).
 
     Only a text of more than max_bytes is cut, before a separator, so no word is;
@@ -76,6 +77,7 @@ def parts(texts: pa.Array, separators: np.ndarray, max_bytes: int = SLICE_BYTES)
     while first < len(at) - 1:
         last = int(np.searchsorted(at, at[first] + max_bytes, side="right")) - 1
         if last > first:
+            last = min(last, first + max_rows)
             yield first, text(at[first : last + 1])
             first = last
             continue
@@ -118,6 +120,33 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary
 
 
+class Tally:
+    """Words, distinct words and words that repeat the one before, by row of texts that come in parts."""
+
+    def __init__(self, rows: int):
+        self.words, self.distinct, self.repeated = (np.zeros(rows, np.int64) for _ in range(3))
+        self.row, self.seen, self.last = -1, None, None
+
+    def add(self, first: int, texts: pa.Array, separators: np.ndarray) -> None:
+        found, offsets = split_words(texts, separators, SAME)
+        codes, names = coded(found)
+        rows = slice(first, first + len(texts))
+        row = row_of(offsets)
+        self.words[rows] += np.diff(offsets)
+        again = np.flatnonzero((codes[1:] == codes[:-1]) & (row[1:] == row[:-1]))
+        self.repeated[rows] += np.bincount(row[again], minlength=len(texts))
+        if len(texts) == 1:
+            # perhaps a part of a long text: words of its other parts count once
+            goes_on = first == self.row
+            self.repeated[first] += bool(goes_on and len(found) and self.last == found[0])
+            self.seen = pc.unique(pa.concat_arrays([self.seen, names])) if goes_on else names
+            self.last = found[-1] if len(found) else self.last if goes_on else None
+            self.row, self.distinct[first] = first, len(self.seen)
+        elif len(codes):
+            keys = np.sort(row * len(names) + codes)
+            self.distinct[rows] += np.bincount(keys[np.append(True, keys[1:] != keys[:-1])] // len(names), minlength=len(texts))
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """The row of each word, from the rows' word offsets."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
