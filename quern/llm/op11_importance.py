@@ -77,11 +77,11 @@ class Features:
         for m in range(1, self.orders[-1] + 1):
             if m > 1:
                 # a run is the run before and the word after it, if both are of one row
-                inside = rows[m - 1 :] == rows[: len(rows) - m + 1]
+                inside = rows[m - 1 :] == rows[: max(len(rows) - m + 1, 0)]
                 pair = np.where(inside, run[: len(inside)] * len(names) + codes[m - 1 :], -1)
                 distinct, number = np.unique(pair, return_inverse=True)
                 skip = int(len(distinct) and distinct[0] < 0)
-                texts_of_run = pc.binary_join_element_wise(texts_of_run.take(pa.array(distinct[skip:] // len(names))), names.take(pa.array(distinct[skip:] % len(names))), " ")
+                texts_of_run = pc.binary_join_element_wise(texts_of_run.take(pa.array(distinct[skip:] // len(names))), names.take(pa.array(distinct[skip:] % len(names))), pa.scalar(" ", names.type))
                 run = number - skip
             if m in self.orders:
                 hashed = np.fromiter((zlib.crc32(t.encode()) % self.buckets for t in texts_of_run.to_pylist()), np.int64, len(texts_of_run))
