@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import numbered
+from quern.session import few, stash
+
 #: Queries that are sent to all tasks at once; more take several passes over the items.
 QUERIES = 16_384
 #: Queries and items whose cosines are in a task's memory at once.
@@ -87,22 +90,40 @@ def similar_items(queries: DataFrame, items: DataFrame, k: int, threshold: float
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("cos", F.round("cos", 4))
 
 
-def random_items(items: DataFrame, k: int, draws: int, per_bucket: int, seed: int = 42) -> DataFrame:
-    """(id, project) -> id, example_id, rank: k random items of other projects.
+def random_items(queries: DataFrame, items: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(id, project) each -> id, example_id, rank: for every query min(k, eligible)
+    random items of other projects, each such set as likely as any other, in random
+    order.  Repeated rows count as one; a null project is a project of its own.
 
-    Items lie in buckets of per_bucket items (expected) by a hash of the id; every
-    item draws some buckets by a hash of seed, id and number of the draw, and of
-    what it finds there takes the k first by a hash of the pair.  So an item meets
-    draws * per_bucket others, however many items there are.  Deterministic,
-    without a shared generator, and joined on buckets only.
+    Items take positions in the order of project and a hash of seed and id, so a
+    project is one stretch of a random permutation.  Of the M positions outside its
+    own project's stretch a query draws k different ones (for j from M - k to M - 1 a
+    number up to j, or j itself if that was drawn before, by a hash of seed, id and j)
+    and meets the items there by a join on the position.  Positions come from range
+    parts and their sizes, so neither a project nor the whole order is one task, and
+    k rows a query are joined, however many items there are.
     """
-    buckets = max(1, -(-items.count() // per_bucket))
-    number = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", *c)), 1, 8), 16, 10).cast("long")
-    place = lambda *c: F.pmod(number(*c), F.lit(buckets))
-    held = items.select(F.col("id").alias("example_id"), F.col("project").alias("other"), place(F.col("id").cast("string")).alias("bucket"))
-    asked = items.select("id", "project", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("t")).select("id", "project", place(F.lit(str(seed)), F.col("id").cast("string"), F.col("t").cast("string")).alias("bucket")).distinct()
-    order = Window.partitionBy("id").orderBy(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("example_id").cast("string"))), "example_id")
-    return asked.join(held, "bucket").filter("project <> other").select("id", "example_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    number = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", *c)), 1, 15), 16, 10).cast("long")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), text("id")))
+    placed = stash(numbered(items.select("id", "project").distinct().withColumn("lot", lot), [], ["project", "lot", "id"], "place").drop("lot"), "places")
+    stretches = few(placed.groupBy("project").agg(F.min("place").alias("start"), F.count("*").alias("own")).withColumnRenamed("project", "of"))
+    n = placed.count()
+    asked = queries.select("id", "project").distinct().join(stretches, F.col("project").eqNullSafe(F.col("of")), "left")
+    asked = asked.select("id", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("own", F.lit(0)).alias("own")).withColumn("others", n - F.col("own"))
+    least = F.least(F.lit(k), F.col("others"))
+
+    def draw(drawn: Column, j: Column) -> Column:
+        x = F.pmod(number(F.lit(str(seed)), text("id"), j.cast("string")), j + 1)
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, x), j).otherwise(x)))
+
+    none = F.array().cast("array<bigint>")
+    drawn = F.when(least > 0, F.aggregate(F.sequence(F.col("others") - least, F.col("others") - 1), none, draw)).otherwise(none)
+    lots = F.transform(drawn, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(f"{seed}"), text("id"), x.cast("string"), F.lit("order"))).alias("lot"), x.alias("x")))
+    each = asked.select("id", "start", "own", F.posexplode(F.array_sort(lots)).alias("rank", "drawn"))
+    x = F.col("drawn.x")
+    each = each.select("id", (F.col("rank") + 1).alias("rank"), F.when(x < F.col("start"), x).otherwise(x + F.col("own")).alias("place"))
+    return each.join(placed.select("place", F.col("id").alias("example_id")), "place").select("id", "example_id", "rank")
 
 
 def example_lists(found: DataFrame, k: int) -> DataFrame:

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.ordering import bare, ordered, running
+from quern.session import few
+
 
 def pair_grid(configs: DataFrame, by: str, name: str = "config") -> DataFrame:
     """Every two configurations of a group, each once."""
@@ -28,20 +31,11 @@ def paired(values: DataFrame, pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.join(x, [*by, "a"]).join(y, [*by, "b", "id"]).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
 
-#: Parts that a family's distinct values are dealt to.
-PARTS = 256
-
-
 def with_sums_below(counts: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """counts (*by, order, value, ...) with ``below``: the sum of value over the
-    family's rows of a smaller order.  Rows are dealt to parts at quantiles, so that
-    no task holds a family, however many distinct values it has."""
-    bounds = counts.groupBy(*by).agg(F.percentile_approx(order, [k / PARTS for k in range(1, PARTS)], 10_000).alias("bounds"))
-    placed = counts.join(bounds, by).withColumn("part", F.size(F.array_distinct(F.filter("bounds", lambda x: x <= F.col(order))))).drop("bounds")
-    parts = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy(*by, "part").agg(F.sum(value).alias("whole")).withColumn("before", F.coalesce(F.sum("whole").over(parts), F.lit(0))).drop("whole")
-    within = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(before, [*by, "part"]).withColumn("below", F.col("before") + F.col("within")).drop("part", "before", "within")
+    family's rows of a smaller order.  No task holds a family, however many distinct
+    values it has."""
+    return bare(running(ordered(counts, by, [order]), by, below=("sum", value)))
 
 
 def cliffs_delta(rows: DataFrame, *by: str) -> DataFrame:
@@ -84,16 +78,23 @@ def friedman(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def corrected(tests: DataFrame, p: str, *by: str, method: str = "holm") -> DataFrame:
-    """tests with p_corr within each family by; method: holm or bh."""
-    m, order = F.count(p).over(Window.partitionBy(*by)), Window.partitionBy(*by).orderBy(p)
-    ranked = tests.withColumns({"quern_m": m, "quern_i": F.row_number().over(order)})
-    if method == "holm":
-        ranked = ranked.withColumn("quern_step", (F.col("quern_m") - F.col("quern_i") + 1) * F.col(p))
-        best = F.max("quern_step").over(Window.partitionBy(*by).orderBy("quern_i"))
-    else:
-        ranked = ranked.withColumn("quern_step", F.col("quern_m") / F.col("quern_i") * F.col(p))
-        best = F.min("quern_step").over(Window.partitionBy(*by).orderBy(F.desc("quern_i")))
-    return ranked.withColumn("p_corr", F.least(F.lit(1.0), best)).drop("quern_m", "quern_i", "quern_step")
+    """tests with p_corr within each family by; method: holm or bh.
+
+    Holm takes the greatest of (m - i + 1) * p up to a row, Benjamini-Hochberg the
+    least of m / i * p from a row on, over a family's m tests by ascending p.  A test
+    without p is none of the m and stays without.  Numbers and extrema run over range
+    parts, so no task holds a family.
+    """
+    if method not in ("holm", "bh"):
+        raise ValueError("method must be holm or bh")
+    sizes = few(tests.groupBy(*(F.col(c).alias(f"quern_of_{c}") for c in by)).agg(F.count(p).alias("quern_m")))
+    rows = tests.join(sizes, [F.col(c).eqNullSafe(F.col(f"quern_of_{c}")) for c in by]).drop(*(f"quern_of_{c}" for c in by))
+    placed = ordered(rows.withColumn("quern_one", F.lit(1).cast("long")), by, [F.asc_nulls_last(p), F.xxhash64(*tests.columns)])
+    m, i = F.col("quern_m"), F.col("quern_i") + 1
+    step = (m - i + 1) * F.col(p) if method == "holm" else m / i * F.col(p)
+    steps = running(placed, by, quern_i=("sum", "quern_one")).withColumn("quern_step", step)
+    best = running(steps, by, own=True, back=method == "bh", quern_best=("max" if method == "holm" else "min", "quern_step"))
+    return best.select(*tests.columns, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("quern_best"))).alias("p_corr"))
 
 
 def normal_p(z: float | None) -> float | None:

@@ -252,17 +252,19 @@ def fewshot_reverse(spark, sf):
     return retrieval.example_lists(retrieval.similar_items(v, v, 5, 0.9), 5).select("id", F.array_join("example_ids", ",").alias("examples"))
 
 
-_NUMBER = "('0x' || substr(md5({}), 1, 8))::BIGINT % (SELECT ceil(count(*) / 8.0)::BIGINT FROM embeddings)"
+_DRAWN = "('0x' || substr(md5('42|' || id || '|' || j[1]), 1, 15))::BIGINT % (j[1] + 1)"
 
 
 @query(
-    f"""WITH held AS (SELECT vec_id AS example_id, label AS other, {_NUMBER.format("vec_id::VARCHAR")} AS bucket FROM embeddings),
- asked AS (SELECT DISTINCT vec_id AS id, label, {_NUMBER.format("'42|' || vec_id || '|' || t")} AS bucket FROM embeddings, range(1, 9) r(t))
- SELECT id, example_id, rank FROM (SELECT id, example_id, row_number() OVER (PARTITION BY id ORDER BY md5(id || '|' || example_id), example_id) AS rank
- FROM asked JOIN held USING (bucket) WHERE label <> other) WHERE rank <= 5"""
+    f"""WITH placed AS (SELECT vec_id AS id, label AS project, row_number() OVER (ORDER BY label, md5('42|' || vec_id), vec_id) - 1 AS place FROM embeddings),
+ asked AS (SELECT id, start, own, (SELECT count(*) FROM placed) - own AS others FROM placed JOIN (SELECT project, min(place) AS start, count(*) AS own FROM placed GROUP BY project) USING (project)),
+ drawn AS (SELECT id, start, own, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(range(greatest(others - 5, 0), others), lambda j: [j])),
+  lambda s, j: list_append(s, CASE WHEN list_contains(s, {_DRAWN}) THEN j[1] ELSE {_DRAWN} END))) AS x FROM asked)
+ SELECT d.id, p.id AS example_id, (row_number() OVER (PARTITION BY d.id ORDER BY md5('42|' || d.id || '|' || x || '|order')))::INT AS rank FROM drawn d JOIN placed p ON p.place = CASE WHEN x < start THEN x ELSE x + own END"""
 )
 def random_topk(spark, sf):
-    return retrieval.random_items(_vectors(spark, sf).select("id", "project"), 5, draws=8, per_bucket=8)
+    v = _vectors(spark, sf).select("id", "project")
+    return retrieval.random_items(v, v, 5)
 
 
 TASK = "Extract the constraints.\n\n"

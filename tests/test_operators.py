@@ -185,14 +185,6 @@ def test_equal_cosines_go_to_the_smaller_ids(spark):
     assert all(near == [j for j in range(60) if j % 2 != k % 2 and j % 3 == k % 3][:4] for k, near in got.items()) and len(got) == 60
 
 
-def test_random_items_meet_a_bounded_number_of_others(spark):
-    for n in (50, 800):
-        items = spark.range(n).select("id", (F.col("id") % 5).alias("project"))
-        rows = retrieval.random_items(items, 3, draws=6, per_bucket=8).collect()
-        assert all(r.id % 5 != r.example_id % 5 for r in rows) and len({r.id for r in rows}) > 0.97 * n
-        assert max(r["rank"] for r in rows) == 3
-
-
 def test_examples_are_reversed_and_never_the_item(spark):
     items = spark.createDataFrame([("1", "c1", "g1"), ("2", "c2", None), ("3", "c1", "g3")], "id string, code_formatted string, doc_constraint string")
     found = spark.createDataFrame([("1", "2", 1), ("1", "1", 2), ("1", "3", 3), ("1", "9", 4), ("1", "2", 5)], "id string, example_id string, rank int")
