@@ -4,91 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.nearest import similar_items
 from quern.operators.ordering import numbered
 from quern.session import few, stash
 
-#: Queries that are sent to all tasks at once; more take several passes over the items.
-QUERIES = 16_384
-#: Queries and items whose cosines are in a task's memory at once.
-SQUARE = 2_048
-
-
-def unit(vectors: pa.Array) -> np.ndarray:
-    x = np.array(vectors.to_pylist(), float)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def similar_items(queries: DataFrame, items: DataFrame, k: int, threshold: float = 0.9, below: bool = True) -> DataFrame:
-    """(id, project, embedding) each -> id, example_id, cos (4 digits), rank: of
-    every query the k items of other projects with the greatest cosine, below the
-    threshold (near-copies are no examples) or at and above it.  Ties go to the
-    smaller id; zero vectors have no neighbours.  Ids may be of any type.
-
-    A bounded block of queries meets the items where they are read; each task
-    keeps k rows per query, so neither items nor pairs are shuffled.
-    """
-    spark = queries.sparkSession
-    v = F.col("embedding").cast("array<double>")
-    told = lambda df: df.select("id", "project", v.alias("v")).filter(F.exists("v", lambda x: x != 0))
-    asked, held = told(queries), told(items)
-    types = {c: d.schema["id"].dataType.simpleString() for c, d in (("id", asked), ("example_id", held))}
-    passes = max(1, -(-asked.count() // QUERIES))
-
-    def nearest(block: int) -> DataFrame:
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == block).toArrow()
-        ids, projects = part.column("id"), np.array(part.column("project").to_pylist(), object)
-        shared = spark.sparkContext.broadcast((projects, unit(part.column("v")) if part.num_rows else np.zeros((0, 1))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            projects, q = shared.value
-            best = [(np.zeros((0, 0)), np.zeros((0, 0), int))] * -(-len(q) // SQUARE)
-            names: list = []
-            for batch in batches:
-                for first in range(0, batch.num_rows if len(q) else 0, SQUARE):
-                    some = batch.slice(first, SQUARE)
-                    x, others = unit(some.column("v")), np.array(some.column("project").to_pylist(), object)
-                    at = len(names) + np.arange(len(x))
-                    names += some.column("id").to_pylist()
-                    # smaller ids first, so that equal cosines are kept in that order
-                    order = np.array(sorted(range(len(x)), key=lambda r: names[at[r]]), int)
-                    x, others, at = x[order], others[order], at[order]
-                    for b, (cos, place) in enumerate(best):
-                        rows = slice(b * SQUARE, (b + 1) * SQUARE)
-                        new = q[rows] @ x.T
-                        fits = (projects[rows, None] != others[None]) & ((new < threshold) if below else (new >= threshold))
-                        new = np.where(fits, new, -np.inf)
-                        top = np.argsort(-new, axis=1, kind="stable")[:, :k]
-                        cos = np.hstack([cos.reshape(len(new), -1), np.take_along_axis(new, top, 1)])
-                        place = np.hstack([place.reshape(len(new), -1), at[top]])
-                        by_id = np.argsort(np.argsort(np.array(sorted(range(len(names)), key=names.__getitem__), int)))
-                        keep = np.lexsort((by_id[place], -cos), axis=1)[:, :k]
-                        best[b] = np.take_along_axis(cos, keep, 1), np.take_along_axis(place, keep, 1)
-                    # only items that some query still keeps are remembered
-                    used = np.unique(np.concatenate([p.ravel() for _, p in best]))
-                    names = [names[u] for u in used]
-                    best = [(c, np.searchsorted(used, p)) for c, p in best]
-            for b, (cos, place) in enumerate(best):
-                r, c = np.nonzero(np.isfinite(cos))
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(r + b * SQUARE), pa.array([names[j] for j in place[r, c]], example_type), pa.array(cos[r, c])], ["row", "example_id", "cos"])
-
-        example_type = held.select("id").limit(0).toArrow().schema.field("id").type
-        numbers = spark.createDataFrame(pa.table({"row": pa.array(range(part.num_rows), pa.int64()), "id": ids}))
-        found = held.mapInArrow(run, f"row long, example_id {types['example_id']}, cos double")
-        return found.join(F.broadcast(numbers), "row").select("id", "example_id", "cos")
-
-    met = nearest(0)
-    for block in range(1, passes):
-        met = met.union(nearest(block))
-    order = Window.partitionBy("id").orderBy(F.desc("cos"), "example_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("cos", F.round("cos", 4))
-
+__all__ = ["embedded", "example_lists", "random_items", "similar_items"]
 
 def random_items(queries: DataFrame, items: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(id, project) each -> id, example_id, rank: for every query min(k, eligible)

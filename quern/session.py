@@ -40,6 +40,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """A stashed table read anew, to be joined with itself."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._quern_path)
+    out._quern_path = df._quern_path
+    return out
+
+
 def unstash(*frames: DataFrame | None) -> None:
     """Delete stashed tables that nothing reads any more."""
     for df in frames:

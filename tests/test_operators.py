@@ -157,8 +157,7 @@ def test_failures_are_counted_on_the_way(spark):
     assert rows.count() == 4 and seen.get == {"rows": 4, "parse_failed": 1, "empty": 2, "errors": 1}
 
 
-def test_similar_items_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERIES", 7)
+def test_similar_items_in_several_blocks(spark):
     rnd = np.random.default_rng(1)
     x = rnd.standard_normal((40, 6))
     x[5] = 0
