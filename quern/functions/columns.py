@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.expressions import ACCEPTS, MIRROR, NEGATED, NO_CONSTRAINT, operator_similarity
 
+# Literals of Java, text blocks, strings and characters.
+LITERAL = r'''"""[\s\S]*?"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"''' + r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 # Patterns of answers and of Java expressions.
 MARKER = r"(?is)^.*final\s+expression\s*(?:is)?\s*:"
 FENCED = r"(?s)```[^\n]*\n(.*?)\n```"
@@ -54,7 +56,7 @@ def snippet(code: Column) -> Column:
 
 def without_comments(code: Column) -> Column:
     """Java code without comments; literals stay as they are."""
-    return F.regexp_replace(code, r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|//[^\n]*|(?s:/\*.*?\*/)""", "$1")
+    return F.regexp_replace(code, rf"({LITERAL})|//[^\n]*|(?s:/\*.*?\*/)", "$1")
 
 
 def without_empty_lines(code: Column) -> Column:

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from quern.functions.expressions import ACCEPTS, MIRROR
 from quern.session import table
 
-#: Java methods by line: when a slice keeps the line (f: always; 0, 1, 2: at that
-#: depth; F0 and so on: as the first use of a parameter; x: it is a comment), the
-#: line, and what is left of it without comments where that differs.
+#: Java methods by line: when a slice keeps the line (f: always, as it is no statement;
+#: 0, 1, 2: at that depth; F before a depth: as the first use of a parameter; c: it goes
+#: on with the statement above; x: it is a comment), the line, and what is left of it
+#: without comments where that differs.
 JAVA = [
     [
         ("f", "public int m{p}(String name, int size, int[] items) {"),
         ("012", "    if (size < {s}) {"),
         ("012", '        throw new IllegalArgumentException("a // b");'),
         ("f", "    }"),
-        ("", "    int half = size / 2; // derived", "    int half = size / 2; "),
+        ("12", "    int half = size / 2; // derived", "    int half = size / 2; "),
         ("", "    int other = 1;"),
         ("", "    other = other + 1;"),
         ("x", "    /* one"),
@@ -31,13 +32,17 @@ JAVA = [
     [("f", "public static <K, V> void m{p}(Map<K, List<V>> map, K key) {"), ("012", "    if (map == null) {"), ("012", "        throw new NullPointerException();"), ("f", "    }"), ("012", "    List<V> found = map.get(key);"), ("12", "    found.clear();"), ("f", "}")],
     [("f", '@Check(value = "{s}", more = @Deep(1))'), ("f", "public int m{p}(@Nonnull final String text,"), ("f", "        int count) {"), ("012", "    Objects.requireNonNull(text);"), ("012", "    return text.length() / count;"), ("f", "}")],
     [("f", "void m{p}(int mode, String label) {"), ("012", "    if (mode < {s}) {"), ("012", "        throw new IllegalStateException();"), ("012", "    } else if (label.isEmpty()) {"), ("012", '        throw new IllegalArgumentException("mode");'), ("f", "    } else {"), ("", "        run();"), ("f", "    }"), ("f", "}")],
-    [("f", "long m{p}(long a, long b) {"), ("", "    long c = {s};"), ("F012", "    c = c + a;"), ("F012", "    return c + b;"), ("f", "}")],
+    [("f", "long m{p}(long a, long b) {"), ("", "    long c = {s};"), ("F0F1F2", "    c = c + a;"), ("F0F1F2", "    return c + b;"), ("f", "}")],
     [("f", "void m{p}() {"), ("", "    start({s});"), ("f", "}")],
-    [("f", "int m{p}(int... values) {"), ("", "    int total = {s};"), ("", "    for (int v : values) {"), ("", "        total += v;"), ("f", "    }"), ("012", "    return values[0] % total;"), ("f", "}")],
+    [("f", "int m{p}(int... values) {"), ("", "    int total = {s};"), ("012", "    for (int v : values) {"), ("", "        total += v;"), ("f", "    }"), ("", "    return values[0] % total;"), ("f", "}")],
     [("f", "void m{p}(String s, int n) {"), ("012", "    s.trim();"), ("", "    s.trim();"), ("", "    s.length();"), ("012", "    int k = {s} / n;"), ("", "    k = 20 / n;"), ("f", "}")],
     [("f", "void m{p}(String url) {"), ("012", "    String tail = url.substring({s});"), ("", '    log("// no /* comment */ url.x");'), ("12", "    tail.trim();"), ("f", "}")],
-    [("f", "public byte m{p}(byte[] data, final int at) throws IOException, Oops {"), ("", "    int next = at + {s};"), ("012", "    return data[next];"), ("f", "}")],
-    [("f", "void m{p}(int a) {"), ("F0", "    int b = a * {s};"), ("", "    int c = b + 1;"), ("2", "    int d = 100 / c;"), ("12", "    use(100 % b);"), ("f", "}")],
+    [("f", "public byte m{p}(byte[] data, final int at) throws IOException, Oops {"), ("12", "    int next = at + {s};"), ("012", "    return data[next];"), ("f", "}")],
+    [("f", "void m{p}(int a) {"), ("F012", "    int b = a * {s};"), ("2", "    int c = b + 1;"), ("2", "    int d = 100 / c;"), ("12", "    use(100 % b);"), ("f", "}")],
+    [("f", "void m{p}(int a) {"), ("012", "    if (a > {s}) {"), ("", "        log();"), ("012", '        throw new IllegalStateException("a");'), ("f", "    }"), ("012", "    use(10 / (2 + a));"), ("f", "}")],
+    [("f", "String m{p}(Map<String, String> given) {"), ("", "    int size = {s};"), ("012", "    String v = given"), ("c012", '        .get("x");'), ("", "    return other(size)"), ("c", "        + 1;"), ("f", "}")],
+    [("f", "void m{p}(String s) {"), ("", '    String q = """'), ("c", "        s.trim() // {s}; {"), ("c", '        """;'), ("012", "    s.strip();"), ("f", "}")],
+    [("f", "void m{p}(int n) {"), ("f", "    try {"), ("012", "        if (n < {s}) {"), ("012", "            throw new Oops();"), ("f", "        }"), ("", "        run();"), ("f", "    } finally {"), ("", "        close();"), ("f", "    }"), ("f", "}")],
 ]
 NAMES = ["name", "size", "items", "user", "path", "total"]
 LENGTHS = ["> 0", "!= 0", ">= 1", "< 9", "== 2"]

@@ -48,7 +48,7 @@ def _sliced(method: list, hop: int) -> str:
     out: list[str] = []
     for mark, line, *clean in method:
         if mark == "f" or mark != "x" and str(hop) in mark:
-            out.append(clean[0] if clean else line)
+            out.append((clean[0] if clean else line).rstrip())
         elif mark != "x" and not (out and out[-1].strip() == slices.PLACEHOLDER):
             out.append(line[: len(line) - len(line.lstrip())] + slices.PLACEHOLDER)
     return "\n".join(out)
@@ -56,7 +56,7 @@ def _sliced(method: list, hop: int) -> str:
 
 def _share(method: list, hop: int) -> str:
     """Kept statements among all; a line with braces only is none."""
-    of = [m for m, line, *_ in method if m not in ("f", "x")]
+    of = [m for m, line, *_ in method if m not in ("f", "x") and "c" not in m]
     return f"{round(sum(str(hop) in m for m in of) / len(of), 4)}::DOUBLE"
 
 
@@ -295,7 +295,9 @@ def prompt_fewshot(spark, sf):
 
 
 def _shown(mark: str, hop: int) -> str:
-    return "[" + ", ".join(str(any(str(hop) in line[0] and line[0].startswith("F") == (mark == "F") for line in m)).lower() for m in carriers.JAVA) + "][1 + p_partkey % 11]"
+    """Whether a line is kept at a depth as a trigger, or (mark F) as a first use."""
+    shown = lambda line: str(hop) in line and (f"F{hop}" in line) == (mark == "F")
+    return "[" + ", ".join(str(any(shown(line[0]) for line in m)).lower() for m in carriers.JAVA) + f"][1 + p_partkey % {len(carriers.JAVA)}]"
 
 
 _TOKENS = r"len(regexp_extract_all({}, '\w+|[^\w\s]'))"
