@@ -184,31 +184,38 @@ def compared(pairs: DataFrame, queries: DataFrame, items: DataFrame, wanted: Wan
     k = wanted.k
 
     def cell(_, a: pa.Table, b: pa.Table) -> pa.Table:
-        blocks = {}
+        blocks, codes = {}, {}
+        coded = lambda projects: np.array([codes.setdefault(p, len(codes)) for p in projects])
         for r in b.to_pylist():
             x = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1)
             # smaller ids first, so that equal cosines are kept in that order
             order = np.array(sorted(range(len(x)), key=r["ids"].__getitem__), int)
-            blocks[r["block"]] = (x[order], np.array(r["projects"], object)[order], [r["ids"][j] for j in order], np.frombuffer(r["center"]), r["radius"])
+            blocks[r["block"]] = (x[order], coded(r["projects"])[order], [r["ids"][j] for j in order], np.frombuffer(r["center"]), r["radius"])
         out = []
         for r in a.to_pylist():
-            q, own = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1), np.array(r["projects"], object)
+            q, own = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1), coded(r["projects"])
             kth = np.full(len(q), -np.inf)
             if r["rows"]:
                 kth[r["rows"]] = r["least"]
             best_row, best_cos, best_id = np.zeros(0, int), np.zeros(0), []
-            for n in sorted(r["met"]):
+            for n in r["met"]:
                 x, projects, ids, center, radius = blocks[n]
                 may = np.flatnonzero(angles(q, center[None])[:, 0] - radius <= np.arccos(np.clip(kth, -1, 1)) + SLACK)
                 if not len(may):
                     continue
-                cos = wanted.among(q[may] @ x.T, own[may, None] != projects[None])
-                if cos.shape[1] >= k:
-                    kth[may] = np.maximum(kth[may], np.partition(cos, -k, axis=1)[:, -k])
-                rows, columns = np.nonzero((cos >= kth[may, None]) & (cos > -np.inf))
+                cos = q[may] @ x.T
+                new = np.flatnonzero(kth[may] == -np.inf)
+                if len(new) and len(ids) >= k:
+                    fits = wanted.among(cos[new], own[may[new], None] != projects[None])
+                    kth[may[new]] = np.partition(fits, -k, axis=1)[:, -k]
+                # few are left, so the rest is looked at for them alone
+                rows, columns = np.nonzero(cos >= kth[may, None] - 10.0**-DIGITS)
+                near = wanted.among(cos[rows, columns], own[may[rows]] != projects[columns])
+                keep = (near >= kth[may[rows]]) & (near > -np.inf)
+                rows, columns, near = rows[keep], columns[keep], near[keep]
                 # of a row's equal cosines more than k are of no use
                 best_row = np.append(best_row, may[rows])
-                best_cos = np.append(best_cos, cos[rows, columns])
+                best_cos = np.append(best_cos, near)
                 best_id += [ids[c] for c in columns]
                 rank = np.argsort(np.array(sorted(range(len(best_id)), key=best_id.__getitem__), int)) if best_id else np.zeros(0, int)
                 order = np.lexsort((rank, -best_cos, best_row))
