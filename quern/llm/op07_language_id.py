@@ -7,9 +7,10 @@ family among those of the learned languages, then one-versus-one linear
 support vector machines separate the languages of that family by votes (ties
 to the larger sum of margins, then to the smaller name).
 
-Training uses a bounded sample of labelled rows, per_language rows of each
-language in expectation, chosen by a hash of the id; each machine is fitted by
-a task of its own on that sample.  Only the machines' weights (languages and
+Training uses a bounded sample of labelled rows, per_language distinct rows of each
+language in expectation, chosen by a hash of id and text, so rows that repeat an id are
+chosen each on its own and repeated rows count as one; each machine is fitted by a task
+of its own on that sample, and a language is never left without rows.  Only the machines' weights (languages and
 their pairs within families, times ``dims``) come to the driver.
 
 A model that was taught to reject (``learn_likeness``) says ``und`` also of texts
@@ -159,17 +160,27 @@ class LanguageModel:
         return lang.tolist(), score
 
 
+def labelled_rows(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, dict[str, int]]:
+    """doc_id, text, lang, key (a hash of id and text) of the rows to learn from, and
+    about how many distinct ones a language has."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    return rows, {r.lang: max(r.n, 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
+
+
+def sampled_rows(rows: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)])
+    return rows.filter(F.pmod(F.col("key"), F.lit(1_000_003)) / 1_000_003.0 < F.element_at(share, F.col("lang")))
+
+
 def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from rows where training holds, by their text and language only.
 
     dims: a power of two.  per_language: expected rows of the sample per language.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows, sizes = labelled_rows(docs, training, id_col, text_col, lang_col)
     if not sizes:
         return LanguageModel(dims)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)])
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     langs = sorted(sizes)
     families = sorted({family_of(x) for x in langs})
     members = [[x for x in langs if family_of(x) == f] for f in families]
@@ -183,22 +194,24 @@ def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_langu
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", FEATURE_SLICE, FEATURE_ROWS):
             x = features(part.column("text"), dims).astype(np.float16)
-            ids, own = part.column("doc_id").to_pylist(), part.column("lang").to_pylist()
+            keys, own = part.column("key").to_pylist(), part.column("lang").to_pylist()
             for k, machine in enumerate(machines):
                 at = [r for r, lang in enumerate(own) if lang in machine]
                 if at:
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array([ids[r] for r in at]), pa.array([machine[own[r]] for r in at], pa.int32()), pa.array([x[r].tobytes() for r in at])], ["machine", "doc_id", "side", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array([keys[r] for r in at]), pa.array([machine[own[r]] for r in at], pa.int32()), pa.array([x[r].tobytes() for r in at])], ["machine", "key", "side", "x"])
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "side", "x"])
+        pdf = pdf.sort_values(["key", "side", "x"])
         x = np.frombuffer(b"".join(pdf.x), np.float16).reshape(len(pdf), dims).astype(np.float32)
         return pd.DataFrame({"machine": [pdf.machine.iloc[0]], "w": [fit_svm(x, pdf.side.to_numpy())]})
 
     found = {}
     if machines:
-        sample = rows.filter(point < F.element_at(share, F.col("lang"))).mapInArrow(sampled, "machine int, doc_id long, side int, x binary")
+        sample = sampled_rows(rows, sizes, per_language).mapInArrow(sampled, "machine int, key long, side int, x binary").dropDuplicates(["machine", "key", "side"])
         found = {r.machine: np.array(r.w) for r in sample.groupBy("machine").applyInPandas(fitted, "machine int, w array<double>").collect()}
-    w = [found.get(k, np.zeros(dims + 1)) for k in range(len(machines))]
+    if len(found) < len(machines):
+        raise ValueError("the sample lacks a language; per_language is too small")
+    w = [found[k] for k in range(len(machines))]
     first = len(told_apart)
     family_w = np.array(w[:first] if first != 1 else [w[0], -w[0]]) if first else np.zeros((1, dims + 1))
     rest = iter(w[first:])
@@ -207,18 +220,15 @@ def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_langu
 
 def learn_likeness(model: LanguageModel, docs: DataFrame, training: Column, per_language: int = 1000, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """The model with what it needs to reject texts, from a sample as large as that of fit_languages."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows, sizes = labelled_rows(docs, training, id_col, text_col, lang_col)
     if not sizes:
         return model
     dims, levels = model.dims, model.dims.bit_length()
-    wanted = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)])
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", FEATURE_SLICE, FEATURE_ROWS):
             x = features(part.column("text"), dims).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "key", "x"])
 
     def learned(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf.x), np.float16).reshape(len(pdf), dims).astype(np.float32)
@@ -229,7 +239,7 @@ def learn_likeness(model: LanguageModel, docs: DataFrame, training: Column, per_
         least = [float(np.quantile(near[level == k], 0.01)) if (level == k).any() else None for k in range(levels)]
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "mean": [mean], "least": [least], "rows": [np.bincount(level, minlength=levels)]})
 
-    sample = rows.filter(point < F.element_at(wanted, F.col("lang"))).select("lang", "text").mapInArrow(sampled, "lang string, x binary")
+    sample = sampled_rows(rows, sizes, per_language).mapInArrow(sampled, "lang string, key long, x binary").dropDuplicates(["lang", "key"])
     found = sorted(sample.groupBy("lang").applyInPandas(learned, "lang string, mean array<double>, least array<double>, rows array<long>").collect())
     if not found:
         return model

@@ -73,6 +73,19 @@ def test_votes_and_margins_against_single_machines(spark):
         assert family[got[k][0]] in pairs
 
 
+def test_languages_whose_rows_share_an_id(spark):
+    """All English rows have one id, and a third of all rows are one French row."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    same = docs.withColumn("doc_id", F.when(F.col("lang") == "en", 7).otherwise(F.col("doc_id")))
+    one = docs.filter("lang = 'fr' and length(text) > 200").orderBy("doc_id").limit(1)
+    same = same.unionByName(one.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("t"))
+    model = fit_languages(same, F.lit(True), per_language=100)
+    assert all(np.abs(w).max() > 0 for w in [*model.family_w, *(w for ws in model.pair_w for w in ws)])
+    said = {r.doc_id: r.lang_pred for r in predict_languages(docs.filter("length(text) > 100"), model).collect()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    assert sum(said[k] == lang[k] for k in said) > 0.95 * len(said)
+
+
 def test_letters():
     assert [spoken_text(t) for t in ("²", "½ Ⅷ", "12 _", "", None, "1ª", "é", "12 a", "日")] == [False, False, False, False, False, True, True, True, True]
 
