@@ -584,11 +584,49 @@ def _significance(spark, sf):
     return evaluation.significance(scores.unionByName(by_user), ["metric"])
 
 
-@query()
+_FIRST = "CASE metric WHEN 'strict' THEN '01' WHEN 'relaxed' THEN '02' ELSE '99' END"
+_LABEL = "CASE metric WHEN 'strict' THEN 'Strict F1' WHEN 'relaxed' THEN 'Relaxed F1' ELSE metric END"
+
+
+def _row(place: str, **cells: str) -> str:
+    return f"SELECT section, {place} AS place, " + ", ".join(f"{cells.get(c, chr(39) * 2)} AS {c}" for c in evaluation.EXPORTED)
+
+
+_ROWS = " UNION ALL ".join(
+    [
+        _row("''", model="'m'", analysis="section", n="max(n)::VARCHAR", groups="max(k)::BIGINT::VARCHAR", correction="'HOLM'") + " FROM named GROUP BY section",
+        _row(
+            f"{_FIRST} || '|' || metric || '|1'",
+            metric=_LABEL,
+            comparison="CASE WHEN max(k) > 2 THEN 'Friedman (global)' ELSE 'Wilcoxon signed-rank (global)' END",
+            p_raw="printf('%.6f', max(p_all))",
+            significant="(max(p_all) < 0.05)::VARCHAR",
+            chi2="coalesce(printf('%.4f', max(CASE WHEN k > 2 THEN chi2 END)), '')",
+        )
+        + " FROM named GROUP BY section, metric",
+        _row(
+            f"{_FIRST} || '|' || metric || '|2|' || a || '|' || b",
+            metric=_LABEL,
+            comparison="a || ' vs ' || b",
+            **{c: f"printf('%.4f', {c})" for c in ("mean_a", "mean_b")},
+            **{c: f"printf('%.6f', {c})" for c in ("p_raw", "p_corr")},
+            significant="(p_corr < 0.05)::VARCHAR",
+            delta="printf('%.4f', round(delta, 4))",
+            effect="CASE WHEN abs(d) < 0.147 THEN 'Negligible' WHEN abs(d) < 0.33 THEN 'Small' WHEN abs(d) < 0.474 THEN 'Medium' ELSE 'Large' END",
+        )
+        + " FROM named",
+        _row(f"{_FIRST} || '|' || metric || '|3'") + " FROM named GROUP BY section, metric",
+    ]
+)
+
+
+@query(f"WITH {_SIGNIFICANT}, named AS (SELECT *, split_part(metric, ' ', 1) AS section, CASE WHEN k > 2 THEN exp(-chi2 / 2) * (1 + chi2 / 2) ELSE p_raw END AS p_all FROM told) SELECT * EXCLUDE (place), (row_number() OVER (PARTITION BY section ORDER BY place))::INT AS row_no FROM ({_ROWS})")
 def significance_export(spark, sf):
-    """The same as a report with sections."""
+    """The same as a report with sections, numbers to fixed digits."""
     tests = _significance(spark, sf).withColumn("analysis", F.split("metric", " ")[0])
-    return evaluation.sectioned(tests, "analysis")
+    report = evaluation.sectioned(tests, "analysis", model="m")
+    to = lambda c, n: F.when(F.col(c) == "", "").otherwise(F.format_string(f"%.{n}f", F.col(c).cast("double")))
+    return report.withColumns({c: to(c, n) for c, n in {"mean_a": 4, "mean_b": 4, "p_raw": 6, "p_corr": 6, "delta": 4, "chi2": 4}.items()})
 
 
 _REPORT = "r AS (SELECT true AS is_mean, 'mean' AS c_name, printf('%.3f', avg(c_acctbal)) AS c_acctbal FROM customer UNION ALL SELECT false, c_name, CASE WHEN c_custkey % 10 = 0 THEN 'NaN' WHEN c_custkey % 10 = 1 THEN 'n/a' ELSE printf('%.5f', c_acctbal) END FROM customer)"

@@ -146,7 +146,7 @@ def test_two_configurations_are_not_corrected(spark):
     (r,) = evaluation.significance(scores, ["metric"]).collect()
     assert r.groups == 2 and r.p_corr == r.p_raw and r.chi2 is None and r.p_global is None
     told = evaluation.sectioned(evaluation.significance(scores.unionByName(scores.withColumn("metric", F.lit("other"))), ["metric"]).withColumn("analysis", F.lit("one")), "analysis").orderBy("row_no").collect()
-    assert [(x.analysis, x.metric, x.comparison) for x in told] == [("one", "", ""), ("", "other", "Global"), ("", "other", "p vs q"), ("", "", ""), ("", "strict", "Global"), ("", "strict", "p vs q"), ("", "", "")]
+    assert [(x.analysis, x.metric, x.comparison) for x in told] == [("one", "", ""), ("", "Strict F1", "Wilcoxon signed-rank (global)"), ("", "Strict F1", "p vs q"), ("", "", ""), ("", "other", "Wilcoxon signed-rank (global)"), ("", "other", "p vs q"), ("", "", "")]
     assert (told[0].n, told[0].correction, told[1].chi2) == ("30", "HOLM", "")
 
 
@@ -257,8 +257,8 @@ def test_sources(spark, tmp_path):
     assert tables.read_answers(spark, str(tmp_path / "raw")).filter("k = 4").collect() == answers.collect()
     with pytest.raises(Exception, match="project_name is empty"):
         tables.required(spark.createDataFrame([(" ",)], "project_name string"), "project_name").collect()
-    tables.write_report(answers, str(tmp_path / "csv"))
-    assert len(list((tmp_path / "csv").glob("*.csv"))) == 1
+    tables.write_report(answers, str(tmp_path / "r.csv"), ["id"])
+    assert (tmp_path / "r.csv").read_text(encoding="utf-8-sig").splitlines()[1] == "1,t,,1,2,0.5,fewshot,sr,4,m"
 
 
 def test_stream_scores_like_the_batch(spark, tmp_path):
