@@ -102,13 +102,33 @@ def no_constraint(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"^[\s(]+|[\s)]+$", "")).isin(*NO_CONSTRAINT)
 
 
+# What may stand before .equals, at the end of a text.
+RECEIVER = r"""(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\w.]+(?:\s*\(\s*\)|\.\w+)*)"""
+BRACKETS = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[()]|[^()"']+|["']"""
+
+
 def equals_calls(text: Column) -> Column:
-    """x.equals(y) as (x == y), for arguments with up to two levels of parentheses.
-    One call inside another's argument stays, as calls are replaced side by side."""
-    flat = r"""(?:[^()"']|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')"""
-    one = rf"(?:{flat}|\({flat}*\))"
-    two = rf"(?:{flat}|\({one}*\))*"
-    return F.regexp_replace(text, rf"""("(?:\\.|[^"\\])*"|[\w.]+(?:\s*\(\s*\)|\.\w+)*)\.equals\s*\(\s*({two}?)\s*\)""", "($1 == $2)")
+    """x.equals(y) as (x == y), at any depth: y may hold brackets and other such calls.
+
+    A fold over brackets, literals and what is between them keeps what stands before
+    each open bracket; at its closing one a call is written anew, so inner calls are
+    done before outer ones.  A bracket that is never closed stays as it is.
+    """
+    called = rf"(?s)^(.*?)({RECEIVER})\.equals(\s*)$"
+    start = F.struct(F.lit("").alias("now"), F.array().cast("array<struct<head:string,receiver:string,gap:string>>").alias("open"))
+
+    def step(s: Column, t: Column) -> Column:
+        part = lambda k: F.regexp_extract(s.now, called, k)
+        call = s.now.rlike(called)
+        opened = F.struct(F.when(call, part(1)).otherwise(s.now).alias("head"), F.when(call, part(2)).alias("receiver"), part(3).alias("gap"))
+        top, outer = F.get(s.open, F.size(s.open) - 1), F.slice(s.open, 1, F.size(s.open) - 1)
+        closed = F.when(top.receiver.isNull(), F.concat(top.head, F.lit("("), s.now, F.lit(")"))).otherwise(F.concat(top.head, F.lit("("), top.receiver, F.lit(" == "), F.regexp_replace(s.now, r"^\s+|\s+$", ""), F.lit(")")))
+        state = lambda now, stack: F.struct(now.alias("now"), stack.alias("open"))
+        return F.when(t == "(", state(F.lit(""), F.concat(s.open, F.array(opened)))).when((t == ")") & (F.size(s.open) > 0), state(closed, outer)).otherwise(state(F.concat(s.now, t), s.open))
+
+    unclosed = lambda f: F.concat(f.head, F.coalesce(F.concat(f.receiver, F.lit(".equals"), f.gap), F.lit("")), F.lit("("))
+    folded = F.aggregate(F.regexp_extract_all(text, F.lit(BRACKETS), 0), start, step, lambda s: F.concat(F.array_join(F.transform(s.open, unclosed), ""), s.now))
+    return F.when(text.contains(".equals"), folded).otherwise(text)
 
 
 def canonical(text: Column) -> Column:

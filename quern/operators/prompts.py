@@ -33,6 +33,13 @@ def first_of_same_code(items: DataFrame) -> DataFrame:
     return items.groupBy("code_formatted").agg(F.min("id").alias("first_id"))
 
 
+def with_first_of_same_code(items: DataFrame) -> DataFrame:
+    """id, first_id: for each item the smallest id of those with equal code.  Codes meet
+    as digests of 256 bits, so no code is shuffled."""
+    keyed = items.select("id", F.unhex(F.sha2(F.coalesce("code_formatted", F.lit("")), 256)).alias("digest"), F.col("code_formatted").isNull().alias("none"))
+    return keyed.join(keyed.groupBy("digest", "none").agg(F.min("id").alias("first_id")), ["digest", "none"]).select("id", "first_id")
+
+
 def example_sections(found: DataFrame, items: DataFrame, k: int, slices: DataFrame | None = None, reasoned: bool = False) -> DataFrame:
     """(id, example_id, rank) -> id, examples: numbered sections, the most
     similar last; an item is no example of itself, unknown ids are passed over.
@@ -41,7 +48,8 @@ def example_sections(found: DataFrame, items: DataFrame, k: int, slices: DataFra
     shown = found.filter((F.col("rank") <= k) & (F.col("id") != F.col("example_id"))).groupBy("id", "example_id").agg(F.min("rank").alias("rank"))
     texts = items.select(F.col("id").alias("example_id"), "code_formatted", "doc_constraint")
     if slices is not None:
-        texts = texts.join(first_of_same_code(items), "code_formatted", "left").join(slices.select(F.col("id").alias("first_id"), "slice"), "first_id", "left")
+        shown_slices = with_first_of_same_code(items).join(slices.select(F.col("id").alias("first_id"), "slice"), "first_id").select(F.col("id").alias("example_id"), "slice").dropDuplicates(["example_id"])
+        texts = texts.join(shown_slices, "example_id", "left")
     else:
         texts = texts.withColumn("slice", F.lit(None).cast("string"))
     said = F.concat(target(F.col("code_formatted")), highlighted(F.col("slice")), F.lit("\nOutput:\n"), F.lit("(Step by step reasoning here)\nFinal expression: " if reasoned else ""), F.coalesce("doc_constraint", F.lit("")), F.lit("\n"))

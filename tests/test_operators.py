@@ -38,6 +38,26 @@ def test_canonical(spark):
     assert one(spark, C.canonical, *said) == list(said.values())
 
 
+def test_equals_at_any_depth(spark):
+    said = {
+        "a.equals(b.equals(c))": "(a == (b == c))",
+        "a.equals(b.equals(c.equals(d)) && e.equals( f ))": "(a == (b == (c == d)) && (e == f))",
+        "a.equals(f(g(h(i(j(k))))))": "(a == f(g(h(i(j(k))))))",
+        'a.equals(")(") && "x\\")".equals(b)': '(a == ")(") && ("x\\")" == b)',
+        "a.b().c.equals(d)": "(a.b().c == d)",
+        "get(a).equals(b)": "get(a).equals(b)",
+        "a.equals (b": "a.equals (b",
+        "(a.equals(b) || c.equals(": "((a == b) || c.equals(",
+        "a) && b.equals(c)": "a) && (b == c)",
+        "x.equals()": "(x == )",
+        # no special case, as nothing tells a class from a value
+        "Objects.equals(a, b)": "(Objects == a, b)",
+        "f(" * 60 + "a.equals(b)" + ")" * 60: "f(" * 60 + "(a == b)" + ")" * 60,
+        "plain": "plain",
+    }
+    assert one(spark, C.equals_calls, *said) == list(said.values())
+
+
 def test_candidates_and_rejection(spark):
     text = "So `a > 0` holds.\n\n```java\nb > 0\n```\n\nFinal expression: c > 0\nFinal Expression is: d > 0"
     assert one(spark, C.candidates, text)[0][:3] == ["d > 0", "b > 0", "a > 0"] or one(spark, C.candidates, text)[0][0] == "d > 0"
@@ -192,6 +212,14 @@ def test_examples_are_reversed_and_never_the_item(spark):
     assert {r.example_ids[0] for r in retrieval.example_lists(found.filter("rank < 4"), 3).collect()} == {"3"}
 
 
+def test_codes_meet_as_digests(spark):
+    items = spark.createDataFrame([("3", "c1"), ("1", "c1"), ("2", None), ("4", None), ("5", "")], "id string, code_formatted string")
+    out = prompts.with_first_of_same_code(items)
+    assert {r.id: r.first_id for r in out.collect()} == {"3": "1", "1": "1", "2": "2", "4": "2", "5": "5"}
+    plan = out._jdf.queryExecution().toString()
+    assert all("code_formatted" not in line for line in plan.splitlines() if "hashpartitioning" in line or "SortMergeJoin" in line)
+
+
 def test_slices(spark):
     code = 'private static double f(double v) {\n    if (v < 0.0 || v > 1.0) {\n        throw new X("// v");\n    }\n    this.v = v;\n    return v;\n}'
     other = "void g(String s, int n) {\n    String t = s;\n    int k = 10 / n;\n    t.trim();\n}"
