@@ -66,16 +66,90 @@ TEMPLATES = {
     ],
     "cc-by-nc": ["<<beginOptional>>this <<var;min=1;max=3>> is<<endOptional>> licensed under <<beginOptional>>a creative commons<<endOptional>> CC BY-NC <<beginOptional>>4.0<<endOptional>>"],
     "isc": [
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
+        purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     ],
     "bsd": [
         """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must
         retain the above copyright notice, this list of conditions and the following disclaimer.""",
+        "licensed under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>><<var;min=1;max=3>><<endOptional>> BSD <<beginOptional>><<var;min=1;max=2>><<endOptional>> license",
     ],
     "all-rights-reserved": ["<<beginOptional>>copyright <<var;min=1;max=8>><<endOptional>> all rights reserved"],
+    "gpl-2": [
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
+        option) any later version.""",
+        "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License, <<beginOptional>>GPL<<endOptional>> version 2",
+    ],
+    "lgpl": [
+        """This <<var;min=1;max=2>> is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation""",
+        "GNU Library General Public License as published by the Free Software Foundation",
+        "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU Lesser General Public License",
+    ],
+    "agpl-3": [
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License""",
+        "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU Affero General Public License",
+    ],
+    "mpl-2": [
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at""",
+        "licensed under the <<beginOptional>>terms of the<<endOptional>> Mozilla Public License <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> 2.0",
+    ],
+    "mpl-1.1": ["""The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License."""],
+    "epl": ["made available under the terms of the Eclipse Public License <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> <<var;min=1;max=2>>"],
+    "cddl": ["subject to the terms of the Common Development and Distribution License"],
+    "eupl": ["licensed under the <<beginOptional>>European Union Public Licence<<endOptional>> EUPL", "licensed under the European Union Public Licence"],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "public-domain": [
+        "<<beginOptional>>is<<endOptional>> <<beginOptional>>hereby<<endOptional>> released into the public domain",
+        "placed in the public domain",
+        "is in the public domain",
+    ],
+    "cc0": ["has waived all copyright and related or neighboring rights", "licensed under <<beginOptional>>a creative commons<<endOptional>> CC0", "CC0 1.0 Universal"],
+    "cc-by": ["licensed under a Creative Commons Attribution <<beginOptional>>3.0<<endOptional>> <<beginOptional>>4.0<<endOptional>> <<beginOptional>>International<<endOptional>> <<beginOptional>>Unported<<endOptional>> License", "licensed under <<beginOptional>>a creative commons<<endOptional>> CC BY 4.0"],
+    "cc-by-sa": ["licensed under a Creative Commons Attribution-ShareAlike", "licensed under <<beginOptional>>a creative commons<<endOptional>> CC BY-SA"],
+    "cc-by-nd": ["licensed under a Creative Commons Attribution-NoDerivatives", "licensed under a Creative Commons Attribution-NoDerivs", "licensed under <<beginOptional>>a creative commons<<endOptional>> CC BY-ND"],
+    "cc-by-nc-sa": ["licensed under a Creative Commons Attribution-NonCommercial-ShareAlike", "licensed under <<beginOptional>>a creative commons<<endOptional>> CC BY-NC-SA"],
+    "cc-by-nc-nd": ["licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives", "licensed under <<beginOptional>>a creative commons<<endOptional>> CC BY-NC-ND"],
+    "zlib": [
+        """Permission is granted to anyone to use this software for any purpose, including commercial applications, and
+        to alter it and redistribute it freely, subject to the following restrictions""",
+    ],
+    "boost": ["Boost Software License, Version 1.0", "licensed under the Boost Software License"],
+    "wtfpl": ["do what the fuck you want to public license"],
+    "ofl": ["licensed under the SIL Open Font License"],
+    "artistic": ["licensed under the <<beginOptional>>terms of the<<endOptional>> Artistic License", "under the same terms as Perl itself"],
+    "postgresql": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"],
+    "python": ["Python Software Foundation License <<beginOptional>>version<<endOptional>> <<var;min=1;max=1>>"],
+    "gfdl": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"],
+    "ncsa": ["University of Illinois/NCSA Open Source License"],
+    "ms-pl": ["Microsoft Public License (Ms-PL)"],
+    "upl": ["Universal Permissive License (UPL), Version 1.0", "licensed under the Universal Permissive License"],
+    "afl": ["licensed under the Academic Free License"],
+    "odbl": ["Open Data Commons Open Database License", "licensed under the Open Database License"],
+    "sspl": ["licensed under the Server Side Public License", "terms of the Server Side Public License"],
+    "busl": ["Business Source License <<beginOptional>>version<<endOptional>> 1.1"],
+    "elastic": ["licensed under the Elastic License"],
+    "cpl": ["made available under the terms of the Common Public License"],
+    "openssl": ["This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit"],
+}
+
+# Identifiers of a license line, and their labels.
+IDENTIFIERS = {
+    "MIT": "mit", "Apache-2.0": "apache-2", "GPL-2.0": "gpl-2", "GPL-3.0": "gpl-3", "LGPL-2.0": "lgpl", "LGPL-2.1": "lgpl",
+    "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl-3", "MPL-1.1": "mpl-1.1", "MPL-2.0": "mpl-2", "EPL-1.0": "epl", "EPL-2.0": "epl",
+    "CDDL-1.0": "cddl", "EUPL-1.2": "eupl", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "0BSD": "0bsd", "ISC": "isc",
+    "Unlicense": "unlicense", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc",
+    "CC-BY-ND-4.0": "cc-by-nd", "CC-BY-NC-SA-4.0": "cc-by-nc-sa", "CC-BY-NC-ND-4.0": "cc-by-nc-nd", "Zlib": "zlib",
+    "BSL-1.0": "boost", "WTFPL": "wtfpl", "OFL-1.1": "ofl", "Artistic-2.0": "artistic", "PostgreSQL": "postgresql",
+    "PSF-2.0": "python", "GFDL-1.3": "gfdl", "NCSA": "ncsa", "MS-PL": "ms-pl", "UPL-1.0": "upl", "AFL-3.0": "afl",
+    "ODbL-1.0": "odbl", "SSPL-1.0": "sspl", "BUSL-1.1": "busl", "Elastic-2.0": "elastic", "CPL-1.0": "cpl", "OpenSSL": "openssl",
 }
+for _name, _label in IDENTIFIERS.items():
+    TEMPLATES.setdefault(_label, []).append(f"SPDX-License-Identifier: {_name}")
 
 MARK = re.compile(r"<<(beginOptional|endOptional|var;min=(\d+);max=(\d+))>>")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -206,6 +206,31 @@ def test_license_query_against_brute_force(spark):
     assert seen
 
 
+SAID = {
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either": "lgpl",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http": "mpl-2",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2",
+    "The data is in the public domain.": "public-domain",
+    "// SPDX-License-Identifier: BSD-3-Clause": "bsd",
+    "# SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2",
+    "/* SPDX-License-Identifier: CC-BY-NC-SA-4.0 */": "cc-by-nc-sa",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "and is made available under the terms of the Eclipse Public License v2.0 which": "epl",
+    "It is under the same terms as Perl itself": "artistic",
+    "a license of its own, not in the public, domain": "",
+    "SPDX-License-Identifier: Own": "",
+}
+
+
+def test_usual_wordings(spark):
+    rows = scan_licenses(spark.createDataFrame([(k, t) for k, t in enumerate(SAID)], "doc_id long, text string")).collect()
+    got = {r.doc_id: ",".join(sorted({x.label for x in r.templates})) for r in rows}
+    assert [got[k] for k in range(len(SAID))] == list(SAID.values())
+    assert len({label for label, _ in OWN_TEMPLATES}) >= 40
+
+
 def test_wordings_from_a_table(spark):
     rows = spark.createDataFrame([("own", "use it <<var;min=1;max=2>> freely"), ("own", "use it <<var;min=1;max=2>> freely"), ("none", None), (None, "x"), ("odd", "<<var;min=1;max=2>>")], "label string, text string")
     templates = wordings(rows)
