@@ -129,8 +129,9 @@ def atom_agreement(pairs: DataFrame) -> DataFrame:
 def compared(pairs: DataFrame, digits: int = 5) -> DataFrame:
     """(gold, answer) -> scores and sizes.  Each distinct text is read once, each
     distinct pair of atoms compared once, each distinct pair of texts matched once."""
-    said = pairs.select("gold", "answer").distinct().withColumns({"x": canonical(F.coalesce("gold", F.lit(""))), "y": canonical(F.coalesce("answer", F.lit("")))})
-    texts = said.select(F.col("x").alias("text")).union(said.select("y")).distinct().withColumn("t", _read("text"))
+    said = pairs.select("gold", "answer").distinct().withColumns({"x": F.coalesce("gold", F.lit("")), "y": F.coalesce("answer", F.lit(""))})
+    # texts are brought into one form and read before they meet, so once each
+    texts = said.select(F.col("x").alias("text")).union(said.select("y")).distinct().withColumn("t", _read(canonical(F.col("text"))))
     texts = stash(texts.select("text", "t.tree", "t.atoms", "t.parts"), "texts")
     of = lambda c, n: texts.select(F.col("text").alias(c), F.col("tree").alias(f"{n}_tree"), F.col("atoms").alias(f"{n}_atoms"), F.col("parts").alias(f"{n}_parts"))
     both = stash(said.join(of("x", "gold"), "x").join(of("y", "answer"), "y").drop("x", "y"), "pairs")
