@@ -4,8 +4,7 @@ Texts are compared by shingles of ``size`` words (lower case), by their
 multiplicities: common shingles over all shingles of an item and of a window of
 a document that has the item's length in words.
 
-Windows are laid where they can be like an item, and for that item only.  A
-window that reaches the threshold holds at least one of an item's few rarest
+Windows are laid where they can be like an item.  A window that reaches the threshold holds at least one of an item's few rarest
 shingles (its *seeds*: at 0.8 a fifth of them), since it can't lack them all.
 Around each seed in a document the stretch is cut out that holds all windows
 with that seed.  The best window of a stretch may be taken to end at a shingle
@@ -15,8 +14,9 @@ threshold, or for the best of the stretch.
 
 The others, and the items, get 64-bit SimHash fingerprints of their shingles.
 Both are cut into radius + 1 blocks: of two fingerprints at most radius bits
-apart one block at least is equal, so equal blocks find every window within the
-radius.  Those are verified exactly.  At a similarity of 0.8 fingerprints differ
+apart one block at least is equal, so a join on length and block brings to every
+window all items within the radius, whichever item's seed it was laid for.  Those
+are verified exactly.  At a similarity of 0.8 fingerprints differ
 by 10 bits on average with a deviation of 3; the radius of 23 leaves out less
 than one pair in a million.
 
@@ -118,11 +118,12 @@ def _leaked(texts: DataFrame, parts: DataFrame, size: int, threshold: float, rad
     held = ["item", "x", "head"]
     alike = stash(_alike(laid.dropDuplicates(held).select(*held, "stretch"), items, threshold, radius), "alike")
     unstash(seeds, items)
-    return laid.select("doc_id", "text_key", *held, "low").join(few(alike, 200_000), held).join(few(named), "item").select("doc_id", "text_key", "item_id", (F.col("low") + F.col("start")).alias("start"), "n_words", "similarity")
+    return laid.select("doc_id", "text_key", *held, "low").join(few(alike, 200_000), held).drop("item").join(few(named.withColumnRenamed("item", "like")), "like").select("doc_id", "text_key", "item_id", (F.col("low") + F.col("start")).alias("start"), "n_words", "similarity")
 
 
 def _alike(stretches: DataFrame, items: DataFrame, threshold: float, radius: int) -> DataFrame:
-    """item, x, head, start, similarity: the best window of each stretch that has one.
+    """item (the one whose seed the stretch was cut for), x, head, like (the item found),
+    start, similarity: the best window of each stretch that is like an item.
     items are of document size, so no more than a few thousand are broadcast."""
     m, hits = F.col("m"), F.col("hits")
     least = F.lit(threshold) * (m + F.col("all")) / F.lit(1 + threshold) - 1e-9  # common shingles that reach the threshold
@@ -138,15 +139,23 @@ def _alike(stretches: DataFrame, items: DataFrame, threshold: float, radius: int
         # what the window with most shared places has in common for certain
         .withColumn("w", F.expr("slice(stretch, 1 - top.before, m)"))
         .withColumn("sure", F.expr(COMMON))
-        .select("item", "x", "head", "stretch", "i", "m", "own", "own_blocks", F.explode_outer(F.filter("windows", lambda w: (w.shared > F.col("sure")) | (w.shared == F.col("sure")) & (w.before >= F.col("top.before")))).alias("window"))
+        .select("item", "x", "head", "stretch", "m", F.explode_outer(F.filter("windows", lambda w: (w.shared > F.col("sure")) | (w.shared == F.col("sure")) & (w.before >= F.col("top.before")))).alias("window"))
         .filter("window is not null")
-        .select("item", "x", "head", "i", "own", "own_blocks", (-F.col("window.before")).alias("start"), F.expr("slice(stretch, 1 - window.before, m)").alias("shingles"))
+        .select("item", "x", "head", "m", (-F.col("window.before")).alias("start"), F.expr("slice(stretch, 1 - window.before, m)").alias("w"))
+        .withColumn("shingles", F.col("w"))
+        .withColumn("fingerprint", F.expr(FINGERPRINT))
+        .drop("shingles")
     )
-    near = looked.withColumn("fingerprint", F.expr(FINGERPRINT)).filter(F.arrays_overlap(blocks(F.col("fingerprint"), radius), "own_blocks") & (F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("own"))) <= radius))
-    common = near.withColumnRenamed("shingles", "w").select("item", "x", "head", "start", F.expr(COMMON).alias("c"), (F.size("w") + F.size("i")).alias("both"))
+    # the block index: windows and items of a length meet where a block is equal, each pair at its first one
+    asked = looked.select("*", F.explode(blocks(F.col("fingerprint"), radius)).alias("block"))
+    held = items.select(F.col("item").alias("like"), "i", "own", F.col("m").alias("own_m"), F.explode("own_blocks").alias("own_block"))
+    met = asked.join(few(held, 5_000 * (radius + 1)), (F.col("m") == F.col("own_m")) & (F.col("block") == F.col("own_block")))
+    first = F.get(F.array_intersect(blocks(F.col("fingerprint"), radius), blocks(F.col("own"), radius)), F.lit(0))
+    near = met.filter((F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("own"))) <= radius) & (F.col("block") == first))
+    common = near.select("item", "x", "head", "like", "start", F.expr(COMMON).alias("c"), (F.size("w") + F.size("i")).alias("both"))
     reached = common.withColumn("similarity", F.col("c") / (F.col("both") - F.col("c"))).filter(F.col("similarity") >= threshold)
-    best = reached.groupBy("item", "x", "head").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("b"))
-    return best.select("item", "x", "head", (-F.col("b.before")).alias("start"), F.col("b.similarity").alias("similarity"))
+    best = reached.groupBy("item", "x", "head", "like").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("b"))
+    return best.select("item", "x", "head", "like", (-F.col("b.before")).alias("start"), F.col("b.similarity").alias("similarity"))
 
 
 #: The same for a size of 5 and a threshold of 0.8, over all windows that hold a shingle of an item.
