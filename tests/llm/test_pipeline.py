@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +19,18 @@ from .test_near_dedup import brute as components
 SF = "/root/testdata/sf0.001"
 
 
-def test_run_against_brute_force(spark):
-    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+#: Long texts in no language of the table.
+DRAW = random.Random(5)
+FOREIGN = {10_000_000 + k: " ".join("".join(DRAW.choices(letters, k=3 + j % 6)) for j in range(700)) for k, letters in enumerate(["abcdefghijklmnopqrstuvwxyz", "żółćęśąźńkzwyjcp"])}
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """All stages, also the first one's rejection of texts unlike the table's languages."""
+    whole = table(spark, SF, "documents")
+    more = spark.createDataFrame(list(FOREIGN.items()), "doc_id long, text string")
+    whole.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = {r.doc_id: r.text for r in whole.collect()}
     items = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
     docs = {k: t for k, t in docs.items() if spoken_text(t)}
     docs = {k: docs[k] for k, (_, c) in components(docs, 5).items() if k == c}
@@ -34,7 +46,7 @@ def test_run_against_brute_force(spark):
             want.add((k, start, n, bytes(np.array(x[start : start + n], "<u4").tobytes())))
             start += n
     before = spark.conf.get(cp.BATCH)
-    rows = cp.run(spark, SF).collect()
+    rows = cp.run(spark, str(tmp_path)).collect()
     assert spark.conf.get(cp.BATCH) == before
     assert {(r.doc_id, r.start, r.length, bytes(r.ids)) for r in rows} == want and len(rows) == len(want)
 
