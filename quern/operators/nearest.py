@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import reread, stash
+from quern.session import reread, stash, unstash
 
 #: Vectors and numbers a block has at most; blocks of a group; cones of a page.
 BLOCK, BLOCK_NUMBERS, GROUP, PAGE = 1024, 131_072, 16, 256
@@ -258,14 +258,15 @@ def similar_items(queries: DataFrame, items: DataFrame, k: int, threshold: float
     pivots = pivots_of(held, n)
     x = dealt(held, pivots)
     q = reread(x) if queries is items else dealt(asked, pivots)
-    pairs = stash(block_bounds(q, x), "bounds")
+    bounds = stash(block_bounds(q, x), "bounds")
     near = -1.0 if threshold > 1 else float(np.arccos(max(threshold, -1.0)))
     # what is surely below the threshold counts; at and above it nothing far away does
     counts = F.when(F.col("least") > near + SLACK, F.col("sure")).otherwise(0) if below else F.col("sure")
     nearest = Window.partitionBy("query").orderBy("least", "block")
     before = F.sum(counts).over(nearest.rowsBetween(Window.unboundedPreceding, -1))
     fits = F.lit(True) if below else F.col("least") <= near + SLACK
-    pairs = stash(pairs.withColumns({"first": fits & (F.coalesce(before, F.lit(0)) < k), "fits": fits}), "pairs")
+    pairs = stash(bounds.withColumns({"first": fits & (F.coalesce(before, F.lit(0)) < k), "fits": fits}), "pairs")
+    unstash(bounds)
     met = stash(best_of(compared(pairs.filter("first"), q, x, wanted), k), "met")
     reached = met.filter(F.col("rank") == k).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("row", "cos"))).alias("r"))
     reached = reached.select("query", F.col("r.row").alias("rows"), F.col("r.cos").alias("least")).join(q.select(F.col("block").alias("query"), F.col("n").alias("size")), "query")
