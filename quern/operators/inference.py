@@ -120,8 +120,8 @@ def asked(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[str, in
                     held, used, asker.used = asker.tokens, asker.used, 0
                     waiting = len(asker.rows) + asker.busy
                     at_work = bool(more or waiting or asker.done)
-                # one that has tokens left can do about what it did; others may do more
-                can = max(1, used) if held else max(can, 2 * used, 1)
+                # one that has tokens left keeps them and gets as many as it used; others may do more
+                can = max(1, used + held) if held else max(can, 2 * used, 1)
                 said = [json.loads(x) for x in context.allGather(json.dumps([at_work, max(min(can, waiting) - held, 0), time.time()]))]
                 if not any(s[0] for s in said):
                     break
