@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import reread, stash, unstash
+from quern.session import reread, stash, unstash, width
 
 #: Vectors and numbers a block has at most; blocks of a group; cones of a page.
 BLOCK, BLOCK_NUMBERS, GROUP, PAGE = 1024, 131_072, 16, 256
@@ -125,7 +125,7 @@ def dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     order = ["cluster", "theta", "id"]
     near = rows.mapInArrow(placed, f"id {of}, project string, cluster int, theta double, x binary")
-    near = near.repartitionByRange(spark.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order)
+    near = near.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
     return stash(near.mapInArrow(packed, f"block long, center binary, radius double, n int, sure int, ids array<{of}>, projects array<string>, matrix binary"), "blocks")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import stash
+from quern.session import stash, width
 
 #: How two aggregates of the same kind become one.
 JOINED: dict[str, tuple[Callable[[str], Column], Callable[..., Column]]] = {
@@ -29,8 +29,7 @@ def ordered(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -
     order has to tell rows apart, but for rows that are alike.  Written once, so tasks
     that run again see the same parts.
     """
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    placed = rows.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("quern_at", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(width(rows.sparkSession), *by, *order).sortWithinPartitions(*by, *order).withColumn("quern_at", F.monotonically_increasing_id())
     return stash(placed.withColumn("quern_part", F.shiftright("quern_at", 33)), "ordered")
 
 

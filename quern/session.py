@@ -61,6 +61,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def width(spark: SparkSession) -> int:
+    """Parts for what is dealt by ranges: as many as shuffles have, or cores if those are
+    more; the cores that have come up so far say too little about a large job."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df`` for a broadcast join if it has ``most`` rows or fewer, which is
     counted first; else as it is, for a shuffle join.  For narrow rows only."""
