@@ -172,6 +172,25 @@ def test_quality_with_repeated_ids_and_missing_labels(spark):
     assert Q.learn_quality(docs, nulls, F.lit(True)).w is None
 
 
+def test_quality_is_learned_from_all_rows(spark):
+    """The weights are those of least loss over all pairs, not over those of the first rows."""
+    draw = np.random.default_rng(5)
+    words = ["plain", "calm", "LOUD", "$$$", "text", "of", "words", "12"]
+    texts = [" ".join(draw.choice(words, 5 + k % 40)) for k in range(400)]
+    quality = [int(t.count("LOUD") + draw.integers(0, 3) < t.count("calm") + 2) for t in texts]
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int")
+    model = Q.learn_quality(docs.unionByName(docs.filter("doc_id < 30")).repartition(3), labels, F.lit(True), per_label=20)
+    x, y = Q.text_features(pa.array(texts)).astype(np.float64), np.array(quality)
+    good, bad = x[y == 1], x[y == 0]
+    pull = 1 / (1 + np.exp((good @ model.w)[:, None] - bad @ model.w)) / len(good) / len(bad)
+    gradient = pull.sum(axis=0) @ bad - pull.sum(axis=1) @ good + Q.PENALTY * model.w
+    assert gradient @ Q.inverse_curvature(x, y, model.w) @ gradient < 1e-6
+    strength = np.sort(x @ model.w)
+    assert np.isclose(model.threshold, strength[len(bad) - 1 : len(bad) + 1].mean(), atol=1e-9)
+    assert np.isclose(model.slope, Q.fit_slope(x @ model.w - model.threshold, y, np.ones(400), np.log(0.3 / 0.7)))
+
+
 def brute_audit(rows, labels):
     good, bad = ({i for i, *marks in labels if i is not None and marks[k] == 1} for k in (0, 1))
     firsts = {}
