@@ -28,6 +28,8 @@ from quern.llm.words import byte_set, raw, slices
 
 #: Distinct chunks whose ids a worker remembers, in each of two generations.
 REMEMBERED = 50_000
+#: Chunks that the library gets as one text, with a special token between them.
+JOINED = 32
 #: First bytes of the characters beyond ASCII that can be white space.
 SPACE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A))
@@ -82,21 +84,51 @@ class Encoder:
             self.marks[list(token.content.encode())] = False
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.between = None
+        if self.model.normalizer is None and len(added := self.model.get_added_tokens_decoder()) == 1:
+            ((number, token),) = added.items()
+            overlaps = any(token.content.startswith(token.content[k:]) for k in range(1, len(token.content)))
+            if not (token.lstrip or token.rstrip or token.single_word or overlaps):
+                self.between = number, token.content
+
+    def encoded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk.
+
+        The library takes a text apart at special tokens before anything else, so chunks
+        are encoded many at once with one between them, unless a chunk holds it, or it
+        could overlap with a chunk, change beside one or be one of several.
+        """
+        one_by_one = lambda some: [array("I", found.ids).tobytes() for found in self.model.encode_batch_fast(some, add_special_tokens=False)]
+        if self.between is None:
+            return one_by_one(chunks)
+        number, token = self.between
+        out = []
+        texts = [token.join(chunks[k : k + JOINED]) for k in range(0, len(chunks), JOINED)]
+        for k, (text, found) in enumerate(zip(texts, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True)):
+            some = chunks[k * JOINED : (k + 1) * JOINED]
+            ids = np.array(found.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == number), len(ids))
+            if not text.count(token) == len(ends) - 1 == len(some) - 1:
+                out += one_by_one(some)
+                continue
+            whole, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [whole[first:last] for first, last in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+        return out
 
     def of(self, chunks: list[str]) -> list[bytes]:
         young, old = self.young, self.old
-        new = []
-        for c in chunks:
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
+        out, new = list(map(young.get, chunks)), []
+        for k, found in enumerate(out):
+            if found is None:
+                found = old.get(chunks[k])
+                if found is None:
+                    new.append(k)
                 else:
-                    new.append(c)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, found in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[c] = array("I", found.ids).tobytes()
-        out = [young[c] for c in chunks]
+                    out[k] = young[chunks[k]] = found
+        for first in range(0, len(new), 4096):
+            part = new[first : first + 4096]
+            for k, found in zip(part, self.encoded([chunks[k] for k in part]), strict=True):
+                out[k] = young[chunks[k]] = found
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
         return out

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from quern.llm.op03_packing import pack_documents, pieces, tokenizer
+from quern.llm.op03_packing import Encoder, pack_documents, pieces, tokenizer
 from quern.llm.op06_token_counts import count_tokens
 from quern.llm.queries import op3_packing, op6_token_counts, vocabulary
 from quern.session import table
@@ -58,6 +58,29 @@ def test_packing_query_against_the_library(spark):
     assert all(sum(b) <= 65_536 for b in batches.values())
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, model):
+        self.model, self.texts = model, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.model.encode_batch_fast(texts, **how)
+
+
+def test_new_chunks_are_encoded_many_at_once():
+    chunks = [f" w{k}ord" for k in range(2000)] + ["<|endoftext|>", " a<|endoftext|>b", "<|endof", "text|>", "<|endoftext|", ">", "", " ", "\n", "é\u3000", "🙂 "] + [f"{k}\n" for k in range(2000)]
+    want = [np.array(x, "=u4").tobytes() for x in encoded("byte_bpe_50k.json", chunks)]
+    of = Encoder(vocabulary("byte_bpe_50k.json"))
+    of.model = Counting(of.model)
+    assert of.of(chunks) == want and of.model.texts < len(chunks) / 10
+    before = of.model.texts
+    assert of.of(chunks[::-1]) == want[::-1] and of.model.texts == before
+    of.between, of.young = None, {}
+    assert of.of(chunks) == want
+
+
 def test_token_counts_against_the_library(spark):
     rows = count_tokens(with_clashes(awkward(spark)), vocabulary("word_bpe_49k.json")).collect()
     want = [(r[0], len((r[1] or "").encode()), len(ids)) for r, ids in zip(AWKWARD, encoded("word_bpe_49k.json", [r[1] for r in AWKWARD]), strict=True)]
