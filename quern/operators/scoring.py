@@ -123,24 +123,28 @@ def atom_agreement(pairs: DataFrame) -> DataFrame:
     atoms = pairs.select(F.col("a").alias("atom")).union(pairs.select("b")).distinct().withColumn("c", comparison(F.col("atom"))).withColumn("forms", readings(F.col("c")))
     first, second = (atoms.select(F.col("atom").alias(n), F.col("c").alias(f"c{n}"), F.col("forms").alias(f"r{n}")) for n in ("a", "b"))
     strict, relaxed = agreement_of_atoms("a", "b", "ca", "cb", "ra", "rb")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", strict.alias("strict"), relaxed.alias("relaxed"))
+    return pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", strict.alias("strict"), relaxed.alias("relaxed"))
 
 
 def compared(pairs: DataFrame, digits: int = 5) -> DataFrame:
     """(gold, answer) -> scores and sizes.  Each distinct text is read once, each
-    distinct pair of atoms compared once, each distinct pair of texts matched once."""
+    distinct pair of atoms compared once, each distinct pair of texts matched once.
+
+    Spark guesses a table's size from its compressed files and counts what it explodes
+    as one row, so here and in evaluated() joins are named: nothing that grows with the
+    answers is collected for a broadcast."""
     said = pairs.select("gold", "answer").distinct().withColumns({"x": F.coalesce("gold", F.lit("")), "y": F.coalesce("answer", F.lit(""))})
     # texts are brought into one form and read before they meet, so once each
     texts = said.select(F.col("x").alias("text")).union(said.select("y")).distinct().withColumn("t", _read(canonical(F.col("text"))))
     texts = stash(texts.select("text", "t.tree", "t.atoms", "t.parts"), "texts")
-    of = lambda c, n: texts.select(F.col("text").alias(c), F.col("tree").alias(f"{n}_tree"), F.col("atoms").alias(f"{n}_atoms"), F.col("parts").alias(f"{n}_parts"))
+    of = lambda c, n: texts.select(F.col("text").alias(c), F.col("tree").alias(f"{n}_tree"), F.col("atoms").alias(f"{n}_atoms"), F.col("parts").alias(f"{n}_parts")).hint("merge")
     both = stash(said.join(of("x", "gold"), "x").join(of("y", "answer"), "y").drop("x", "y"), "pairs")
     cells = both.select("gold", "answer", F.posexplode("gold_atoms").alias("i", "a"), "answer_atoms").select("gold", "answer", "i", "a", F.posexplode("answer_atoms").alias("j", "b"))
     agreed = atom_agreement(cells)
-    found = cells.join(agreed, ["a", "b"]).groupBy("gold", "answer").agg(F.collect_list(F.struct("i", "j", "strict", "relaxed")).alias("cells"))
+    found = cells.join(agreed.hint("merge"), ["a", "b"]).groupBy("gold", "answer").agg(F.collect_list(F.struct("i", "j", "strict", "relaxed")).alias("cells"))
     none = F.array().cast("array<struct<i:int,j:int,strict:double,relaxed:double>>")
     # one side of every join is keyed by null-safe texts, as a missing gold is a gold of its own
-    out = both.alias("p").join(found.alias("f"), F.col("p.gold").eqNullSafe(F.col("f.gold")) & F.col("p.answer").eqNullSafe(F.col("f.answer")), "left")
+    out = both.alias("p").join(found.alias("f").hint("merge"), F.col("p.gold").eqNullSafe(F.col("f.gold")) & F.col("p.answer").eqNullSafe(F.col("f.answer")), "left")
     out = out.select("p.*", F.coalesce("f.cells", none).alias("cells")).withColumn("s", _assigned("gold_tree", "answer_tree", "cells"))
     return out.select("gold", "answer", *(F.round(F.col(f"s.{c}"), digits).alias(c) for c in SCORES), "gold_parts", "answer_parts")
 
@@ -149,13 +153,13 @@ def evaluated(gold: DataFrame, answers: DataFrame, digits: int = 5) -> DataFrame
     """gold (id, doc_constraint) joined with answers (id, text, ...): one row per
     answer with its expression and scores.  Failed parses score 0 and stay.
     Answers are extracted once per distinct text, pairs compared once each."""
-    joined = answers.join(gold.select("id", F.coalesce("doc_constraint", F.lit("")).alias("doc_constraint")), "id")
+    joined = answers.join(gold.select("id", F.coalesce("doc_constraint", F.lit("")).alias("doc_constraint")).hint("merge"), "id")
     texts = answers.select(F.coalesce("text", F.lit("")).alias("said")).distinct().withColumn("x", extracted(F.col("said"))).select("said", "x.parse_failed", F.col("x.expression").alias("code_constraint"))
-    rows = stash(joined.join(texts, F.coalesce("text", F.lit("")) == F.col("said")).drop("said"), "answers")
+    rows = stash(joined.join(texts.hint("merge"), F.coalesce("text", F.lit("")) == F.col("said")).drop("said"), "answers")
     read = F.col("parse_failed") == 0
     usable = F.when(read, F.col("code_constraint")).otherwise("")
     scores = stash(compared(rows.select(F.col("doc_constraint").alias("gold"), usable.alias("answer")), digits), "scores")
-    out = rows.join(scores, (F.col("doc_constraint") == F.col("gold")) & (usable == F.col("answer"))).drop("gold", "answer")
+    out = rows.join(scores.hint("merge"), (F.col("doc_constraint") == F.col("gold")) & (usable == F.col("answer"))).drop("gold", "answer")
     out = out.withColumns({c: F.when(read, F.col(c)).otherwise(0.0) for c in SCORES} | {"answer_parts": F.when(read, F.col("answer_parts")).otherwise(0)})
     out = out.withColumnsRenamed({"gold_parts": "doc_constraint_subs", "answer_parts": "code_constraint_subs"})
     return out.withColumns({f"{m}_f1": safe_f1(F.col(f"{m}_precision"), F.col(f"{m}_recall"), digits) for m in ("strict", "relaxed")})
