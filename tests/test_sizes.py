@@ -26,7 +26,7 @@ def collected(spark, monkeypatch, name):
     return {of for of, p in seen.items() if "BroadcastExchange" in p}
 
 
-@pytest.mark.parametrize("name", ["evaluate_answers"])
+@pytest.mark.parametrize("name", ["evaluate_answers", "failure_counts"])
 def test_answers_are_not_broadcast(spark, monkeypatch, name):
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
     assert not collected(spark, monkeypatch, name)
