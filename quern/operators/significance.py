@@ -25,10 +25,12 @@ def pair_grid(configs: DataFrame, by: str, name: str = "config") -> DataFrame:
 
 
 def paired(values: DataFrame, pairs: DataFrame, *by: str) -> DataFrame:
-    """values (*by, config, id, value), pairs (*by, a, b) -> *by, a, b, id, x, y, joined on the id."""
+    """values (*by, config, id, value), pairs (*by, a, b) -> *by, a, b, id, x, y, joined on the id.
+
+    Pairs are few and go to the values, which are never collected for a broadcast."""
     x = values.select(*by, F.col("config").alias("a"), "id", F.col("value").alias("x"))
     y = values.select(*by, F.col("config").alias("b"), "id", F.col("value").alias("y"))
-    return pairs.join(x, [*by, "a"]).join(y, [*by, "b", "id"]).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    return few(pairs).join(x, [*by, "a"]).join(y.hint("merge"), [*by, "b", "id"]).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
 
 def with_sums_below(counts: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

@@ -69,5 +69,6 @@ def width(spark: SparkSession) -> int:
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df`` for a broadcast join if it has ``most`` rows or fewer, which is
-    counted first; else as it is, for a shuffle join.  For narrow rows only."""
-    return F.broadcast(df) if df.count() <= most else df
+    counted first; else for a shuffle join, whatever Spark guesses its size to be.  For
+    narrow rows only."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
