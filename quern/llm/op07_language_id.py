@@ -17,7 +17,8 @@ A model that was taught to reject (``learn_likeness``) says ``und`` also of text
 unlike all learned languages.  Likeness is the cosine to the nearest language's
 mean features; it grows with a text's length, so the least likeness is set for
 each doubling of the number of distinct features, at a share of what all but one
-in a hundred rows of the sample reach.  A length of which the sample has less than
+in a hundred labelled rows of a language reach.  Means and shares are taken from all
+labelled rows, repeated ones counted once.  A length of which there are less than
 ``SEEN`` rows takes the least likeness of the next shorter one, at first zero: texts
 too short to tell stay.
 
@@ -41,6 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import LOWER, byte_set, raw, slices
+from quern.operators.ordering import ordered, running
+from quern.session import few, stash, unstash
 
 # Families of languages by their two-letter codes.
 FAMILIES = {
@@ -160,12 +163,15 @@ class LanguageModel:
         return lang.tolist(), score
 
 
-def labelled_rows(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, dict[str, int]]:
-    """doc_id, text, lang, key (a hash of id and text) of the rows to learn from, and
-    about how many distinct ones a language has."""
+def labelled_rows(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, text, lang, key (a hash of id and text) of the rows to learn from."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    return rows, {r.lang: max(r.n, 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
+    return rows.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def language_sizes(rows: DataFrame) -> dict[str, int]:
+    """About how many distinct rows a language has."""
+    return {r.lang: max(r.n, 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
 
 
 def sampled_rows(rows: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
@@ -178,7 +184,8 @@ def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_langu
 
     dims: a power of two.  per_language: expected rows of the sample per language.
     """
-    rows, sizes = labelled_rows(docs, training, id_col, text_col, lang_col)
+    rows = labelled_rows(docs, training, id_col, text_col, lang_col)
+    sizes = language_sizes(rows)
     if not sizes:
         return LanguageModel(dims)
     langs = sorted(sizes)
@@ -218,37 +225,61 @@ def fit_languages(docs: DataFrame, training: Column, dims: int = 2048, per_langu
     return LanguageModel(dims, families, members, family_w, pairs, [np.array([next(rest) for _ in ps]).reshape(len(ps), dims + 1) for ps in pairs])
 
 
-def learn_likeness(model: LanguageModel, docs: DataFrame, training: Column, per_language: int = 1000, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """The model with what it needs to reject texts, from a sample as large as that of fit_languages."""
-    rows, sizes = labelled_rows(docs, training, id_col, text_col, lang_col)
-    if not sizes:
-        return model
+def learn_likeness(model: LanguageModel, docs: DataFrame, training: Column, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """The model with what it needs to reject texts, from all distinct rows where training
+    holds: one pass sums their features by language, a second has each row's likeness to
+    its language's mean, of which exact quantiles are taken over range parts."""
+    rows = labelled_rows(docs, training, id_col, text_col, lang_col)
+    # rows that repeat an id and its text count as one between them
+    repeated = stash(rows.groupBy("lang", "key").agg(F.count("*").alias("times")).filter("times > 1"), "repeated")
+    weighted = rows.join(few(repeated), ["lang", "key"], "left").select("lang", "text", "times")
     dims, levels = model.dims, model.dims.bit_length()
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         for part in slices(batches, "text", FEATURE_SLICE, FEATURE_ROWS):
-            x = features(part.column("text"), dims).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "key", "x"])
-
-    def learned(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf.x), np.float16).reshape(len(pdf), dims).astype(np.float32)
-        x = x[x.any(axis=1)]
-        mean = x.sum(axis=0, dtype=float)
-        mean /= max(np.sqrt(mean @ mean), 1e-9)
-        near, level = x @ mean, doublings(x)
-        least = [float(np.quantile(near[level == k], 0.01)) if (level == k).any() else None for k in range(levels)]
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "mean": [mean], "least": [least], "rows": [np.bincount(level, minlength=levels)]})
-
-    sample = sampled_rows(rows, sizes, per_language).mapInArrow(sampled, "lang string, key long, x binary").dropDuplicates(["lang", "key"])
-    found = sorted(sample.groupBy("lang").applyInPandas(learned, "lang string, mean array<double>, least array<double>, rows array<long>").collect())
+            # sums of so rounded numbers are exact, in whatever order they are taken
+            yield part, features(part.column("text"), dims).astype(np.float16).astype(np.float32)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for part, x in seen(batches):
+            own = np.array(part.column("lang").to_pylist(), object)
+            weight = 1.0 / part.column("times").fill_null(1).to_numpy()
+            for lang in set(own):
+                at = own == lang
+                sums[lang] = sums.get(lang, 0.0) + weight[at] @ x[at].astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "sums"])
+
+    by_feature = weighted.mapInArrow(summed, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
+    found = sorted(by_feature.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("sums")).select("lang", F.col("sums.v").alias("sums")).collect())
+    unstash(repeated)
     if not found:
         return model
-    least, last = np.zeros(levels), 0.0
+    means = {r.lang: (mean := np.array(r.sums)) / max(np.sqrt(mean @ mean), 1e-9) for r in found}
+    shared = docs.sparkSession.sparkContext.broadcast(means)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in seen(batches):
+            at = np.flatnonzero(x.any(axis=1))
+            near = np.array([x[r] @ shared.value[lang] for r, lang in zip(at, part.column("lang").take(pa.array(at)).to_pylist(), strict=True)], float)
+            yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(at)), part.column("key").take(pa.array(at)), pa.array(doublings(x[at]), pa.int32()), pa.array(near)], ["lang", "key", "level", "near"])
+
+    likeness = stash(rows.select("lang", "key", "text").mapInArrow(compared, "lang string, key long, level int, near double").dropDuplicates(["lang", "key"]).withColumn("one", F.lit(1).cast("long")), "likeness")
+    of = ["lang", "level"]
+    placed = ordered(likeness, of, ["near", "key"])
+    last = likeness.groupBy(*of).agg((F.count("*") - 1).alias("last"))
+    at = F.col("last") * 0.01
+    around = running(placed, of, i=("sum", "one")).join(F.broadcast(last), of).filter(F.col("i").between(F.floor(at), F.floor(at) + 1))
+    edges = around.groupBy(*of, "last").agg(F.sort_array(F.collect_list("near")).alias("near")).collect()
+    unstash(likeness, placed)
+    least, lowest, counts = np.zeros(levels), np.full(levels, np.inf), np.zeros(levels, int)
+    for r in edges:
+        # between the two rows around the place that one in a hundred rows lie below
+        near = r.near[0] + (r.near[-1] - r.near[0]) * (r.last * 0.01 - np.floor(r.last * 0.01))
+        lowest[r.level], counts[r.level] = min(lowest[r.level], near), counts[r.level] + r.last + 1
     for k in range(levels):
-        if sum(r.rows[k] for r in found) >= SEEN:
-            last = share * min(r.least[k] for r in found if r.least[k] is not None)
-        least[k] = last
-    return replace(model, means=np.array([r.mean for r in found], np.float32), least=least)
+        least[k] = share * lowest[k] if counts[k] >= SEEN else least[k - 1] if k else 0.0
+    return replace(model, means=np.array([means[r.lang] for r in found], np.float32), least=least)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
