@@ -14,10 +14,12 @@ nearer to one of another block than the angle of the two directions less both wi
 
 So results are those of all pairs, and what is saved depends on how clustered vectors
 are: isotropic ones of many dimensions have no bounds worth the name.  Queries and
-items are tables of blocks; compared blocks come together in cells of GROUP by GROUP
-blocks at most, so a block is shuffled once per group it meets, and no task holds more
-than a cell.  Bounds are worked out for pairs of blocks, a millionth of the pairs of
-rows.
+items are tables of blocks; compared blocks come together in cells of a group of blocks
+by another, so a block is shuffled once per group it meets, as it came (floats stay
+floats), and no task holds more than a cell.  There are GROUPS groups of each table, so
+what is shuffled grows with the table, up to groups of CELL_NUMBERS numbers; only larger
+tables have more groups.  Bounds are worked out for pairs of blocks, a millionth of the
+pairs of rows.
 """
 
 from __future__ import annotations
@@ -29,13 +31,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.session import reread, stash, unstash, width
 
-#: Vectors and numbers a block has at most; blocks of a group; cones of a page.
+#: Vectors and numbers a block has at most; blocks a group has about, until there are
+#: GROUPS groups (more where more cores wait for cells); cones of a page.
 BLOCK, BLOCK_NUMBERS, GROUP, PAGE = 1024, 131_072, 16, 256
+#: From there on groups get larger, up to so many numbers on average.
+GROUPS, CELL_NUMBERS = 12, 1 << 23
 #: Pivots at most, and how many sampled vectors are looked at for each.
 PIVOTS, LOOKED_AT = 1024, 8
 #: Cosines that agree to so many digits are equal; angles may be off by SLACK.
@@ -43,10 +48,20 @@ DIGITS, SLACK = 12, 1e-6
 
 
 def unit(vectors: pa.Array) -> np.ndarray:
-    x = np.array(vectors.to_pylist(), float)
+    return scaled(np.array(vectors.to_pylist(), float))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def vectors_of(row: dict) -> np.ndarray:
+    """A block's vectors, scaled to length one, from the numbers as they came."""
+    dims = len(row["center"]) // 8
+    kind = np.float64 if len(row["matrix"]) == 8 * dims * len(row["ids"]) else np.float32
+    return scaled(np.frombuffer(row["matrix"], kind).reshape(-1, dims).astype(float))
+
+
 def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ y.T, -1, 1))
 
@@ -79,16 +94,18 @@ def dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast(pivots)
     of = rows.schema["id"].dataType.simpleString()
     id_type = rows.select("id").limit(0).toArrow().schema.field("id").type
+    kind = np.dtype(np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 4096):
                 some = batch.slice(first, 4096)
-                x = unit(some.column("v"))
+                given = np.array(some.column("v").to_pylist(), kind)
+                x = scaled(given.astype(float))
                 cos = x @ shared.value.T
                 own = cos.argmax(axis=1)
                 theta = np.arccos(np.clip(cos[np.arange(len(x)), own], -1, 1))
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("project"), pa.array(own.astype(np.int32)), pa.array(theta), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "project", "cluster", "theta", "x"])
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("project"), pa.array(own.astype(np.int32)), pa.array(theta), pa.array([r.tobytes() for r in given], pa.binary())], ["id", "project", "cluster", "theta", "x"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 33, []
@@ -100,7 +117,7 @@ def dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                     if held and held[0].column("cluster")[0].as_py() != cluster[begin]:
                         yield block(number, held)
                         number, held = number + 1, []
-                    size = max(1, min(BLOCK, BLOCK_NUMBERS * 8 // max(len(batch.column("x")[begin].as_py()), 1)))
+                    size = max(1, min(BLOCK, BLOCK_NUMBERS * kind.itemsize // max(len(batch.column("x")[begin].as_py()), 1)))
                     room = size - sum(h.num_rows for h in held)
                     held.append(batch.slice(begin, min(room, end - begin)))
                     begin += room
@@ -112,7 +129,8 @@ def dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         some = pa.Table.from_batches(held).combine_chunks()
-        x = np.frombuffer(b"".join(some.column("x").to_pylist())).reshape(some.num_rows, -1)
+        matrix = b"".join(some.column("x").to_pylist())
+        x = scaled(np.frombuffer(matrix, kind).reshape(some.num_rows, -1).astype(float))
         center = x.sum(axis=0)
         size = np.linalg.norm(center)
         center = center / size if size > SLACK else x[0]
@@ -120,7 +138,7 @@ def dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
         sure = len(projects) - max(pd.Series(projects).value_counts(dropna=False))
         columns = [[number], [center.tobytes()], [float(angles(x, center[None]).max())], [len(x)], [int(sure)]]
         types = [pa.int64(), pa.binary(), pa.float64(), pa.int32(), pa.int32()]
-        lists = [pa.array([some.column("id").to_pylist()], pa.list_(id_type)), pa.array([projects], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())]
+        lists = [pa.array([some.column("id").to_pylist()], pa.list_(id_type)), pa.array([projects], pa.list_(pa.string())), pa.array([matrix], pa.binary())]
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *lists], ["block", "center", "radius", "n", "sure", "ids", "projects", "matrix"])
 
     order = ["cluster", "theta", "id"]
@@ -129,6 +147,21 @@ def dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return stash(near.mapInArrow(packed, f"block long, center binary, radius double, n int, sure int, ids array<{of}>, projects array<string>, matrix binary"), "blocks")
 
 
+def grouped(blocks: DataFrame, name: str) -> Column:
+    """The group of the block that column name holds: blocks in the order of their numbers,
+    dealt to groups of as many blocks each.  Only how many blocks and numbers each part has
+    comes to the driver."""
+    sizes = blocks.groupBy(F.shiftright("block", 33).cast("int").alias("part")).agg(F.count("*").alias("n"), F.sum(F.col("n") * F.length("center") / 8).alias("numbers")).collect()
+    n = sum(r.n for r in sizes)
+    most = max(GROUPS, int(np.ceil(np.sqrt(4 * blocks.sparkSession.sparkContext.defaultParallelism))))
+    groups = max(min(-(-n // GROUP), most), int(-(-sum(r.numbers for r in sizes) // CELL_NUMBERS)))
+    before = np.zeros(max((r.part for r in sizes), default=0) + 2, int)
+    for r in sizes:
+        before[r.part + 1] = r.n
+    place = F.element_at(F.lit(before.cumsum().tolist()), (F.shiftright(name, 33) + 1).cast("int")) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return F.floor(place * min(groups, n) / n).cast("int")
+
+
 def block_bounds(queries: DataFrame, items: DataFrame) -> DataFrame:
     """query, block, least (angle between any of their vectors), n, sure: all pairs of blocks."""
     cone = lambda df, name: df.select(F.col("block").alias(name), "center", "radius", "n", "sure")
@@ -164,12 +197,11 @@ class Wanted:
 
 
 def compared(pairs: DataFrame, queries: DataFrame, items: DataFrame, wanted: Wanted, reached: DataFrame | None = None) -> DataFrame:
-    """pairs (query, block) of blocks -> query, row, id, example_id, cos: the best k of
+    """pairs (query, block, query_group, block_group) of blocks -> query, row, id, example_id, cos: the best k of
     every query among what its cell holds.  reached (query, rows, least): cosines that
     each query's k-th example has already."""
     group = lambda df, of: df.select("block", "matrix", "projects", "ids", "center", "radius", *of)
-    part = lambda c: F.col(c).bitwiseAND(F.lit(~(GROUP - 1))).alias(f"{c}_group")
-    cells = pairs.select("query", "block", part("query"), part("block"))
+    cells = pairs.select("query", "block", "query_group", "block_group")
     keys = ["query_group", "block_group"]
     own_keys = [f"own_{c}" for c in keys]
     asked = cells.groupBy("query", *keys).agg(F.collect_set("block").alias("met")).join(queries.withColumnRenamed("block", "query"), "query").withColumnRenamed("query", "block")
@@ -187,13 +219,13 @@ def compared(pairs: DataFrame, queries: DataFrame, items: DataFrame, wanted: Wan
         blocks, codes = {}, {}
         coded = lambda projects: np.array([codes.setdefault(p, len(codes)) for p in projects])
         for r in b.to_pylist():
-            x = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1)
+            x = vectors_of(r)
             # smaller ids first, so that equal cosines are kept in that order
             order = np.array(sorted(range(len(x)), key=r["ids"].__getitem__), int)
             blocks[r["block"]] = (x[order], coded(r["projects"])[order], [r["ids"][j] for j in order], np.frombuffer(r["center"]), r["radius"])
         out = []
         for r in a.to_pylist():
-            q, own = np.frombuffer(r["matrix"]).reshape(len(r["ids"]), -1), coded(r["projects"])
+            q, own = vectors_of(r), coded(r["projects"])
             kth = np.full(len(q), -np.inf)
             if r["rows"]:
                 kth[r["rows"]] = r["least"]
@@ -248,9 +280,10 @@ def similar_items(queries: DataFrame, items: DataFrame, k: int, threshold: float
     found row by row.  Ids may be of any type.  report takes the pairs of rows that
     were compared at most (``compared``) out of all (``pairs``).
     """
-    v = F.col("embedding").cast("array<double>")
+    narrow = lambda df: df.schema["embedding"].dataType.simpleString() == "array<float>"
+    v = lambda df: F.col("embedding") if narrow(df) else F.col("embedding").cast("array<double>")
     whole = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    told = lambda df: df.select("id", F.col("project").cast("string").alias("project"), v.alias("v")).filter(F.col("id").isNotNull() & F.forall("v", whole) & F.exists("v", lambda x: x != 0))
+    told = lambda df: df.select("id", F.col("project").cast("string").alias("project"), v(df).alias("v")).filter(F.col("id").isNotNull() & F.forall("v", whole) & F.exists("v", lambda x: x != 0))
     asked, held = told(queries), told(items)
     n, wanted = held.count(), Wanted(k, threshold, below)
     if not n:
@@ -265,7 +298,7 @@ def similar_items(queries: DataFrame, items: DataFrame, k: int, threshold: float
     nearest = Window.partitionBy("query").orderBy("least", "block")
     before = F.sum(counts).over(nearest.rowsBetween(Window.unboundedPreceding, -1))
     fits = F.lit(True) if below else F.col("least") <= near + SLACK
-    pairs = stash(bounds.withColumns({"first": fits & (F.coalesce(before, F.lit(0)) < k), "fits": fits}), "pairs")
+    pairs = stash(bounds.withColumns({"first": fits & (F.coalesce(before, F.lit(0)) < k), "fits": fits, "query_group": grouped(q, "query"), "block_group": grouped(x, "block")}), "pairs")
     unstash(bounds)
     met = stash(best_of(compared(pairs.filter("first"), q, x, wanted), k), "met")
     reached = met.filter(F.col("rank") == k).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("row", "cos"))).alias("r"))
@@ -273,7 +306,7 @@ def similar_items(queries: DataFrame, items: DataFrame, k: int, threshold: float
     # an angle beyond which no vector of the block has a better example
     bound = reached.select("query", F.when(F.size("rows") == F.col("size"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.array_min("least"))))).alias("widest"))
     later = pairs.filter(F.col("fits") & ~F.col("first")).join(bound, "query", "left").filter(F.col("widest").isNull() | (F.col("least") <= F.col("widest") + SLACK))
-    later = stash(later.select("query", "block", "n"), "later")
+    later = stash(later.select("query", "block", "query_group", "block_group", "n"), "later")
     if report is not None:
         count = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         report |= {"pairs": count(pairs), "compared": count(pairs.filter("first")) + count(later)}

@@ -92,3 +92,25 @@ def test_odd_vectors_have_no_part(spark):
     assert {(k, e) for (k, _), (e, _) in got.items()} == {(1, 8), (1, 9), (1, 10), (8, 1), (8, 9), (8, 10), (9, 1), (9, 8), (10, 1), (10, 8)}
     for a, b in ((items.limit(0), items), (items, items.limit(0)), (items.filter("id = 2"), items)):
         assert similar_items(a, b, 3).count() == 0
+
+
+def test_blocks_are_shuffled_a_bounded_number_of_times(spark):
+    """However many parts shuffles have, a block goes to at most GROUPS groups, as it came."""
+    n, dims = 2048, 32
+    x = np.random.default_rng(4).standard_normal((n, dims)).astype(np.float32)
+    rows = [(k, f"p{k % 3}", v.tolist()) for k, v in enumerate(x)]
+    items = spark.createDataFrame(rows, SCHEMA.replace("double", "float"))
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        bus.waitUntilEmpty(30_000)
+        return store.executorList(True).apply(0).totalShuffleWrite()
+
+    parts, before = spark.conf.get("spark.sql.shuffle.partitions"), shuffled()
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        got = found(similar_items(items, items, 3, 0.9))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    same(got, brute(rows, rows, 3, 0.9, True))
+    assert shuffled() - before < 40 * n * dims * 4
