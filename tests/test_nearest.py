@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import nearest
+from quern.operators import nearest, retrieval
 from quern.operators.retrieval import similar_items
 
 SCHEMA = "id long, project string, embedding array<double>"
@@ -115,3 +115,27 @@ def test_blocks_are_shuffled_a_bounded_number_of_times(spark, below, threshold):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     same(got, brute(rows, rows, 3, threshold, below))
     assert shuffled() - before < 40 * n * dims * 4
+
+
+#: What is made of the examples of text ids, further on in a chain.
+CHAINS = {"lists": lambda found, items: retrieval.example_lists(found, 3)}
+
+
+@pytest.mark.parametrize("chain", CHAINS)
+def test_chains_over_text_ids_shuffle_no_more(spark, chain):
+    n, dims = 2048, 32
+    x = np.random.default_rng(5).standard_normal((n, dims)).astype(np.float32)
+    items = spark.createDataFrame([(f"v{k}", f"p{k % 3}", v.tolist()) for k, v in enumerate(x)], "id string, project string, embedding array<float>")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        bus.waitUntilEmpty(30_000)
+        return store.executorList(True).apply(0).totalShuffleWrite()
+
+    parts, before = spark.conf.get("spark.sql.shuffle.partitions"), shuffled()
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        assert len({r.id for r in CHAINS[chain](similar_items(items, items, 3, 0.9), items).collect()}) == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert shuffled() - before < 60 * n * dims * 4
