@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import nearest, retrieval
+from quern.operators import nearest, prompts, retrieval
 from quern.operators.retrieval import similar_items
 
 SCHEMA = "id long, project string, embedding array<double>"
@@ -118,7 +118,14 @@ def test_blocks_are_shuffled_a_bounded_number_of_times(spark, below, threshold):
 
 
 #: What is made of the examples of text ids, further on in a chain.
-CHAINS = {"lists": lambda found, items: retrieval.example_lists(found, 3)}
+CHAINS = {
+    "lists": lambda found, items: retrieval.example_lists(found, 3),
+    "prompts": lambda found, items: prompts.prompts(coded(items), "", prompts.example_sections(found, coded(items), 3)),
+}
+
+
+def coded(items):
+    return items.select("id", F.col("id").alias("code_formatted"), F.col("project").alias("doc_constraint"))
 
 
 @pytest.mark.parametrize("chain", CHAINS)
